@@ -36,7 +36,7 @@ VERDICT_TYPE = ("heuristic double, band string, method string, confidence double
                 "ai_intent boolean, ai_directed boolean, human_exchange boolean, retry boolean")
 FACTS = ["whole_logit", "tail_logit", "named_whole", "named_tail", "audience_whole",
          "audience_tail", "sounds_whole", "sounds_tail", "gap_s", "reliable", "own_voice",
-         "llm_score"]
+         "llm_score", "acted"]
 
 
 def similar(a: str, b: str) -> bool:
@@ -90,7 +90,8 @@ def prepare(df: DataFrame, settings: SignalSettings = SignalSettings()) -> DataF
         "named_tail": is_true(F.col("tail.assistant_name").isNotNull()),
         "audience_whole": is_true(has_audience(F.col("whole"), names_w)),
         "audience_tail": is_true(has_audience(F.col("tail"), names_t)),
-        "reliable": F.coalesce("reliable", F.lit(True))})
+        "reliable": F.coalesce("reliable", F.lit(True)),
+        "acted": is_true(F.col("acted")) if "acted" in d.columns else F.lit(False)})
     return d.drop("whole", "tail", "body", "tail_body", "tail_text", "whole_p", "tail_p",
                   "__prev")
 
@@ -111,6 +112,10 @@ class VerdictChain:
 
     def next(self, f) -> tuple:
         s, past = self.s, self.recent
+        if f["acted"]:
+            # Another path already answered this one: it counts as said to the assistant.
+            past.appendleft(True)
+            return None, "accept", "acted", 1.0, True, True, False, False
         gap = f["gap_s"]
         exchange = bool(past) and gap is not None and gap <= EXCHANGE_SECONDS \
             and past[0] is False

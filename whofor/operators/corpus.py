@@ -101,19 +101,34 @@ def wrap_phrase(phrase: Column, intent: Column, name: str, seed: str, *keys) ->
 def build_corpus(spark: SparkSession, catalogue: Catalogue = CORE, size: int = 2000,
                  seed: int = 0, name: str = V.DEFAULT_NAME, mix: dict | None = None,
                  wording: Wording = Wording()) -> DataFrame:
-    """``id, text, g_addressed, g_intent, g_slots, category`` and a shuffled ``order_key``."""
-    s, mix = f"corpus{seed}", mix or DEFAULT_MIX
-    parts = []
-    for category, share in mix.items():
+    """``size`` lines mixed by category, with a ``order_key`` that shuffles them."""
+    out = None
+    for category, share in (mix or DEFAULT_MIX).items():
         ids = spark.range(int(round(share * size))).select(
-            F.col("id").alias("n"), F.concat(F.lit(category + "-"), F.col("id").cast("string"))
-            .alias("id"), F.lit(category).alias("category"))
-        parts.append(_typed(ids, catalogue, s, name) if category == "typed"
-                     else _prose(ids, category, s, name, wording))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("order_key", F.xxhash64(F.lit(s), "id"))
+            F.concat(F.lit(category + "-"), F.col("id").cast("string")).alias("id"),
+            F.col("id").alias("n"), F.lit(category).alias("category"))
+        out = ids if out is None else out.unionByName(ids)
+    return script_lines(out, catalogue, seed, name, wording)
+
+
+def script_lines(ids: DataFrame, catalogue: Catalogue = CORE, seed: int = 0,
+                 name: str = V.DEFAULT_NAME, wording: Wording = Wording()) -> DataFrame:
+    """A scripted line with its gold label for every ``id, n, category``.
+
+    ``n`` deals the typed intents in turn. One map stage, no shuffle.
+    """
+    s = f"corpus{seed}"
+    d = _typed(ids, catalogue, s, name)
+    typed = F.col("category") == "typed"
+    prose = _prose(s, name, wording)
+    return d.select(
+        "id", F.when(typed, F.col("typed_text")).otherwise(prose).alias("text"),
+        F.try_element_at(F.create_map(*[F.lit(x) for kv in GOLD.items() for x in kv]),
+                         F.col("category")).alias("g_addressed"),
+        F.when(typed, F.col("g_intent")).when(F.col("category") == "open", V.OPEN_REQUEST)
+        .alias("g_intent"),
+        F.when(typed, F.col("typed_slots")).otherwise(F.create_map().cast("map<string,string>"))
+        .alias("g_slots"), "category", F.xxhash64(F.lit(s), "id").alias("order_key"))
 
 
 def _typed(ids: DataFrame, catalogue: Catalogue, s: str, name: str) -> DataFrame:
@@ -146,24 +161,20 @@ def _typed(ids: DataFrame, catalogue: Catalogue, s: str, name: str) -> DataFrame
     text = render_example(F.col("template"), texts)
     text = F.regexp_replace(text, r"\b(minute|second|hour)s timer", "$1 timer")
     slots = F.map_from_entries(F.array_compact(F.array(*entries))) if entries else F.create_map()
-    return d.select("id", wrap_phrase(text, F.col("g_intent"), name, s, key).alias("text"),
-                    F.lit(V.ASSISTANT).alias("g_addressed"), "g_intent",
-                    slots.cast("map<string,string>").alias("g_slots"), "category")
+    return d.withColumns({
+        "typed_text": wrap_phrase(text, F.col("g_intent"), name, s, key),
+        "typed_slots": slots.cast("map<string,string>")})
 
 
-def _prose(ids: DataFrame, category: str, s: str, name: str, wording: Wording) -> DataFrame:
+def _prose(s: str, name: str, wording: Wording) -> Column:
     key = F.col("id")
-    lines = F.array(*[F.lit(x) for x in wording.lines[category]])
+    lines = by_intent(F.col("category"), wording.lines, None)
     text = fill_template(_draw(lines, s + "line", key), wording.options, s + "fill", key)
-    if category == "open":
-        forms = F.array(*map(F.lit, NAME_FORMS))
-        called = F.replace(F.replace(_draw(forms, s + "called", key), F.lit("{name}"),
-                                     F.lit(name)), F.lit("{x}"), text)
-        text = F.when(hash_unit(s + "called?", key) < 0.4, called).otherwise(text)
-    intent = V.OPEN_REQUEST if category == "open" else None
-    return ids.select("id", text.alias("text"), F.lit(GOLD[category]).alias("g_addressed"),
-                      F.lit(intent).cast("string").alias("g_intent"),
-                      F.create_map().cast("map<string,string>").alias("g_slots"), "category")
+    forms = F.array(*map(F.lit, NAME_FORMS))
+    called = F.replace(F.replace(_draw(forms, s + "called", key), F.lit("{name}"),
+                                 F.lit(name)), F.lit("{x}"), text)
+    return F.when((F.col("category") == "open") & (hash_unit(s + "called?", key) < 0.4),
+                  called).otherwise(text)
 
 
 # -- prompted sessions ----------------------------------------------------------------------------

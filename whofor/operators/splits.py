@@ -20,13 +20,12 @@ MAX_ROUNDS = 40
 
 def key_nodes(keys: list[str]) -> Column:
     """array<string> of 'key=value' a row belongs to; a speaker "a+b" is both a and b."""
-    parts = []
-    for k in keys:
+    def nodes(k):
         c = F.coalesce(F.col(k).cast("string"), F.lit(""))
         values = F.split(c, r"\+") if k == "speaker" else F.array(c)
-        parts.append(F.transform(F.filter(values, lambda v: v != ""),
-                                 lambda v, k=k: F.concat(F.lit(k + "="), v)))
-    return F.array_distinct(F.concat(*parts))
+        return F.transform(F.filter(values, lambda v: v != ""),
+                           lambda v: F.concat(F.lit(k + "="), v))
+    return F.array_distinct(F.concat(*[nodes(k) for k in keys]))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ def local_session(app: str = "whofor", cores: str = "*", shuffle: int = 8,
              .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
              .config("spark.driver.memory", memory)
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.codegen.maxFields", "200")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -24,12 +24,14 @@ def read_event_log(spark: SparkSession, path: str, streaming: bool = False,
     The file and the place in it order events of the same instant.
     """
     reader = spark.readStream if streaming else spark.read
+    # A stream has no line numbers; there (t, mono, file) is the order.
+    line = F.lit(0).cast("long") if streaming else F.monotonically_increasing_id()
     lines = reader.format("text").load(path)
     parsed = lines.select(
         F.from_json("value", schema + ", _corrupt string",
                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e"),
         F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("line"))
+        line.alias("line"))
     good = parsed.where(F.col("e._corrupt").isNull()
                         & (F.coalesce("e.turn", F.lit("")) != ""))
     return good.select("e.*", "raw", "file", "line").drop("_corrupt")
