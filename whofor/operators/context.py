@@ -9,27 +9,85 @@ the assistant's last words are carried forward however old they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from whofor import fixed as V
 from whofor.functions import text as T
 from whofor.functions.scalars import is_true
-from whofor.operators.ordering import carry_last, number_rows, overlap, own_rows, run_window
+from whofor.operators.ordering import overlap, own_rows, run_window
 
 KEYS = ["conv_id"]
 MAX_KEPT = 40
 PIECE_SECONDS = 3600
 
 
-def numbered(df: DataFrame, pos: str = "pos") -> DataFrame:
-    return number_rows(df, KEYS, ["at_s", "turn"],
-                       F.floor(F.col("at_s") / PIECE_SECONDS).cast("long"), pos)
-
-
-def renumbered(df: DataFrame, pos: str = "upos", old: str = "pos") -> DataFrame:
-    """Dense positions for the rows of a numbered table that were kept."""
-    return number_rows(df, KEYS, [old], F.floor(F.col(old) / 4096).cast("long"), pos)
+def situate(df: DataFrame, silence: float = 25.0) -> DataFrame:
+    """Every row placed in its conversation, with what was last said before it.
+
+    Adds ``pos`` (over all rows), ``upos`` (over user rows), ``last_ai_text``,
+    ``last_ai_at``, ``last_user_text``, ``gap_s`` (since the user row before)
+    and ``episode`` (the ``upos`` where the current stretch without ``silence``
+    seconds of quiet began).
+
+    Rows are shuffled once, by (conversation, hour). Each hour is read in order
+    where it lands; one summary row per hour is ordered over the conversation
+    and joined back, so no task ever holds more than an hour of rows.
+    """
+    piece = F.floor(F.col("at_s") / PIECE_SECONDS).cast("long")
+    here = Window.partitionBy(*KEYS, "__piece").orderBy("at_s", "turn")
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    user, ai = F.col("role") == "user", F.col("role") == "assistant"
+
+    def last(value, w):
+        return F.last(value, ignorenulls=True).over(w)
+    said = F.when(ai, F.struct(F.col("at_s").alias("at"), F.col("text").alias("text")))
+    heard = F.when(user & (T.strip(F.coalesce("text", F.lit(""))) != ""), F.col("text"))
+    d = df.withColumn("__piece", piece).withColumns({
+        "__r": F.row_number().over(here) - 1,
+        "__u": F.sum(F.when(user, 1).otherwise(0)).over(upto),
+        "__at": last(F.when(user, F.col("at_s")), before),
+        "__ai": last(said, before), "__heard": last(heard, before)})
+    starts = user & (F.col("at_s") - F.col("__at") > silence)
+    d = d.withColumn("__start", F.when(starts, F.col("__u")))
+    d = d.withColumn("__episode", last(F.col("__start"), upto))
+
+    def end(value):
+        return F.max_by(value, F.when(value.isNotNull(), F.col("__r")))
+    ends = d.groupBy(*KEYS, "__piece").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(user, 1).otherwise(0)).alias("nu"),
+        end(said).alias("ai"), end(heard).alias("heard"),
+        F.min(F.when(user, F.col("at_s"))).alias("first_at"),
+        F.max(F.when(user, F.col("at_s"))).alias("last_at"),
+        F.max("__start").alias("start"))
+    earlier = (Window.partitionBy(*KEYS).orderBy("__piece")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    s = ends.withColumns({
+        "p0": F.coalesce(F.sum("n").over(earlier), F.lit(0)),
+        "u0": F.coalesce(F.sum("nu").over(earlier), F.lit(0)),
+        "ai0": last(F.col("ai"), earlier), "heard0": last(F.col("heard"), earlier),
+        "at0": last(F.col("last_at"), earlier)})
+    opens = F.col("first_at").isNotNull() & (
+        F.col("at0").isNull() | (F.col("first_at") - F.col("at0") > silence))
+    s = s.withColumn("first_start", F.when(opens, F.col("u0") + 1))
+    s = s.withColumn("episode0", last(F.coalesce(F.col("u0") + F.col("start"),
+                                                 F.col("first_start")), earlier))
+    s = s.select(*KEYS, "__piece", "p0", "u0", "ai0", "heard0", "at0", "first_start", "episode0")
+    spoken = F.coalesce("__ai", "ai0")
+    return d.join(s, [*KEYS, "__piece"]).select(
+        *df.columns, (F.col("p0") + F.col("__r")).alias("pos"),
+        F.when(user, F.col("u0") + F.col("__u") - 1).alias("upos"),
+        F.coalesce(spoken["text"], F.lit("")).alias("last_ai_text"),
+        spoken["at"].alias("last_ai_at"),
+        F.coalesce("__heard", "heard0", F.lit("")).alias("last_user_text"),
+        F.when(user, F.col("at_s") - F.coalesce("__at", "at0")).alias("gap_s"),
+        F.when(user, F.coalesce(F.col("u0") + F.col("__episode"), "first_start", "episode0") - 1)
+        .alias("episode"))
+
+
+def users(df: DataFrame) -> DataFrame:
+    return situate(df).where("role = 'user'")
 
 
 def _lookback(df: DataFrame, pos: str, columns: dict[str, Column], back: int) -> DataFrame:
@@ -41,7 +99,7 @@ def _lookback(df: DataFrame, pos: str, columns: dict[str, Column], back: int) ->
 
 def retain(df: DataFrame, ttl: float = 900.0, keep: int = MAX_KEPT) -> DataFrame:
     """What is still remembered at the end of each conversation: young enough, newest few."""
-    d = numbered(df)
+    d = situate(df)
     ends = d.groupBy(*KEYS).agg(F.max("at_s").alias("__now"), F.max("pos").alias("__last"))
     return d.join(ends, KEYS).where(
         (F.col("at_s") >= F.col("__now") - ttl) & (F.col("pos") > F.col("__last") - keep)) \
@@ -50,14 +108,13 @@ def retain(df: DataFrame, ttl: float = 900.0, keep: int = MAX_KEPT) -> DataFrame
 
 def recent_utterances(df: DataFrame, n: int = 3) -> DataFrame:
     """User rows with ``recent``: the n utterances before each, oldest first."""
-    users = renumbered(numbered(df).where("role = 'user'"))
-    return _lookback(users, "upos", {"recent": F.col("text")}, n)
+    return _lookback(users(df), "upos", {"recent": F.col("text")}, n)
 
 
 def overheard(df: DataFrame, within: float = 180.0, limit: int = 4,
               max_chars: int = 90) -> DataFrame:
     """User rows with ``overheard``: recent reliable speech that was not answered."""
-    users = renumbered(numbered(df).where("role = 'user'"))
+    users = users(df)
     said = F.struct("at_s", T.collapse(F.col("text")).alias("text"), "ai_directed", "reliable")
     d = _lookback(users, "upos", {"__kept": said}, MAX_KEPT)
     words = F.filter("__kept", lambda u: ~is_true(u["ai_directed"]) & is_true(u["reliable"])
@@ -70,24 +127,14 @@ def overheard(df: DataFrame, within: float = 180.0, limit: int = 4,
 
 def recent_verdicts(df: DataFrame, limit: int = 4) -> DataFrame:
     """User rows with ``recent_verdicts``: tri-state, newest last."""
-    users = renumbered(numbered(df).where("role = 'user'"))
-    d = _lookback(users, "upos", {"__v": F.struct("ai_directed")}, limit)
+    d = _lookback(users(df), "upos", {"__v": F.struct("ai_directed")}, limit)
     return d.withColumn("recent_verdicts",
                         F.transform("__v", lambda s: s["ai_directed"])).drop("__v")
 
 
 def last_words(df: DataFrame) -> DataFrame:
     """Every row with ``last_ai_text, last_ai_at, last_user_text`` as of that row."""
-    d = df if "pos" in df.columns else numbered(df)
-    ai = F.col("role") == "assistant"
-    spoken = (F.col("role") == "user") & (T.strip(F.col("text")) != "")
-    d = carry_last(d, KEYS, F.when(ai, F.struct(F.col("at_s").alias("at"), F.col("text"))),
-                   "__ai")
-    d = carry_last(d, KEYS, F.when(spoken, F.col("text")), "last_user_text")
-    return d.withColumns({"last_ai_text": F.coalesce(F.col("__ai.text"), F.lit("")),
-                          "last_ai_at": F.col("__ai.at"),
-                          "last_user_text": F.coalesce("last_user_text", F.lit(""))}) \
-        .drop("__ai")
+    return situate(df)
 
 
 def since_ai(at: Column, last_ai_at: Column) -> Column:
@@ -101,15 +148,14 @@ def awaiting_answer(last_ai_text: Column) -> Column:
 
 def render_messages(df: DataFrame, turns: int = 6) -> DataFrame:
     """Every row with ``messages``: the last 2*turns turns, tool turns dropped after the cut."""
-    d = _lookback(numbered(df), "pos", {
+    d = _lookback(situate(df), "pos", {
         "__m": F.struct("role", F.col("text").alias("content"))}, turns * 2)
     return d.withColumn("messages", F.filter("__m", lambda m: m["role"] != "tool")).drop("__m")
 
 
 def conversation_snapshot(df: DataFrame, verdicts: int = 4) -> DataFrame:
     """User rows with a ``snapshot`` struct: timing, open question, recent verdicts, contexts."""
-    d = last_words(df).where("role = 'user'")
-    d = _lookback(renumbered(d), "upos", {"__v": F.struct("ai_directed")}, verdicts)
+    d = _lookback(users(df), "upos", {"__v": F.struct("ai_directed")}, verdicts)
     asked = awaiting_answer(F.col("last_ai_text"))
     host = F.col("active") if "active" in df.columns else F.array().cast("array<string>")
     contexts = F.array_union(host, F.when(asked, F.array(F.lit("awaiting_answer")))

@@ -22,9 +22,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from whofor import fixed as V
 from whofor.functions import text as T
 from whofor.functions.scalars import is_true
-from whofor.operators.context import (KEYS, _lookback, last_words, numbered, renumbered,
-                                      since_ai)
-from whofor.operators.ordering import carry_last
+from whofor.operators.context import KEYS, _lookback, since_ai, users
 from whofor.operators.signals import SignalSettings, TextContext, has_audience, weigh
 
 EXCHANGE_SECONDS = 25.0
@@ -60,11 +58,8 @@ def _sounds_like(text: pd.Series, earlier: pd.Series) -> pd.Series:
 
 def prepare(df: DataFrame, settings: SignalSettings = SignalSettings()) -> DataFrame:
     """User rows with the ``FACTS`` a verdict needs, and their ``upos`` in the conversation."""
-    d = last_words(numbered(df)).where("role = 'user'")
-    d = renumbered(d).withColumn("body", T.clean(F.coalesce("text", F.lit(""))))
+    d = users(df).withColumn("body", T.clean(F.coalesce("text", F.lit(""))))
     d = _lookback(d, "upos", {"__prev": F.struct("at_s", "body", "upos")}, RETRY_DEPTH)
-    newest = F.try_element_at(F.col("__prev"), F.lit(-1))
-    d = d.withColumn("gap_s", F.col("at_s") - newest["at_s"])
     ctx = TextContext(
         reliable=F.col("reliable"), own_voice=F.col("own_voice"), driving=F.col("driving"),
         since_ai=since_ai(F.col("at_s"), F.col("last_ai_at")),
@@ -150,8 +145,6 @@ class VerdictChain:
 def score_conversations(df: DataFrame, settings: SignalSettings = SignalSettings()) -> DataFrame:
     """User rows with the verdict each would have got, in order, inside its conversation."""
     d = prepare(df, settings)
-    starts = F.col("gap_s").isNull() | (F.col("gap_s") > EXCHANGE_SECONDS)
-    d = carry_last(d, KEYS, F.when(starts, F.col("upos")), "episode", "upos", inclusive=True)
     keep = [c for c in d.columns if c not in FACTS]
     out = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keep)
     # Whole episodes land in one partition in order; one pass over the batches then

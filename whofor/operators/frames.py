@@ -1,6 +1,7 @@
 """Frame streams in batch: voice activity, speech segments, level meter.
 
-Frames are ``stream_id, frame_idx, ts`` plus a level or a probability.
+Frames are ``stream_id, frame_idx, ts`` plus a level or a probability. The
+index counts a stream's frames without gaps, so it is the position.
 """
 
 from __future__ import annotations
@@ -11,8 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from whofor.operators.ordering import (CHUNK_ROWS, carry_last, number_rows, overlap, own_rows,
-                                       run_window)
+from whofor.operators.ordering import carry_last, overlap, own_rows, run_window
 
 KEYS = ["stream_id"]
 FLOOR_FRAMES = 100
@@ -22,9 +22,8 @@ FLOOR_START, FLOOR_LEAST = 1e-3, 1e-5
 SENSITIVITY = 3.0
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    return number_rows(df, KEYS, ["frame_idx"],
-                       F.floor(F.col("frame_idx") / CHUNK_ROWS).cast("long"))
+def placed(df: DataFrame) -> DataFrame:
+    return df.withColumn("pos", F.col("frame_idx").cast("long"))
 
 
 def speech_probability(level: Column, noise: Column) -> Column:
@@ -35,7 +34,7 @@ def speech_probability(level: Column, noise: Column) -> Column:
 
 def energy_vad(df: DataFrame) -> DataFrame:
     """Adds ``prob``: level against a rolling percentile of the last 100 frames."""
-    d = overlap(numbered(df), KEYS, back=FLOOR_FRAMES - 1)
+    d = overlap(placed(df), KEYS, back=FLOOR_FRAMES - 1)
     w = run_window(KEYS).rowsBetween(-(FLOOR_FRAMES - 1), 0)
     level = F.col("rms") + 1e-9
     d = d.withColumn("__level", level)
@@ -132,7 +131,7 @@ def islands(df: DataFrame, cfg: SegmentSettings = SegmentSettings()) -> DataFram
     voiced frame, which is all the history that frame's segment can reach.
     """
     back, ahead = cfg.closing_frames + cfg.preroll_frames, cfg.preroll_frames
-    d = overlap(numbered(df).withColumn("__v", (F.col("prob") >= cfg.threshold).cast("int")),
+    d = overlap(placed(df).withColumn("__v", (F.col("prob") >= cfg.threshold).cast("int")),
                 KEYS, back=back + ahead, ahead=ahead)
     w = run_window(KEYS)
     before = w.rowsBetween(-back, -1)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from whofor import fixed as V
 from whofor.functions.scalars import any_of, count_if, is_true, sigmoid, total
+from whofor.operators.ordering import settle
 from whofor.operators.quantiles import order_statistics
 
 
@@ -262,14 +263,16 @@ def gate_decide(df: DataFrame, inp: GateInputs, mode: str = "shadow",
         skip_learned = is_true((why == "") & (p_learned < F.lit(model.threshold)))
     out = df.withColumns({
         "gate_confidence": F.round(p_rule, 4), "must": must,
-        "gate_signals": signal_array(weights, signal_details(inp)),
         "rule_would_skip": is_true(rule), "learned_confidence": p_learned,
         "learned_reason": why, "learned_would_skip": skip_learned})
     would = F.col("learned_would_skip" if learned else "rule_would_skip")
     reason = F.col("learned_reason") if learned else F.coalesce(F.col("must"), F.lit(""))
-    return out.withColumns({
+    out = out.withColumns({
         "would_skip": would, "skip": would & F.lit(mode == "skip"),
         "reason": F.when(would, F.lit("")).otherwise(reason)})
+    out = settle(out, ["gate_confidence", "must", "rule_would_skip", "learned_confidence",
+                       "learned_reason", "learned_would_skip", "would_skip", "skip", "reason"])
+    return out.withColumn("gate_signals", signal_array(weights, signal_details(inp)))
 
 
 def loggable(seconds: Column) -> Column:
@@ -338,8 +341,8 @@ def eligibility(df: DataFrame, model: GateModel, protect_wearer: bool = True) ->
     """Adds ``p`` and ``may_skip``: would anything but the score forbid a skip?"""
     inp = context_from_features()
     open_ended = (context_must(inp, protect_wearer).isNull() & feature_problem().isNull())
-    return df.withColumn("p", F.round(predict_gate(model), 4)) \
-        .withColumn("may_skip", open_ended)
+    return settle(df.withColumns({"p": F.round(predict_gate(model), 4), "may_skip": open_ended}),
+                  ["p", "may_skip"])
 
 
 def choose_threshold(df: DataFrame, p: Column, may_skip: Column, positive: Column,

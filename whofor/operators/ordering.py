@@ -93,3 +93,15 @@ def first_ranked(df: DataFrame, keys: list[str], order: list, n: int,
             .withColumn("__r", F.row_number().over(local)).where(F.col("__r") <= n)
             .withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= n)
             .drop("__lane", "__r"))
+
+
+def settle(df: DataFrame, names: list[str]) -> DataFrame:
+    """Evaluate these columns once, here.
+
+    A filter on a computed column is normally pushed below the projection that
+    computes it, which means a second copy of the expression; for a score made
+    of sixty patterns that copy is slow to plan and slow to run. Passing the
+    columns through a one-element generator keeps filters above it.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))

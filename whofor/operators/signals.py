@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from whofor import fixed as V
 from whofor.functions import text as T
 from whofor.functions.scalars import any_of, is_true, sigmoid, total
+from whofor.operators.ordering import settle
 
 SIGNAL_ORDER = (
     "bias", "assistant_name", "assistant_name_mentioned", "bystander_addressed",
@@ -172,18 +173,20 @@ def weigh(df: DataFrame, text: Column, ctx: TextContext = TextContext(),
     d = d.withColumn("tail_body", T.clean(F.col("tail_text")))
     whole = _weights(F.col("body"), ctx, settings, ctx.reliable, ctx.driving, ctx.retry)
     tail = _weights(F.col("tail_body"), ctx, settings, tail_reliable, None, ctx.tail_retry)
-    d = d.withColumns({"whole": _pack(whole), "own_tail": F.when(
-        F.col("tail_text").isNotNull(), _pack(tail))})
+    # Plain structs, null field by field: reading one field then costs only that field.
+    spoken = F.col("tail_text").isNotNull()
+    tail = {n: F.when(spoken, c) for n, c in tail.items()}
+    d = d.withColumns({"whole": _pack(whole), "own_tail": _pack(tail)})
     names = list(dict.fromkeys([*whole, *tail]))
     merged = {}
     for n in names:
         mine = F.col(f"own_tail.{n}") if n in tail else F.lit(None).cast("double")
         carried = n in V.AUDIENCE_SIGNALS and n in whole
-        merged[n] = F.coalesce(mine, F.col(f"whole.{n}")) if carried else mine
-    d = d.withColumn("tail", F.when(F.col("own_tail").isNotNull(), _pack(merged)))
+        merged[n] = F.coalesce(mine, F.when(spoken, F.col(f"whole.{n}"))) if carried else mine
+    d = d.withColumn("tail", _pack(merged))
     return d.withColumns({
         "whole_logit": _logit("whole", list(whole)),
-        "tail_logit": F.when(F.col("tail").isNotNull(), _logit("tail", names)),
+        "tail_logit": F.when(spoken, _logit("tail", names)),
     }).withColumns({
         "whole_p": sigmoid(F.col("whole_logit"), 30.0),
         "tail_p": sigmoid(F.col("tail_logit"), 30.0)}).drop("own_tail")
@@ -195,18 +198,22 @@ def heuristic_score(df: DataFrame, text: Column, ctx: TextContext = TextContext(
     d = weigh(df, text, ctx, settings)
     names = list(d.schema["tail"].dataType.names)
     whole_names = set(d.schema["whole"].dataType.names)
-    same = F.struct(*[
-        (F.col(f"whole.{n}") if n in whole_names else F.lit(None).cast("double")).alias(n)
-        for n in names])
     use_tail = is_true(F.col("tail_p") > F.col("whole_p"))
+
+    def chosen(n):
+        whole = F.col(f"whole.{n}") if n in whole_names else F.lit(None).cast("double")
+        return F.when(F.col("use_tail"), F.col(f"tail.{n}")).otherwise(whole).alias(n)
+    d = d.withColumn("use_tail", use_tail)
+    use_tail = F.col("use_tail")
     d = d.withColumns({
         "heuristic": F.when(use_tail, F.col("tail_p")).otherwise(F.col("whole_p")),
         "scored_clause": F.when(use_tail, F.col("tail_text")),
         "scored_body": F.when(use_tail, F.col("tail_body")).otherwise(F.col("body")),
-        "weights": F.when(use_tail, F.col("tail")).otherwise(same)})
+        "weights": F.struct(*[chosen(n) for n in names])})
+    d = settle(d, ["heuristic", "scored_clause", "scored_body", "weights"])
     return d.withColumn("signals", _signals(F.col("weights"), F.col("scored_body"), names)) \
         .drop("whole", "tail", "tail_text", "tail_body", "body", "scored_body",
-              "whole_logit", "tail_logit", "whole_p", "tail_p")
+              "use_tail", "whole_logit", "tail_logit", "whole_p", "tail_p")
 
 
 def has_audience(weights: Column, names) -> Column:

@@ -20,6 +20,8 @@ def local_session(app: str = "whofor", cores: str = "*", shuffle: int = 8,
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
              .config("spark.driver.memory", memory)
+             # Recording a call site per column expression costs more than building the plan.
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.codegen.maxFields", "200")

@@ -671,7 +671,7 @@ PIECES = """select l_orderkey as id, l_linenumber as pos, {t} as text,
 with p as ({PIECES.format(t="' w' || l_linenumber || ' '")}),
 a as (select id, string_agg(trim(text), ' ' order by pos) as transcript, bool_or(isnan(score)) as bad, avg(case when not isnan(score) then score end) as m,
   arg_max(score, pos) as t, max(no_speech) as no_speech from p group by id)
-select id, transcript, coalesce(case when not bad then m > -1.0 end, true) as reliable,
+select id, transcript, coalesce(case when not bad then round(m, 9) > -1.0 end, true) as reliable,
   case when isnan(t) then true else t > -1.0 end as tail_reliable, round(no_speech, 4) as no_speech from a""")
 def _(spark, sf):
     d = run_sql(spark, sf, PIECES.format(t="concat(' w', cast(l_linenumber as string), ' ')"))
