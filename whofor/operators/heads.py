@@ -157,7 +157,7 @@ def fit_heads(df: DataFrame, catalogue: Catalogue = CORE, vector: str = "vector"
             .select("__z", w.alias("__w"), F.posexplode(F.col(y)).alias("k", "p")) \
             .where("p > 0").select(F.col("__z"), F.col("k").cast("double").alias("label"),
                                    (F.col("__w") * F.col("p")).alias("weight"))
-        floor = df.sparkSession.range(len(classes)).select(
+        floor = df.sparkSession.range(0, len(classes), 1, 1).select(
             F.array_repeat(F.lit(0.0), dim).alias("__z"), F.col("id").cast("double").alias("label"),
             F.lit(WEIGHT_FLOOR).alias("weight"))
         data = rows.unionByName(floor).select(

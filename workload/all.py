@@ -1,4 +1,4 @@
 """Every registered query. Importing this module registers them."""
 
-from workload import gate_queries, text_queries  # noqa: F401
+from workload import gate_queries, model_queries, text_queries  # noqa: F401
 from workload.registry import ORACLES, QUERIES  # noqa: F401
