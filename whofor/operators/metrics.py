@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from whofor import fixed as V
 from whofor.functions.scalars import (argmax, bound, count_if, is_true, rate, rate_columns,
                                       safe_div, wilson_upper)
-from whofor.operators.ordering import first_ranked
+from whofor.operators.ordering import first_ranked, settle
 from whofor.operators.parsing import no_slots
 from whofor.operators.quantiles import quantiles, running_sums
 
@@ -165,11 +165,12 @@ def judged(df: DataFrame, mode: str = "auto") -> DataFrame:
     """Routed rows with truth and the boolean facts every report counts."""
     d = truth(df, mode)
     values = F.transform_values("slots", lambda k, v: v["value"])
-    return d.withColumns({
+    d = d.withColumns({
         "is_assist": is_true(F.col("true_addressed") == V.ASSISTANT),
         "has_truth": F.col("true_addressed").isNotNull(),
         "slot_values": values,
-    }).withColumns({
+    })
+    d = d.withColumns({
         "act_ok": (F.col("route") == "act") & act_correct(
             F.col("intent"), F.col("slot_values"), F.col("true_addressed"),
             F.col("true_intent"), F.col("true_slots")),
@@ -177,6 +178,8 @@ def judged(df: DataFrame, mode: str = "auto") -> DataFrame:
         "intent_row": F.col("is_assist") & F.col("true_intent").isNotNull(),
         "intent_ok": is_true(F.col("intent") == F.col("true_intent")),
         "non": F.col("has_truth") & ~F.col("is_assist")})
+    return settle(d, ["is_assist", "has_truth", "act_ok", "addr_ok", "intent_row", "intent_ok",
+                      "non"])
 
 
 def evaluate(j: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from whofor import fixed as V
 from whofor.functions.scalars import argmax, is_true
 from whofor.operators.catalogue import CORE, Catalogue, by_intent
+from whofor.operators.ordering import settle
 
 
 @dataclass(frozen=True)
@@ -110,13 +111,14 @@ def tops(df: DataFrame, catalogue: Catalogue = CORE) -> DataFrame:
     slot_type = "map<string,struct<value:string,p:double>>"
     slots = F.map_from_entries(F.array_compact(F.array(*entries))) if entries \
         else F.create_map()
-    return d.withColumns({
+    d = d.withColumns({
         "who": F.col("__who.n"), "p_who": F.col("__who.p"),
         "p_assistant": F.coalesce(F.try_element_at(F.col("addressed"), F.lit(V.ASSISTANT)),
                                   F.lit(0.0)),
         "intent": F.when(F.size("intents") > 0, F.col("__top.n")),
         "p_intent": F.when(F.size("intents") > 0, F.col("__top.p")),
         "slots": slots.cast(slot_type)}).drop("__who", "__top")
+    return settle(d, ["who", "p_who", "p_assistant", "intent", "p_intent", "slots"])
 
 
 def why_not_act(t: Thresholds, catalogue: Catalogue, state: StateColumns) -> Column:
@@ -161,7 +163,7 @@ def route(df: DataFrame, t: Thresholds, catalogue: Catalogue = CORE,
     d = d.withColumns({"__veto": veto, "__low": is_true(low),
                        "__why": why_not_act(t, catalogue, state)})
     low, veto, why = F.col("__low"), F.col("__veto"), F.col("__why")
-    return d.withColumns({
+    d = d.withColumns({
         "route": F.when(low & veto.isNull(), "ignore")
         .when(~low & why.isNull(), "act").otherwise("escalate"),
         "reason": F.when(low & veto.isNull(), F.format_string(
@@ -170,6 +172,7 @@ def route(df: DataFrame, t: Thresholds, catalogue: Catalogue = CORE,
         .when(low, F.concat(F.lit("would ignore, but "), veto))
         .otherwise(F.coalesce(why, F.lit("confident and complete")))}) \
         .drop("__veto", "__low", "__why")
+    return settle(d, ["route", "reason"])
 
 
 # -- the decision record -----------------------------------------------------------------

@@ -15,6 +15,7 @@ from whofor.operators import metrics as Q
 from whofor.operators import policy as P
 from whofor.operators import splits as S
 from whofor.operators.catalogue import CORE, Catalogue, by_intent
+from whofor.operators.ordering import settle
 from whofor.operators.quantiles import quantiles
 from whofor.operators.router import StateColumns, Thresholds, route, tops, why_not_act
 from whofor.session import cut_lineage
@@ -56,12 +57,13 @@ def act_facts(df: DataFrame, catalogue: Catalogue = CORE) -> DataFrame:
                                          for i in catalogue.intents}, 0.0)
     values = F.transform_values("slots", lambda k, v: v["value"])
     worst = F.array_min(F.transform(F.map_values("slots"), lambda v: v["p"]))
-    return d.withColumns({
+    d = d.withColumns({
         "actable": why_not_act(permissive, bare, StateColumns()).isNull(),
         "floor": floors.cast("double"), "p_slot": F.coalesce(worst, F.lit(1.0)),
         "is_assist": is_true(F.col("true_addressed") == V.ASSISTANT),
         "correct": Q.act_correct(F.col("intent"), values, F.col("true_addressed"),
                                  F.col("true_intent"), F.col("true_slots"))})
+    return settle(d, ["actable", "floor", "p_slot", "is_assist", "correct"])
 
 
 def choose_thresholds(scored: DataFrame, cfg: StudentTraining = StudentTraining(),
@@ -98,10 +100,10 @@ def full_report(j: DataFrame) -> DataFrame:
         "slot_accuracy": F.round(Q.slot_accuracy(j).select("accuracy").scalar(), 4),
         "encode_ms_p50": quantiles(j, [], F.col("encode_ms"), {"p50": 0.5}, 3)
         .select("p50").scalar()}
-    e2e = Q.end_to_end(j)
-    for c in ("hybrid_correct", "teacher_only_correct", "stt_calls_hybrid"):
-        parts[c] = e2e.select(c).scalar()
-    return Q.evaluate(j).withColumns(parts)
+    names = ("hybrid_correct", "teacher_only_correct", "stt_calls_hybrid")
+    e2e = Q.end_to_end(j).select(F.struct(*names)).scalar()
+    d = Q.evaluate(j).withColumns({**parts, "__e2e": e2e})
+    return d.withColumns({c: F.col(f"__e2e.{c}") for c in names}).drop("__e2e")
 
 
 def train_student(rows: DataFrame, vectors: DataFrame, cfg: StudentTraining = StudentTraining(),

@@ -16,6 +16,7 @@ def local_session(app: str = "whofor", cores: str = "*", shuffle: int = 8,
              .config("spark.sql.shuffle.partitions", str(shuffle))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -30,6 +31,21 @@ def local_session(app: str = "whofor", cores: str = "*", shuffle: int = 8,
     return spark
 
 
+SMALL_BYTES_PER_CORE = 4 << 20
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small scan over the cores before CPU-bound work.
+
+    A table of one small file is one task. When the optimizer's own estimate
+    says the rows come to less than one read split per core, moving them is
+    cheap by that bound; a larger table has enough splits and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; make one only where none is set (tests)."""
     sc = spark.sparkContext

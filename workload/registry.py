@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from whofor.session import spread_small
 from workload.fixtures import FIXTURES, TABLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,14 +53,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def fixture(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A derived input as a Spark query over the given tables."""
-    return run_sql(spark, sf_dir, f"select * from @{name}")
+    return run_sql(spark, sf_dir, f"select * from @{name}", spread)
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False) -> DataFrame:
+    """``spread`` readies small tables for CPU-bound work (see ``spread_small``)."""
     text = with_fixtures(sql)
     for t in TABLES:
         if t in text:
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
+            df = table(spark, sf_dir, t)
+            (spread_small(df) if spread else df).createOrReplaceTempView(t)
     return spark.sql(text)

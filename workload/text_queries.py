@@ -17,7 +17,7 @@ ENGINE = S.SignalSettings(bystanders=("sam", "robin"))
 
 
 def utterances(spark, sf):
-    return fixture(spark, sf, "fx_utterances").withColumns({
+    return fixture(spark, sf, "fx_utterances", spread=True).withColumns({
         "own_voice": F.col("own_voice").cast("double"),
         "llm_score": F.col("llm_score").cast("double")})
 
@@ -663,7 +663,7 @@ def _(spark, sf):
                     "intent_accuracy_when_accepted")
 
 
-PIECES = """select l_orderkey as id, l_linenumber as pos, {t} as text,
+PIECES = """select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as pos, {t} as text,
   case when l_partkey % 50 = 0 then cast('NaN' as double) else -l_discount * 15 end as score, l_tax as no_speech from lineitem"""
 
 
@@ -680,12 +680,12 @@ def _(spark, sf):
 
 
 @query("token_reliability", """
-with p as (select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber) - 1 as pos,
+with p as (select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as pos,
   cast(l_partkey % 100 as double) / 100 as score, count(*) over (partition by l_orderkey) as n from lineitem)
 select id, avg(score) >= 0.5 as reliable, avg(case when pos >= n - greatest(1, floor(n / 3)) then score end) >= 0.5 as tail_reliable
 from p group by id""")
 def _(spark, sf):
-    d = run_sql(spark, sf, """select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber) - 1 as pos,
+    d = run_sql(spark, sf, """select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as pos,
       'x' as text, cast(l_partkey % 100 as double) / 100 as score, cast(null as double) as no_speech from lineitem""")
     return K.transcript_reliability(d, "tokens").select("id", "reliable", "tail_reliable")
 
