@@ -114,9 +114,8 @@ def recent_utterances(df: DataFrame, n: int = 3) -> DataFrame:
 def overheard(df: DataFrame, within: float = 180.0, limit: int = 4,
               max_chars: int = 90) -> DataFrame:
     """User rows with ``overheard``: recent reliable speech that was not answered."""
-    users = users(df)
     said = F.struct("at_s", T.collapse(F.col("text")).alias("text"), "ai_directed", "reliable")
-    d = _lookback(users, "upos", {"__kept": said}, MAX_KEPT)
+    d = _lookback(users(df), "upos", {"__kept": said}, MAX_KEPT)
     words = F.filter("__kept", lambda u: ~is_true(u["ai_directed"]) & is_true(u["reliable"])
                      & (u["at_s"] >= F.col("at_s") - within)
                      & (T.word_count(u["text"]) >= 2))

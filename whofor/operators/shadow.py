@@ -14,32 +14,39 @@ GATE_EVENTS = ("gate_scored", "intent_accepted", "intent_ignored", "transcript_r
                "segment_dropped")
 
 
+VERDICTS = ("accepted", "ignored", "skipped")
+
+
 def verdict_of(event: Column, reason: Column) -> Column:
-    """What an event says became of its turn, or null. Rejection only fills a gap."""
-    return (F.when(event == "intent_accepted", "accepted")
-            .when(event == "intent_ignored", "ignored")
-            .when((event == "segment_dropped") & is_true(reason == "gate"), "skipped"))
+    """What an event says became of its turn, as a position in VERDICTS, or null."""
+    return (F.when(event == "intent_accepted", 0).when(event == "intent_ignored", 1)
+            .when((event == "segment_dropped") & is_true(reason == "gate"), 2))
 
 
-def gate_turns(events: DataFrame, order: list[str], gate_fields: list[str]) -> DataFrame:
+def gate_turns(events: DataFrame, order: Column | list[str],
+               gate_fields: list[str]) -> DataFrame:
     """One row per turn the gate scored: its last decision and the turn's last verdict.
 
-    ``order`` places events inside a turn (time, then position in the log). A
-    rejected transcript counts only when it is the first thing known.
+    ``order`` places events inside a turn: one number (time in microseconds),
+    or columns (time, then position in the log). A number and plain fields keep
+    the whole aggregate in hash maps on both sides of its one shuffle; with
+    several columns Spark sorts instead. A rejected transcript counts only when
+    nothing better is known.
     """
-    at = F.struct(*order)
+    at = F.struct(*order) if isinstance(order, list) else order
     e, said = F.col("event"), verdict_of(F.col("event"), F.col("reason"))
     gate = e == "gate_scored"
     per = (events.where((F.coalesce(F.col("turn").cast("string"), F.lit("")) != "")
                         & e.isin(*GATE_EVENTS))
            .groupBy("turn").agg(
-        F.max_by(F.struct(*gate_fields), F.when(gate, at)).alias("gate"),
+        *[F.max_by(f, F.when(gate, at)).alias(f) for f in gate_fields],
         F.max(gate.cast("int")).alias("scored"),
         F.max_by(said, F.when(said.isNotNull(), at)).alias("said"),
         F.max((e == "transcript_rejected").cast("int")).alias("rejected")))
-    verdict = F.coalesce("said", F.when(F.col("rejected") == 1, "no_transcript"),
+    names = F.array(*[F.lit(v) for v in VERDICTS])
+    verdict = F.coalesce(F.get(names, F.col("said")), F.when(F.col("rejected") == 1, "no_transcript"),
                          F.lit("unknown"))
-    return per.where("scored = 1").select("turn", "gate.*", verdict.alias("verdict"))
+    return per.where("scored = 1").select("turn", *gate_fields, verdict.alias("verdict"))
 
 
 def gate_shadow_report(turns: DataFrame) -> DataFrame:
@@ -190,7 +197,7 @@ def latest_labels(labels: DataFrame, order: list[str]) -> DataFrame:
 def save_labelled(rows: DataFrame, vectors: DataFrame, session: str, consent: str, room: str,
                   speaker: str) -> tuple[DataFrame, DataFrame]:
     """(rows, vectors) of a saved session: prefixed ids, only encoders every row has."""
-    total = rows.select(F.count_distinct("id")).scalar()
+    total = rows.groupBy().agg(F.count_distinct("id").alias("n")).scalar()
     mine = vectors.join(rows.select("id"), "id", "left_semi")
     full = mine.groupBy("spec").agg(F.count_distinct("id").alias("n")) \
         .withColumn("__t", total).where("n = __t").select("spec")

@@ -438,7 +438,8 @@ def _(spark, sf):
 # -- the shadow log -------------------------------------------------------------------------------
 
 def turns(spark, sf):
-    return R.gate_turns(fixture(spark, sf, "fx_turn_log"), ["ts", "ord"],
+    at = F.unix_micros(F.col("ts").cast("timestamp")) * 8 + F.col("ord")
+    return R.gate_turns(fixture(spark, sf, "fx_turn_log"), at,
                         ["would_skip", "latency_ms", "feature_ms"])
 
 

@@ -664,7 +664,7 @@ def _(spark, sf):
 
 
 PIECES = """select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as pos, {t} as text,
-  case when l_partkey % 50 = 0 then cast('NaN' as double) else -l_discount * 15 end as score, l_tax as no_speech from lineitem"""
+  case when l_partkey % 50 = 0 then cast('NaN' as double) else -l_discount * 14.3 end as score, l_tax as no_speech from lineitem"""
 
 
 @query("transcript_reliability", f"""
