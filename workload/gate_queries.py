@@ -41,7 +41,7 @@ OPEN = ", ".join(f"'{x}'" for x in V.OPEN_LICENSES)
 
 
 def gate_rows(spark, sf):
-    d = fixture(spark, sf, "fx_gate_rows")
+    d = fixture(spark, sf, "fx_gate_rows", spread=True)
     run = F.col("ignored_run").cast("int")
     return d.withColumns({
         "seconds": F.col("seconds").cast("double"), "confidence": F.col("confidence").cast("double"),
@@ -54,7 +54,7 @@ def gate_rows(spark, sf):
 
 
 def feature_rows(spark, sf):
-    return fixture(spark, sf, "fx_feature_rows")
+    return fixture(spark, sf, "fx_feature_rows", spread=True)
 
 
 def decided(spark, sf, model=None, mode="shadow"):

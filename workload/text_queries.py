@@ -334,7 +334,7 @@ def spoken(spark, sf):
       from (select conv_id, utt_id as event_id, timestamp_millis(cast(conv_id * 100000000 + utt_id * 7000 as bigint)) as ts, text, reliable, own_voice, llm_score from @fx_utterances)
       union all
       select user_id, event_id, user_id * 100000.0 + event_id * 7.0 + 3, 'assistant', 'shall I set it for ten minutes?',
-        true, null, null, false from events where event_id % 5 = 0""").withColumn(
+        true, null, null, false from events where event_id % 5 = 0""", spread=True).withColumn(
         "at_s", F.col("at_s").cast("double"))
 
 
@@ -681,12 +681,12 @@ def _(spark, sf):
 
 @query("token_reliability", """
 with p as (select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as pos,
-  cast(l_partkey % 100 as double) / 100 as score, count(*) over (partition by l_orderkey) as n from lineitem)
+  cast(l_partkey % 97 as double) / 97.3 as score, count(*) over (partition by l_orderkey) as n from lineitem)
 select id, avg(score) >= 0.5 as reliable, avg(case when pos >= n - greatest(1, floor(n / 3)) then score end) >= 0.5 as tail_reliable
 from p group by id""")
 def _(spark, sf):
     d = run_sql(spark, sf, """select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as pos,
-      'x' as text, cast(l_partkey % 100 as double) / 100 as score, cast(null as double) as no_speech from lineitem""")
+      'x' as text, cast(l_partkey % 97 as double) / 97.3 as score, cast(null as double) as no_speech from lineitem""")
     return K.transcript_reliability(d, "tokens").select("id", "reliable", "tail_reliable")
 
 
