@@ -1,8 +1,10 @@
 """The registered queries of this package, and their SQL where SQL can express them."""
 
 from whofor.llm.bpe import op7_byte_bpe
+from whofor.llm.decontaminate import op8_decontaminate
 
 QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_decontaminate": op8_decontaminate,
 }
 ORACLES: dict[str, str] = {}
