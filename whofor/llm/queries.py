@@ -2,8 +2,10 @@
 
 from whofor.llm.bpe import op7_byte_bpe
 from whofor.llm.decontaminate import op8_decontaminate
+from whofor.llm.secrets import op6_secrets
 
 QUERIES = {
+    "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_decontaminate": op8_decontaminate,
 }
