@@ -2,10 +2,12 @@
 
 from whofor.llm.bpe import op7_byte_bpe
 from whofor.llm.decontaminate import op8_decontaminate
+from whofor.llm.minhash import op3_minhash
 from whofor.llm.pii import op10_personal_data
 from whofor.llm.secrets import op6_secrets
 
 QUERIES = {
+    "op3_minhash": op3_minhash,
     "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_decontaminate": op8_decontaminate,
