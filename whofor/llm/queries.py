@@ -3,6 +3,7 @@
 from whofor.llm.bpe import op7_byte_bpe
 from whofor.llm.decontaminate import op8_decontaminate
 from whofor.llm.itq import op1_itq
+from whofor.llm.lines import op4_lines
 from whofor.llm.minhash import op3_minhash
 from whofor.llm.pii import op10_personal_data
 from whofor.llm.secrets import op6_secrets
@@ -10,6 +11,7 @@ from whofor.llm.secrets import op6_secrets
 QUERIES = {
     "op1_itq": op1_itq,
     "op3_minhash": op3_minhash,
+    "op4_lines": op4_lines,
     "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_decontaminate": op8_decontaminate,
