@@ -3,18 +3,22 @@
 from whofor.llm.bpe import op7_byte_bpe
 from whofor.llm.decontaminate import op8_decontaminate
 from whofor.llm.itq import op1_itq
+from whofor.llm.language import op9_language
 from whofor.llm.lines import op4_lines
 from whofor.llm.minhash import op3_minhash
 from whofor.llm.pii import op10_personal_data
 from whofor.llm.secrets import op6_secrets
+from whofor.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_itq": op1_itq,
+    "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_lines": op4_lines,
     "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_decontaminate": op8_decontaminate,
+    "op9_language": op9_language,
     "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {}
