@@ -82,3 +82,20 @@ def test_components_of_chains_stars_and_rings(spark):
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert {k for k in got} == set(range(100, 401)) | {7, 50, 51} | set(range(500, 900))
     assert all(got[k] == 100 for k in range(100, 401)) and got[899] == 7 and got[51] == 50
+
+
+def test_units_find_what_the_first_comparison_misses(spark, monkeypatch):
+    """A family whose smallest member is far from most: links run along edits, in small blocks."""
+    monkeypatch.setattr(mh, "BLOCK", 4)
+    r = random.Random(9)
+    for length in (150, 700):
+        w, rows = [f"v{r.randrange(10 ** 6)}" for _ in range(length)], []
+        for k in range(40):
+            w = list(w)
+            for _ in range(length // 75):
+                w[r.randrange(length)] = f"v{r.randrange(10 ** 6)}"
+            rows.append((k, " ".join(w)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"])
+               for x in mh.near_duplicates(df, broadcast_rows=0).collect()}
+        assert got == brute(rows)

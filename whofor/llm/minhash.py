@@ -4,10 +4,12 @@ A document's set holds its distinct shingles of five words (A-Z in lower case, w
 white space); fewer words make one shingle, no words an empty set that links with nothing. Sets
 are hashed to 64-bit numbers, minima of many universal hashes form a signature, and bands of the
 signature propose pairs. Documents with equal sets share one representative first, so copies cost
-nothing. In a bucket every member is compared with the smallest one; where that leaves a bucket in
-several components, members of different components are compared as well, so no proposed link is
-lost and no bucket of mutual copies is paired out. Pairs pass the signatures' estimate (five
-standard deviations below the threshold) and are then confirmed on full sets.
+nothing. Each document is first compared with the smallest one it meets in any bucket. Buckets that
+this leaves in several components are then searched in units: blocks of a bounded size, each pair
+of blocks once. A unit compares signatures and, where they are close enough (five standard
+deviations below the threshold), sketches of the smallest shingles, of which a set of up to
+``SKETCH`` shingles consists wholly; it returns few candidates instead of all pairs of a bucket,
+and a pair met in several bands counts in the first. All candidates are confirmed on full sets.
 
 With 20 bands of 5 minima a pair at 0.85 is proposed with probability 1 - 8e-6 (at 0.8: 0.9996).
 
@@ -29,11 +31,13 @@ from whofor.llm.tokens import SPACES, folding, hashed_words, mix, read_table, sl
 WIDTH = 5
 FOLD = folding(SPACES)
 BANDS, PER_BAND = 20, 5
+SKETCH, BLOCK = 256, 1024
 SIGN = pa.struct([("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
                   ("bands", pa.list_(pa.int64()))])
 SIGN_DDL = "struct<n: bigint, d1: bigint, d2: bigint, bands: array<bigint>>"
-SETS = pa.struct([("shingles", pa.list_(pa.int64())), ("minima", pa.list_(pa.int32()))])
-SETS_DDL = "struct<shingles: array<bigint>, minima: array<int>>"
+SETS = pa.struct([("shingles", pa.list_(pa.int64())), ("minima", pa.binary()), ("sketch", pa.binary())])
+SETS_DDL = "struct<shingles: array<bigint>, minima: binary, sketch: binary>"
+UNIT_DDL = "a bigint, b bigint"
 _RNG = np.random.default_rng(77)
 _HASHES = BANDS * PER_BAND
 _A = _RNG.integers(1, 2 ** 63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,32 +103,56 @@ def with_sets(df: DataFrame, text: str) -> DataFrame:
     @F.arrow_udf(returnType=SETS_DDL)
     def full(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = [{"shingles": s.view(np.int64), "minima": minima(s).view(np.int32)}
+            out = [{"shingles": s.view(np.int64), "minima": minima(s).tobytes(),
+                    "sketch": s[:SKETCH + 1].tobytes()}
                    for run in slices(batch.cast(pa.binary())) for s in shingle_sets(run)]
             yield pa.array(out, type=SETS)
     small_batches(df.sparkSession)
     return df.withColumn("__s", full(F.col(text).cast("string").cast("binary")))
 
 
-def estimate(a, b):
-    """Share of equal minima."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0),
-                       lambda acc, x: acc + x)
-    return same / F.lit(float(_HASHES))
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, floor: float) -> DataFrame:
-    """Pairs ``a, b`` whose signatures and full sets are similar enough."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"), F.col("minima").alias("ma"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"), F.col("minima").alias("mb"))
-    both = pairs.join(left, "a").join(right, "b").where(estimate(F.col("ma"), F.col("mb")) >= floor)
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` whose full sets are similar enough."""
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - shared
-    return both.where(F.lit(100) * shared >= F.lit(percent) * union).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(
+        F.lit(100) * shared >= F.lit(percent) * union).select("a", "b").distinct()
+
+
+def may_link(x: np.ndarray, y: np.ndarray, limit: float) -> bool:
+    """Whether two sketches allow a similarity of ``limit`` (sure for sets that fit in one)."""
+    top = min(x[-1] if len(x) > SKETCH else np.iinfo(np.uint64).max,
+              y[-1] if len(y) > SKETCH else np.iinfo(np.uint64).max)
+    whole = len(x) <= SKETCH and len(y) <= SKETCH
+    if not whole:
+        x, y = x[x <= top], y[y <= top]
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    union = max(len(x) + len(y) - shared, 1)
+    slack = 0 if whole else 5 * math.sqrt(limit * (1 - limit) / union)
+    return shared / union >= limit - slack - 1e-12
+
+
+def unit_pairs(ids, parts, sides, low, sketches, band: int, limit: float, floor: float):
+    """Candidate pairs of a unit: other component, not met in an earlier band, close sketches."""
+    one = bool((sides == sides[0]).all())
+    bands = low.reshape(len(low), BANDS, PER_BAND)
+    for i in range(len(ids) - 1):
+        rest = slice(i + 1, None)
+        ok = (parts[rest] != parts[i]) & (one | (sides[rest] != sides[i])) & (ids[rest] != ids[i])
+        j = np.flatnonzero(ok) + i + 1
+        if len(j):
+            j = j[(low[j] == low[i]).mean(axis=1) >= floor]
+        if len(j) and band:
+            j = j[~(bands[j, :band] == bands[i, :band]).all(axis=2).any(axis=1)]
+        for k in j.tolist():
+            if may_link(sketches[i], sketches[k], limit):
+                yield ids[i], ids[k]
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                    percent: int = 85) -> DataFrame:
+                    percent: int = 85, broadcast_rows: int = 300_000) -> DataFrame:
     """``key, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Two documents are linked when 100 * shared >= percent * union on their sets.
@@ -134,22 +162,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "id", F.col("__s.n").alias("n"), F.col("__s.d1").alias("d1"), F.col("__s.d2").alias("d2"),
         F.col("__s.bands").alias("bands")))
     group = ["d1", "d2", "n"]
-    reps = signs.where("n > 0 and id is not null").groupBy(*group).agg(
-        F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    rows = stash(reps.select("rep", F.explode("bands").alias("bucket")))
-    shared = rows.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("c")) \
-        .where("c > 1").drop("c")
-    members = stash(rows.join(shared, "bucket"))
+    some = signs.where("n > 0 and id is not null")
+    reps = stash(some.groupBy(*group).agg(F.min("id").alias("rep")))
+    own = some.join(reps.select(F.col("rep").alias("id"), *group), ["id", *group], "left_semi")
+    rows = own.select(F.col("id").alias("rep"), F.posexplode("bands").alias("band", "bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"),
+                                        F.count(F.lit(1)).alias("c")).where("lead < last").drop("last")
+    members = stash(rows.join(shared, "bucket").distinct())
     wanted = members.select(F.col("rep").alias("id")).distinct()
-    sets = stash(with_sets(source.join(wanted, "id", "left_semi"), "text").select(
+    sets = stash(with_sets(source.join(light(wanted, broadcast_rows), "id", "left_semi"), "text").select(
         F.col("id").alias("rep"), F.col("__s.shingles").alias("shingles"),
-        F.col("__s.minima").alias("minima")).dropDuplicates(["rep", "shingles"]))
-    limit = percent / 100
-    floor = limit - 5 * math.sqrt(limit * (1 - limit) / _HASHES)
-    star = members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stash(confirmed(star, sets, percent, floor))
-    links = stash(links.union(confirmed(across(members, components(links), sets, floor),
-                                        sets, percent, floor)))
+        F.col("__s.minima").alias("minima"), F.col("__s.sketch").alias("sketch")))
+    star = members.groupBy("rep").agg(F.min("lead").alias("a")).where("rep <> a") \
+        .select("a", F.col("rep").alias("b"))
+    links = stash(confirmed(star, sets, percent))
+    across = stash(candidates(members, components(links), sets, percent / 100))
+    links = stash(links.union(confirmed(across, sets, percent)))
     joined = components(links).select(F.col("node").alias("rep"), "component")
     labels = reps.select(*group, "rep").join(joined, "rep", "left").select(
         *group, F.coalesce("component", "rep").alias("component"))
@@ -159,20 +187,60 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"))
 
 
-def across(members: DataFrame, found: DataFrame, sets: DataFrame, floor: float) -> DataFrame:
-    """Pairs of one bucket in different components whose signatures are close."""
+def light(df: DataFrame, limit: int) -> DataFrame:
+    """A table for a join with texts: broadcast if it has at most ``limit`` rows."""
+    df = stash(df)
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def candidates(members: DataFrame, found: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
+    """Candidate pairs between components that meet in a bucket."""
+    spark = members.sparkSession
     placed = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left") \
-        .select("bucket", "rep", "lead", F.coalesce("component", "rep").alias("component"))
+        .select("bucket", "band", "rep", "c", F.coalesce("component", "rep").alias("component"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")) \
         .where("c0 < c1").select("bucket")
-    open_ = placed.join(split, "bucket", "left_semi") \
-        .join(sets.select("rep", "minima").dropDuplicates(["rep"]), "rep")
-    a, b = open_.alias("x"), open_.alias("y")
-    return a.join(b, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep"))
-                  & (F.col("x.component") != F.col("y.component"))
-                  & (F.col("x.rep") != F.col("x.lead"))
-                  & (estimate(F.col("x.minima"), F.col("y.minima")) >= floor)) \
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    nb = F.ceil(F.col("c") / BLOCK).cast("int")
+    units = placed.join(split, "bucket", "left_semi").withColumn("mine", F.pmod(F.xxhash64("rep"), nb)) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1))) \
+        .select("rep", "component", "band", F.xxhash64("bucket", F.least("mine", "other"),
+                                                       F.greatest("mine", "other")).alias("unit"),
+                (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    full = units.join(sets.select("rep", "minima", "sketch"), "rep")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    floor = limit - 5 * math.sqrt(limit * (1 - limit) / _HASHES)
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            part = {c: batch.column(c).to_numpy(zero_copy_only=False)
+                    for c in ("unit", "rep", "component", "band", "side")}
+            part["minima"] = np.array([np.frombuffer(x, dtype=np.uint32)
+                                       for x in batch.column("minima").to_pylist()]).reshape(-1, _HASHES)
+            sketches = np.empty(len(part["rep"]), dtype=object)
+            sketches[:] = batch.column("sketch").to_pylist()
+            part["sketch"] = sketches
+            if held is not None:
+                part = {c: np.concatenate((held[c], part[c])) for c in part}
+            ends = [0, *(np.flatnonzero(np.diff(part["unit"])) + 1).tolist()]
+            yield from results(part, ends)
+            held = {c: x[ends[-1]:] for c, x in part.items()}
+        if held is not None and len(held["rep"]):
+            yield from results(held, [0, len(held["rep"])])
+
+    def results(part, ends):
+        pairs = []
+        for lo, hi in zip(ends, ends[1:]):
+            u = {c: x[lo:hi] for c, x in part.items()}
+            if hi - lo > 1 and (u["component"] != u["component"][0]).any():
+                sketches = [np.frombuffer(x, dtype=np.uint64) for x in u["sketch"]]
+                pairs += unit_pairs(u["rep"], u["component"], u["side"], u["minima"], sketches,
+                                    int(u["band"][0]), limit, floor)
+        if pairs:
+            ids = np.sort(np.array(pairs, dtype=np.int64), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1])], ["a", "b"])
+    small_batches(spark)
+    return full.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(work, UNIT_DDL).distinct()
 
 
 def kept_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
