@@ -5,6 +5,7 @@ from whofor.llm.decontaminate import op8_decontaminate
 from whofor.llm.itq import op1_itq
 from whofor.llm.language import op9_language
 from whofor.llm.lines import op4_lines
+from whofor.llm.maxent import op5_maxent
 from whofor.llm.minhash import op3_minhash
 from whofor.llm.pii import op10_personal_data
 from whofor.llm.secrets import op6_secrets
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_lines": op4_lines,
+    "op5_maxent": op5_maxent,
     "op6_secrets": op6_secrets,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_decontaminate": op8_decontaminate,
