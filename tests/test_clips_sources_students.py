@@ -131,8 +131,8 @@ def test_gate_rows_from_a_manifest(spark, tmp_path):
 def test_recipes_are_rebuilt_from_their_seed(spark):
     x = (0.3 * np.sin(np.arange(8000) * 0.03)).astype(np.float32)
     for seed in range(8):
-        a, info = A.augment(x, seed, x)
-        b, _ = A.augment(x, seed, x)
+        a, info = A.retake(x, seed, x)
+        b, _ = A.retake(x, seed, x)
         assert np.isfinite(a).all() and np.abs(a).max() <= 1 and a.size > x.size and "level_db" in info
         np.testing.assert_array_equal(a, b)
         assert np.isfinite(A.noise_clip(seed)[0]).all()
@@ -294,3 +294,15 @@ def test_auc_and_ece(spark):
     pos, neg = s[y], s[~y]
     want = np.mean([(p > neg).mean() + 0.5 * (p == neg).mean() for p in pos])
     assert Q.auc(d, F.col("s"), F.col("y")).first()[0] == pytest.approx(want)
+
+
+def test_vectors_keep_table_order_past_many_partitions(spark):
+    """Row numbers carry the partition in their high bits; table order must not mix with them."""
+    far = 40_000 << 33
+    rows = [("a", 0, far + 5, 1.0), ("a", 1, 3, 2.0), ("b", 0, 1, 1.0), ("b", 0, far, 2.0)]
+    d = spark.createDataFrame(rows, "id string, i int, row long, v double").withColumn(
+        "seq", F.struct(F.col("i").alias("table"), F.lit("f").alias("file"), F.lit(0).alias("block"), F.col("row")))
+    got = {r["id"]: r["v"] for r in d.groupBy("id").agg(F.max_by("v", "seq").alias("v")).collect()}
+    assert got == {"a": 2.0, "b": 2.0}
+    names = SS.table_order(1, F.lit("f"), F.lit(0), F.col("row"))
+    assert d.select(names.alias("s")).schema["s"].dataType.names == ["table", "file", "block", "row"]

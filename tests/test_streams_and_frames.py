@@ -193,3 +193,15 @@ def test_live_totals_stream(spark, tmp_path):
         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert (seen[-1]["utterances"], seen[-1]["decided_fast"], seen[-1]["agreed"]) == (15, 10, 5)
+
+
+def test_overheard_looks_through_dense_speech(spark):
+    """Sixty remarks within three minutes: the buffer holds forty, a larger one holds all."""
+    from whofor.operators import context as X
+    rows = [("c", i, "user", f"remark number {i}", float(i), i >= 5, True) for i in range(60)]
+    rows.append(("c", 60, "user", "and now", 60.0, False, True))
+    d = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string, at_s double, "
+                                    "ai_directed boolean, reliable boolean")
+    def last(**more):
+        return X.overheard(d, **more).where("turn = 60").first()["overheard"]
+    assert last() == [] and last(keep=100) == [f"remark number {i}" for i in range(1, 5)]

@@ -195,17 +195,19 @@ def check_catalogue(intents: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def extend_catalogue(base: DataFrame, other: DataFrame) -> DataFrame:
-    """Base intents plus the other's; the other wins a clash, the open request comes last."""
+    """Base intents plus the other's; the other wins a clash, the open request comes last.
+
+    The other's positions follow the base's last one, whatever their size.
+    """
     def core(df):
         return df.where(F.col("intent") != V.OPEN_REQUEST)
-    kept = core(base).join(core(other).select("intent"), "intent", "left_anti") \
-        .withColumn("__part", F.lit(0))
-    new = core(other).withColumn("__part", F.lit(1))
+    after = F.coalesce(core(base).select(F.max("position") + 1).scalar(), F.lit(0))
+    kept = core(base).join(core(other).select("intent"), "intent", "left_anti")
+    new = core(other).withColumn("position", after + F.col("position"))
 
     def tag(column):
         return F.concat(F.lit(base.select(F.max(column)).scalar()), F.lit("+"),
                         F.lit(other.select(F.max(column)).scalar()))
     merged = kept.unionByName(new).withColumns({
-        "position": F.col("__part") * 1000000 + F.col("position"),
-        "catalogue": tag("catalogue"), "version": tag("version")}).drop("__part")
+        "catalogue": tag("catalogue"), "version": tag("version")})
     return add_open_request(merged)

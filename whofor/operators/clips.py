@@ -19,6 +19,7 @@ from whofor import fixed as V
 from whofor.functions import audio as A
 from whofor.functions.scalars import is_true
 from whofor.operators.gate import GateInputs, context_from_manifest, gate_features
+from whofor.operators.ordering import number_rows
 from whofor.operators.policy import resolve_provenance
 
 PROSODY_TYPE = ", ".join(f"{n} double" for n in V.PROSODY_NAMES)
@@ -242,24 +243,30 @@ def recipe_seed(clip_id: Column) -> Column:
 
 
 def expand_recipes(clips: DataFrame, copies: int = 1, seed: int = 0, noise: int = 0,
-                   babble_pool: int = 40, keep_clean: bool = True) -> DataFrame:
+                   voices: int = 3, keep_clean: bool = True) -> DataFrame:
     """Clean rows plus k seeded recipes each, plus non-speech rows. No audio is touched.
 
-    ``clips`` has ``id, path, g_addressed``. Babble is up to three different
-    paths of the first 40 clips that are not for the assistant (by id).
+    ``clips`` has ``id, path, g_addressed``. Babble is up to ``voices`` different paths drawn from
+    all clips that are not for the assistant: those are numbered in the order of a hash of their
+    id, a hash of the recipe's id draws numbers, and an equi-join fetches the paths.
     """
-    pool = (clips.where(F.col("g_addressed") != V.ASSISTANT).select("id", "path")
-            .orderBy("id").limit(babble_pool))
-    paths = pool.agg(F.array_sort(F.collect_list(F.struct("id", "path"))).alias("p")) \
-        .select(F.transform("p", lambda s: s["path"])).scalar()
+    pool = clips.where(F.col("g_addressed") != V.ASSISTANT).select(
+        F.lit(0).alias("__all"), F.sha1("id").alias("__h"), F.col("id").alias("__from"), "path")
+    size = F.nullif(pool.select(F.count(F.lit(1))).scalar(), F.lit(0))
+    pool = number_rows(pool, ["__all"], ["__h", "__from"], F.substring("__h", 1, 2), "__at") \
+        .select("__at", F.col("path").alias("__path"))
     k = F.explode(F.sequence(F.lit(-1 if keep_clean else 0), F.lit(copies - 1)))
-    d = clips.withColumn("__pool", paths).withColumn("__k", k)
+    d = clips.withColumn("__k", k)
     new_id = F.when(F.col("__k") < 0, F.col("id")).otherwise(
         F.concat(F.col("id"), F.lit("-a"), F.col("__k").cast("string")))
     d = d.withColumn("__id", new_id)
-    ranked = F.array_sort(F.transform("__pool", lambda p: F.struct(
-        F.xxhash64(F.lit(seed), F.col("__id"), p).alias("h"), p.alias("p"))))
-    picks = F.transform(F.slice(ranked, 1, 3), lambda s: s["p"])
+    draw = recipe_seed(F.concat(F.col("__id"), F.lit(f"#{seed}-"), F.col("__j").cast("string")))
+    draws = d.where("__k >= 0").select("__id", F.explode(F.sequence(F.lit(0), F.lit(voices - 1))).alias("__j")) \
+        .withColumn("__at", F.pmod(draw, size)).join(pool, "__at") \
+        .groupBy("__id").agg(F.array_sort(F.collect_set(F.struct("__j", "__path"))).alias("__drawn"))
+    d = d.join(draws, "__id", "left")
+    picks = F.coalesce(F.array_distinct(F.transform("__drawn", lambda s: s["__path"])),
+                       F.array().cast("array<string>"))
     derived = F.col("__k") >= 0
     d = d.withColumns({
         "augment": F.when(derived, F.struct(recipe_seed(F.col("__id")).alias("seed"),
@@ -267,7 +274,7 @@ def expand_recipes(clips: DataFrame, copies: int = 1, seed: int = 0, noise: int
         "room": F.when(derived, "simulated").otherwise("tts"),
         "mic": F.when(derived, "simulated").otherwise("tts"), "id": F.col("__id"),
         "generate": F.lit(None).cast("struct<kind:string,seed:bigint>")}) \
-        .drop("__pool", "__k", "__id")
+        .drop("__drawn", "__k", "__id")
     if not noise:
         return d
     nid = F.format_string("noise%02d-%04d", F.lit(seed), F.col("id"))
@@ -294,7 +301,7 @@ def augment_clips(clips: DataFrame) -> DataFrame:
                 if gen is not None:
                     pcm, info = A.noise_clip(int(gen["seed"]))
                 elif aug is not None and pcm is not None:
-                    pcm, info = A.augment(np.asarray(pcm), int(aug["seed"]),
+                    pcm, info = A.retake(np.asarray(pcm), int(aug["seed"]),
                                           None if babble is None else np.asarray(babble))
                 rows.append((pdf["id"].iat[i], pcm, json.dumps(info)))
             yield pd.DataFrame(rows, columns=["id", "pcm", "info"])

@@ -111,11 +111,15 @@ def recent_utterances(df: DataFrame, n: int = 3) -> DataFrame:
     return _lookback(users(df), "upos", {"recent": F.col("text")}, n)
 
 
-def overheard(df: DataFrame, within: float = 180.0, limit: int = 4,
-              max_chars: int = 90) -> DataFrame:
-    """User rows with ``overheard``: recent reliable speech that was not answered."""
+def overheard(df: DataFrame, within: float = 180.0, limit: int = 4, max_chars: int = 90,
+              keep: int = MAX_KEPT) -> DataFrame:
+    """User rows with ``overheard``: recent reliable speech that was not answered.
+
+    Only the last ``keep`` utterances are remembered, as by the assistant's own buffer; give a
+    larger number to look through all of ``within`` seconds of denser speech.
+    """
     said = F.struct("at_s", T.collapse(F.col("text")).alias("text"), "ai_directed", "reliable")
-    d = _lookback(users(df), "upos", {"__kept": said}, MAX_KEPT)
+    d = _lookback(users(df), "upos", {"__kept": said}, keep)
     words = F.filter("__kept", lambda u: ~is_true(u["ai_directed"]) & is_true(u["reliable"])
                      & (u["at_s"] >= F.col("at_s") - within)
                      & (T.word_count(u["text"]) >= 2))

@@ -97,21 +97,17 @@ def deal(sizes: list[tuple[int, int]], total: int, fractions) -> dict[int, list[
     filled = [0.0] * len(targets)
     out = {}
     for size, count in sorted(sizes, reverse=True):
-        take = [0] * len(targets)
-        left = count
-        if count > 1000:
-            # Skip ahead: everything above a level of need is certain to be dealt.
-            lo, hi = -1.0 - size * count / min(targets), 1.0
-
-            def upto(level):
-                return [max(0, int((t - f - level * t) // size))
-                        for t, f in zip(targets, filled)]
-            for _ in range(100):
-                mid = (lo + hi) / 2
-                lo, hi = (mid, hi) if sum(upto(mid)) > count else (lo, mid)
-            take = upto(hi)
-            left = count - sum(take)
-            filled = [f + k * size for f, k in zip(filled, take)]
+        # Skip ahead: everything above a level of need is certain to be dealt.
+        lo, hi = -1.0 - size * count / min(targets), 1.0
+
+        def upto(level):
+            return [max(0, int((t - f - level * t) // size)) for t, f in zip(targets, filled)]
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(upto(mid)) > count else (lo, mid)
+        take = upto(hi)
+        left = count - sum(take)
+        filled = [f + k * size for f, k in zip(filled, take)]
         for _ in range(left):
             k = max(range(len(targets)), key=lambda s: (targets[s] - filled[s]) / targets[s])
             take[k] += 1

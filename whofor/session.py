@@ -47,11 +47,16 @@ def spread_small(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make one only where none is set (tests)."""
+    """Use the folder the cluster names; make one only in local mode (tests).
+
+    Executors of a cluster do not share a local folder, so there one must be named.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = sc.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 

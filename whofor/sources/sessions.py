@@ -30,12 +30,20 @@ def one_encoder(df: DataFrame) -> DataFrame:
     return df
 
 
+def table_order(table: int, file: Column, block: Column, row: Column) -> Column:
+    return F.struct(F.lit(table).alias("table"), file.alias("file"), block.alias("block"), row.alias("row"))
+
+
 def load_vectors(spark: SparkSession, paths: list[str], spec: str | None = None) -> DataFrame:
-    """``id, vector, encode_ms, spec, seq`` of one encoder from one or more tables."""
+    """``id, vector, encode_ms, spec, seq`` of one encoder from one or more tables.
+
+    ``seq`` orders rows by table, file and place; fields of their own cannot run into each other.
+    """
     out = None
     for i, path in enumerate(paths):
         d = spark.read.parquet(path).withColumn(
-            "seq", F.lit(i) * F.lit(1 << 48) + F.monotonically_increasing_id())
+            "seq", table_order(i, F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                               F.monotonically_increasing_id()))
         if spec is not None:
             name = spec.replace("/", "_").replace("@", "_").replace(":", "__")
             d = d.where(F.col("spec_name") == name)

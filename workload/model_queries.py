@@ -626,13 +626,18 @@ def _(spark, sf):
     return fixture(spark, sf, "fx_clips").select("id", D.recipe_seed(F.col("id")).alias("seed"))
 
 
-@query("expanded_recipes", """
-with r as (select id, id as new_id, null as seed, 'tts' as room from @fx_clips union all
-  select id, id || '-a' || k, ('0x' || substr(sha1(id || '-a' || k), 1, 8))::bigint, 'simulated' from @fx_clips, range(0, 2) t(k))
-select new_id as id, seed, room from r""")
+@query("expanded_recipes", f"""
+with r as (select id as new_id, null as seed, 'tts' as room from @fx_clips union all
+  select id || '-a' || k, ('0x' || substr(sha1(id || '-a' || k), 1, 8))::bigint, 'simulated' from @fx_clips, range(0, 2) t(k)),
+p as (select 'audio/' || id as path, row_number() over (order by sha1(id), id) - 1 as spot from @fx_clips where g_addressed <> '{V.ASSISTANT}'),
+d as (select new_id, j, ('0x' || substr(sha1(new_id || '#0-' || j), 1, 8))::bigint % (select count(*) from p) as spot from r, range(0, 3) t(j) where seed is not null),
+f as (select new_id, path, min(j) as j from d join p using (spot) group by new_id, path),
+b as (select new_id, string_agg(path, ',' order by j) as babble from f group by new_id)
+select r.new_id as id, seed, room, babble from r left join b using (new_id)""")
 def _(spark, sf):
     d = fixture(spark, sf, "fx_clips").select("id", F.concat(F.lit("audio/"), F.col("id")).alias("path"), "g_addressed")
-    return D.expand_recipes(d, 2).select("id", F.col("augment.seed").alias("seed"), "room")
+    return D.expand_recipes(d, 2).select("id", F.col("augment.seed").alias("seed"), "room",
+                                         F.array_join("augment.babble", ",").alias("babble"))
 
 
 @query("voiced_lines", """

@@ -268,7 +268,7 @@ def _(spark, sf):
 
 @query("overheard_speech", f"""
 with {AS_OF}, {USERS}, p as (select a.conv_id, a.turn, a.pos, trim(regexp_replace(b.text, '\\s+', ' ', 'g')) as said, b.pos as bpos
-  from c2 a join c2 b on a.conv_id = b.conv_id and b.pos < a.pos and b.at_s >= a.at_s - 180
+  from c2 a join c2 b on a.conv_id = b.conv_id and b.pos < a.pos and b.pos >= a.pos - 40 and b.at_s >= a.at_s - 180
   and not coalesce(b.ai_directed, false) and b.reliable),
 r as (select *, row_number() over (partition by conv_id, turn order by bpos desc) as rk from p where said like '% %'),
 g as (select conv_id, turn, string_agg(substr(said, 1, 90), '|' order by bpos) as heard from r where rk <= 4 group by conv_id, turn)
@@ -518,17 +518,18 @@ def _(spark, sf):
 
 
 @query("extended_catalogue", """
-with b as (select distinct replace(p_name, ' ', '.') as intent from part where p_partkey % 2 = 0),
-o as (select distinct replace(p_name, ' ', '.') as intent from part where p_partkey % 3 = 0)
-select intent, 'base+agent' as catalogue, false as needs_transcript from (select intent from b union select intent from o)
-union all select 'open_request', 'base+agent', true""")
+with b as (select replace(p_name, ' ', '.') as intent, min(p_partkey) as position from part where p_partkey % 2 = 0 group by 1),
+o as (select replace(p_name, ' ', '.') as intent, min(p_partkey) + (select max(position) + 1 from b) as position from part where p_partkey % 3 = 0 group by 1),
+m as (select * from b where intent not in (select intent from o) union all select * from o)
+select intent, 'base+agent' as catalogue, false as needs_transcript, position from m
+union all select 'open_request', 'base+agent', true, max(position) + 1 from m""")
 def _(spark, sf):
     def rows(name, k):
         return run_sql(spark, sf, f"""select '{name}' as catalogue, '1' as version, min(p_partkey) as position, replace(p_name, ' ', '.') as intent,
           '' as description, array('x') as examples, cast(array() as {f"array<{C.SLOT_TYPE}>"}) as slots, cast(null as double) as min_confidence,
           false as needs_transcript, cast(array() as array<string>) as contexts from part where p_partkey % {k} = 0 group by p_name""")
     return C.extend_catalogue(rows("base", 2), rows("agent", 3)).select(
-        "intent", "catalogue", "needs_transcript")
+        "intent", "catalogue", "needs_transcript", F.col("position").cast("long").alias("position"))
 
 
 @query("catalogue_round_trip")
