@@ -176,6 +176,14 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", te
         return None
     spark, active = docs.sparkSession, active_slots(rows, least, evidence)
     machine, slots = Machine(len(active)), spark.sparkContext.broadcast(active)
+
+    @F.arrow_udf(returnType="array<int>")
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = active_of([np.array(s, dtype=np.int32) for s in batch.to_pylist()], slots.value)
+            yield pa.array(found, type=pa.list_(pa.int32()))
+    lane = F.pmod(F.xxhash64("slots"), F.lit(LANES)).cast("int").alias("lane")
+    rows = stash(rows.select(lane, F.xxhash64("slots").alias("h"), kept("slots").alias("slots"), "y"))
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(machine.pack())
 
@@ -185,25 +193,23 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", te
                 for lane, found, y in zip(*(batch.column(c).to_pylist() for c in ("lane", "slots", "y"))):
                     held.setdefault(lane, []).append((np.array(found, dtype=np.int32), y))
                     if len(held[lane]) == STEP_ROWS:
-                        run(own, lane, held.pop(lane), shared, slots.value)
+                        run(own, lane, held.pop(lane), shared)
             for lane in list(held):
-                run(own, lane, held.pop(lane), shared, slots.value)
+                run(own, lane, held.pop(lane), shared)
             for lane, machine in own.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([machine.pack()])],
                                                  ["lane", "model"])
-        lane = F.pmod(F.xxhash64("slots"), F.lit(LANES)).cast("int").alias("lane")
-        dealt = rows.select(lane, "slots", "y").repartition(LANES, "lane") \
-            .sortWithinPartitions("lane", F.xxhash64("slots", F.lit(turn)))
+        dealt = rows.repartition(LANES, "lane").sortWithinPartitions("lane", F.xxhash64("h", F.lit(turn)))
         lanes = dealt.mapInArrow(one_pass, "lane int, model binary").collect()
         machine = merged(machine, [Machine.unpack(bytes(r["model"])) for r in lanes])
         shared.destroy()
     return active, machine
 
 
-def run(own: dict, lane: int, rows: list, shared, active: np.ndarray) -> None:
+def run(own: dict, lane: int, rows: list, shared) -> None:
     if lane not in own:
         own[lane] = Machine.unpack(shared.value)
-    own[lane].step(active_of([s for s, _ in rows], active), np.array([y for _, y in rows], dtype=np.float32))
+    own[lane].step([s for s, _ in rows], np.array([y for _, y in rows], dtype=np.float32))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, Machine] | None, text: str = "text") -> DataFrame:
