@@ -92,3 +92,17 @@ def test_situate_matches_a_loop(spark):
             else:
                 ai = (t, text)
             pos += 1
+
+
+def test_ranges_stay_bounded_where_values_are_massed(spark):
+    """A calibrated score: almost all distinct values next to 0 and 1."""
+    from whofor.operators.quantiles import ranged
+    rng = np.random.default_rng(8)
+    v = np.concatenate((rng.random(4000) * 1e-6, 1 - rng.random(4000) * 1e-6, rng.random(200)))
+    d = spark.createDataFrame([(float(x),) for x in v], "v double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [r["count"] for r in ranged(d, ["v"]).groupBy("__b").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) <= 3 * len(v) / len(sizes)
+    got = quantiles(d, [], F.col("v"), {"a": 0.25, "b": 0.75}).first()
+    assert np.allclose([got["a"], got["b"]], np.quantile(v, [0.25, 0.75]), rtol=0, atol=1e-12)

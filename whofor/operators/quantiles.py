@@ -1,8 +1,8 @@
 """Exact order statistics without sorting a group in one task.
 
-Values are first counted, then located through a coarse monotone histogram;
-only the bucket a rank falls in is ordered value by value. Memory per task
-follows the width of one bucket, not the size of the group.
+Values are first counted, then dealt to ranges whose bounds Spark samples from the counted values
+themselves, so a range holds about its share of the distinct values however they are massed. The
+ranges are kept once (a reliable checkpoint); only the range a rank falls in is ordered.
 """
 
 from __future__ import annotations
@@ -10,18 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_E = 512
+from whofor.session import cut_lineage
 
 
-def coarse_bucket(v: Column) -> Column:
-    """A bucket number that never decreases with v (log-spaced, signed)."""
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * BUCKETS_PER_E)).cast("long")
+def ranged(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with ``__b``: the number of its range; larger values never have a smaller one."""
+    return cut_lineage(df.repartitionByRange(*columns).withColumn("__b", F.spark_partition_id()))
 
 
 def _counted(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     d = df.select(*keys, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    return (d.groupBy(*keys, coarse_bucket(F.col("__v")).alias("__b"), "__v")
-            .agg(F.count(F.lit(1)).alias("__n")))
+    return ranged(d.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")), [*keys, "__v"])
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: Column, ranks: dict,
@@ -86,9 +85,9 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict,
 def running_sums(df: DataFrame, value: str, sums: list[str]) -> DataFrame:
     """``df`` (one row per distinct value) with ``<name>_before`` running sums.
 
-    Ordered through the coarse histogram, so no task orders more than a bucket.
+    No task orders more than a range, and one row per range is ordered over all.
     """
-    d = df.withColumn("__b", coarse_bucket(F.col(value)))
+    d = ranged(df, [value])
     hist = d.groupBy("__b").agg(*[F.sum(s).alias(s) for s in sums])
     w = (Window.partitionBy(F.lit(0)).orderBy("__b")
          .rowsBetween(Window.unboundedPreceding, -1))

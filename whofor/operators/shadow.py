@@ -9,6 +9,7 @@ from whofor import fixed as V
 from whofor.functions.scalars import count_if, is_true, rate, safe_div
 from whofor.operators.ordering import first_ranked, number_rows, overlap, own_rows, run_window
 from whofor.operators.quantiles import quantiles
+from whofor.session import cut_lineage
 
 GATE_EVENTS = ("gate_scored", "intent_accepted", "intent_ignored", "transcript_rejected",
                "segment_dropped")
@@ -52,18 +53,26 @@ def gate_turns(events: DataFrame, order: Column | list[str],
 def gate_shadow_report(turns: DataFrame) -> DataFrame:
     """Headline row: scored, would skip, would have skipped something accepted, latency."""
     would = is_true(F.col("would_skip"))
-    a = turns.groupBy().agg(
-        F.count(F.lit(1)).alias("scored"), count_if(would).alias("would_skip"),
-        count_if(would & (F.col("verdict") == "accepted")).alias("would_skip_but_accepted"))
-    lat = quantiles(turns, [], F.col("latency_ms"), {"p50": 0.5, "p95": 0.95}, 3)
-    feat = quantiles(turns, [], F.when(F.col("feature_ms") != 0, F.col("feature_ms")),
-                     {"p50": 0.5, "p95": 0.95}, 3)
-    # One subquery each, read twice: the quantile plan runs once.
-    both = F.struct("p50", "p95")
-    a = a.withColumns({"__l": lat.select(both).scalar(), "__f": feat.select(both).scalar()})
-    return a.withColumns({
-        "latency_p50": F.col("__l.p50"), "latency_p95": F.col("__l.p95"),
-        "feature_p50": F.col("__f.p50"), "feature_p95": F.col("__f.p95")}).drop("__l", "__f")
+    # Turns are assembled once: everything below reads four short columns of them.
+    t = cut_lineage(turns.select(
+        would.alias("would"), (would & is_true(F.col("verdict") == "accepted")).alias("wrong"),
+        F.col("latency_ms").alias("latency"),
+        F.when(F.col("feature_ms") != 0, F.col("feature_ms")).alias("feature")))
+    a = t.groupBy().agg(
+        F.count(F.lit(1)).alias("scored"), count_if(F.col("would")).alias("would_skip"),
+        count_if(F.col("wrong")).alias("would_skip_but_accepted"))
+    return with_percentiles(a, t, ["latency", "feature"], 3)
+
+
+def with_percentiles(row: DataFrame, df: DataFrame, metrics: list[str], digits: int) -> DataFrame:
+    """A one-row frame with ``<metric>_p50`` and ``<metric>_p95``, all metrics in one pass."""
+    long = df.select(F.explode(F.array(*[F.struct(
+        F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m"))
+    q = quantiles(long.select("m.*"), ["metric"], F.col("value"), {"p50": 0.5, "p95": 0.95}, digits)
+    wide = q.groupBy().agg(*[F.max(F.when(F.col("metric") == m, F.col(p))).alias(f"{m}_{p}")
+                             for m in metrics for p in ("p50", "p95")])
+    return row.withColumn("__q", wide.select(F.struct(*wide.columns)).scalar()) \
+        .select(*row.columns, *[F.col("__q")[c].alias(c) for c in wide.columns])
 
 
 def would_skip_by_verdict(turns: DataFrame) -> DataFrame:
@@ -134,16 +143,14 @@ def agreement_matrix(pairs: DataFrame) -> DataFrame:
 
 
 def fast_vs_slow_report(pairs: DataFrame) -> DataFrame:
-    d = disagreement(pairs)
+    d = cut_lineage(disagreement(pairs).select(
+        F.col("fast.route").isin("act", "ignore").alias("spared"), "kind", F.col("fast.ms").alias("fast")))
     a = d.groupBy().agg(
-        F.count(F.lit(1)).alias("turns"),
-        count_if(F.col("fast.route").isin("act", "ignore")).alias("would_have_avoided_stt"),
+        F.count(F.lit(1)).alias("turns"), count_if(F.col("spared")).alias("would_have_avoided_stt"),
         *[count_if(is_true(F.col("kind") == k)).alias(k) for k in (
             "would_have_missed", "would_have_acted_on_ignored", "would_have_acted_differently")])
-    q = quantiles(pairs, [], F.col("fast.ms"), {"p50": 0.5, "p95": 0.95}, 2)
-    a = a.withColumn("__q", q.select(F.struct("p50", "p95")).scalar())
-    return a.withColumns({"fast_p50_ms": F.col("__q.p50"),
-                          "fast_p95_ms": F.col("__q.p95")}).drop("__q")
+    return with_percentiles(a, d, ["fast"], 2).withColumnsRenamed(
+        {"fast_p50": "fast_p50_ms", "fast_p95": "fast_p95_ms"})
 
 
 def agreement(route: Column, intent: Column, slots: Column, accepted: Column,

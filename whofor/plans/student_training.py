@@ -66,10 +66,16 @@ def act_facts(df: DataFrame, catalogue: Catalogue = CORE) -> DataFrame:
     return settle(d, ["actable", "floor", "p_slot", "is_assist", "correct"])
 
 
+def search_facts(scored: DataFrame, catalogue: Catalogue = CORE) -> DataFrame:
+    """The few columns the searches read, scored once and kept."""
+    return cut_lineage(act_facts(scored, catalogue).select(
+        "p_assistant", "p_intent", "p_slot", "floor", "actable", "correct", "is_assist"))
+
+
 def choose_thresholds(scored: DataFrame, cfg: StudentTraining = StudentTraining(),
                       catalogue: Catalogue = CORE) -> tuple[Thresholds, dict]:
     """Thresholds within the error budgets on scored rows with truth columns."""
-    facts = act_facts(scored, catalogue)
+    facts = search_facts(scored, catalogue)
     t = G.choose_threshold(facts, F.col("p_assistant"), F.lit(True), F.col("is_assist"),
                            cfg.max_false_ignore).first()["threshold"]
     ignore_below = None if t is None else round(t, 6)
@@ -86,8 +92,10 @@ def choose_thresholds(scored: DataFrame, cfg: StudentTraining = StudentTraining(
 def full_report(j: DataFrame) -> DataFrame:
     """The headline row with ranking, calibration, slots, end-to-end and encode time joined on.
 
-    Every part is one row, attached as scalars so nothing is multiplied.
+    Every part is one row, attached as scalars so nothing is multiplied. ``j`` is kept once, so
+    rows are not scored again for each part.
     """
+    j = cut_lineage(j)
     known = j.where("has_truth")
     p_top = F.col("p_who")
     parts = {

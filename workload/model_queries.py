@@ -402,7 +402,7 @@ with {SEARCH} select act_addressed, act_intent, act_slot, acts, wrong, false_act
 where {bound_sql('wrong', 'acts')} <= 1.0 + 1e-12 and {bound_sql('false_act', 'non')} <= 0.5 + 1e-12
 order by acts - wrong desc, act_addressed + act_intent + act_slot desc, act_addressed, act_intent, act_slot limit 1""")
 def _(spark, sf):
-    d = ST.act_facts(Q.truth(scored(spark, sf)))
+    d = ST.search_facts(Q.truth(scored(spark, sf)))
     from whofor.operators.gate import choose_threshold
     t = choose_threshold(d, F.col("p_assistant"), F.lit(True), F.col("is_assist"), 0.2).first()[0]
     return Q.choose_act_thresholds(d, round(t, 6), 1.0, 0.5)
