@@ -205,3 +205,28 @@ def test_overheard_looks_through_dense_speech(spark):
     def last(**more):
         return X.overheard(d, **more).where("turn = 60").first()["overheard"]
     assert last() == [] and last(keep=100) == [f"remark number {i}" for i in range(1, 5)]
+
+
+def test_shuffled_turn_events_equal_batch(spark, tmp_path):
+    """Events of a turn come in any order across micro-batches; verdicts alone go to the side table."""
+    import random
+    rows = []
+    for k in range(24):
+        rows += [(f"t{k}", 10 + k, 1, "gate_scored", False, 1.0, 1.0, None),
+                 (f"t{k}", 12 + k, 1, "gate_scored", True, 2.0, 1.0, None),
+                 (f"t{k}", 14 + k, 1, "intent_accepted", None, None, None, None),
+                 (f"t{k}", 14 + k, 2 if k % 2 else 0, "intent_ignored", None, None, None, None)]
+    rows.append(("alone", 20, 1, "intent_accepted", None, None, None, None))
+    random.Random(4).shuffle(rows)
+    rows += [("far", 90000, 1, "gate_scored", False, 1.0, 1.0, None), ("farther", 180000, 1, "gate_scored", False, 1.0, 1.0, None)]
+    rows = [(*r, i) for i, r in enumerate(rows)]
+    d = spark.createDataFrame(rows, "turn string, s long, ord int, event string, would_skip boolean, "
+                                    "latency_ms double, feature_ms double, reason string, arrival int") \
+        .withColumn("ts", F.timestamp_seconds("s"))
+    want = {r["turn"]: (r["verdict"], r["latency_ms"]) for r in gate_turns(
+        d, ["ts", "ord"], ["would_skip", "latency_ms", "feature_ms"]).collect()}
+    got = run_stream(spark, tmp_path, d, twins.stream_gate_turns, "shuffled", ["arrival"])
+    got = {r["turn"]: (r["verdict"], r["latency_ms"]) for r in got}
+    assert len(got) >= 24 and all(want[t] == v for t, v in got.items())
+    late = run_stream(spark, tmp_path / "late", d, twins.stream_late_verdicts, "lates", ["arrival"])
+    assert [tuple(r) for r in late] == [("alone", "accepted")]

@@ -177,23 +177,38 @@ def route(df: DataFrame, t: Thresholds, catalogue: Catalogue = CORE,
 
 # -- the decision record -----------------------------------------------------------------
 
-def decision_json(full: bool = False, source: str = "system_one") -> Column:
-    """The wire form of a routed row; optional keys are left out rather than null."""
+def decision_json(full: bool = False, source: str = "system_one", transcript: Column | None = None,
+                  turn: Column | None = None, latency_ms: Column | None = None,
+                  model: Column | None = None) -> Column:
+    """The wire form of a routed row; optional keys are left out rather than null.
+
+    ``full`` adds the whole distribution of every field. ``latency_ms`` is a map of stage to
+    milliseconds (two decimals); empty texts and maps are left out.
+    """
     def field_(value, p, probs=None):
         parts = [value.alias("value"), F.round(p, 4).alias("p")]
         if full and probs is not None:
-            parts.append(F.transform_values(probs, lambda k, v: F.round(v, 4)).alias("probs"))
+            rounded = F.transform_values(probs, lambda k, v: F.round(v, 4))
+            parts.append(F.when(F.size(probs) > 0, rounded).alias("probs"))
         return F.struct(*parts)
+
+    def text_(c):
+        return F.lit(None).cast("string") if c is None else F.nullif(c, F.lit(""))
     acting = F.col("route") != "ignore"
+    spent = F.lit(None).cast("map<string,double>") if latency_ms is None else F.when(
+        F.size(latency_ms) > 0, F.transform_values(latency_ms, lambda k, v: F.round(v, 2)))
     return F.to_json(F.struct(
         F.lit("utterance-decision/1").alias("format"), F.col("route"),
         F.lit(source).alias("source"),
         field_(F.col("who"), F.col("p_who"), F.col("addressed")).alias("addressed"),
         F.when(acting & F.col("intent").isNotNull(),
-               field_(F.col("intent"), F.col("p_intent"))).alias("intent"),
-        F.when(acting, F.transform_values("slots", lambda k, v: F.struct(
-            v["value"].alias("value"), F.round(v["p"], 4).alias("p")))).alias("slots"),
-        F.nullif(F.col("reason"), F.lit("")).alias("reason")))
+               field_(F.col("intent"), F.col("p_intent"), F.col("intents"))).alias("intent"),
+        F.when(acting, F.transform_values("slots", lambda k, v: field_(
+            v["value"], v["p"], F.try_element_at(F.col("slot_probs"), F.concat_ws(":", F.col("intent"), k)))))
+        .alias("slots"),
+        (F.lit(None).cast("string") if transcript is None else transcript).alias("transcript"),
+        F.nullif(F.col("reason"), F.lit("")).alias("reason"), text_(turn).alias("turn"),
+        spent.alias("latency_ms"), text_(model).alias("model")))
 
 
 def decision_summary(intent: Column, addressed: Column, slots: Column) -> Column:

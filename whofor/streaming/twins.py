@@ -20,7 +20,7 @@ from whofor.operators.frames import (FLOOR_FRAMES, FLOOR_LEAST, FLOOR_MIN_SEEN,
                                      SegmentState, advance)
 from whofor.operators.signals import SignalSettings
 
-TURN_TYPE = "turn string, would_skip boolean, latency_ms double, feature_ms double, verdict string"
+TURN_TYPE = "turn string, would_skip boolean, latency_ms double, feature_ms double, verdict string, late boolean"
 TURN_TIMEOUT_MS = 60_000
 
 
@@ -30,29 +30,35 @@ def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 class TurnState(StatefulProcessor):
-    """Assembles a turn from its events; emits it when the log has moved a minute past it."""
+    """Assembles a turn from its events; emits it when the log has moved a minute past it.
+
+    Each kept field carries the time and place of the event it came from and gives way only to a
+    later one, so the order in which micro-batches bring events does not matter. What comes after a
+    turn was emitted is emitted by itself, marked ``late``.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.turn = handle.getValueState(
-            "turn", "would_skip boolean, latency_ms double, feature_ms double, scored boolean, "
-                    "said string, rejected boolean")
+            "turn", "would_skip boolean, latency_ms double, feature_ms double, gate_ts long, "
+                    "gate_ord long, said string, said_ts long, said_ord long, rejected boolean")
 
     def handleInputRows(self, key, rows, timerValues):
         known = self.turn.get()
-        would, lat, feat, scored, said, rejected = known if known is not None \
-            else (None, None, None, False, None, False)
-        for r in _rows(rows, ["ts", "ord"]).to_dict("records"):
-            e = r["event"]
-            if e == "gate_scored":
-                would, lat, feat, scored = r["would_skip"], r["latency_ms"], r["feature_ms"], True
-            elif e in ("intent_accepted", "intent_ignored"):
-                said = e.split("_", 1)[1]
-            elif e == "transcript_rejected":
-                rejected = True
-            elif e == "segment_dropped" and r["reason"] == "gate":
-                said = "skipped"
-        self.turn.update((None if would is None else bool(would), lat, feat, bool(scored), said,
+        would, lat, feat, gts, gord, said, sts, sord, rejected = known if known is not None \
+            else (None, None, None, None, None, None, None, None, False)
+        for pdf in rows:
+            for r in pdf.to_dict("records"):
+                e, at = r["event"], (r["ts"].value, int(r["ord"]))
+                if e == "gate_scored" and (gts is None or at >= (gts, gord)):
+                    would, lat, feat, (gts, gord) = r["would_skip"], r["latency_ms"], r["feature_ms"], at
+                elif e == "transcript_rejected":
+                    rejected = True
+                verdict = e.split("_", 1)[1] if e in ("intent_accepted", "intent_ignored") else \
+                    "skipped" if e == "segment_dropped" and r["reason"] == "gate" else None
+                if verdict and (sts is None or at >= (sts, sord)):
+                    said, (sts, sord) = verdict, at
+        self.turn.update((None if would is None else bool(would), lat, feat, gts, gord, said, sts, sord,
                           bool(rejected)))
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
@@ -60,23 +66,34 @@ class TurnState(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        would, lat, feat, scored, said, rejected = self.turn.get()
+        would, lat, feat, gts, _, said, _, _, rejected = self.turn.get()
         self.turn.clear()
-        if scored:
-            verdict = said or ("no_transcript" if rejected else "unknown")
-            yield pd.DataFrame([(key[0], would, lat, feat, verdict)],
+        verdict = said or ("no_transcript" if rejected else "unknown")
+        if gts is not None or said or rejected:
+            yield pd.DataFrame([(key[0], would, lat, feat, verdict, gts is None)],
                                columns=[c.split()[0] for c in TURN_TYPE.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def stream_gate_turns(events: DataFrame, late: str = "60 seconds") -> DataFrame:
-    """Turns from an event stream ``turn, ts, ord, event, would_skip, latency_ms, ...``."""
+def stream_turn_parts(events: DataFrame, late: str = "60 seconds") -> DataFrame:
+    """Turns and, marked ``late``, verdicts without their gate row, from an event stream
+    ``turn, ts, ord, event, would_skip, latency_ms, ...``."""
     return (events.withWatermark("ts", late).groupBy("turn")
             .transformWithStateInPandas(TurnState(), TURN_TYPE, "Append", "EventTime"))
 
 
+def stream_gate_turns(events: DataFrame, late: str = "60 seconds") -> DataFrame:
+    """The turns that the gate scored."""
+    return stream_turn_parts(events, late).where("not late").drop("late")
+
+
+def stream_late_verdicts(events: DataFrame, late: str = "60 seconds") -> DataFrame:
+    """The side table: verdicts of turns emitted before, or that the gate never scored."""
+    return stream_turn_parts(events, late).where("late").select("turn", "verdict")
+
+
 class ConversationState(StatefulProcessor):
     """The last four verdicts of a conversation, and when the last was."""
 

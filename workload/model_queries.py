@@ -246,14 +246,37 @@ def _(spark, sf):
 
 
 @query("decision_records", f"""
-with {SCORED} select vec_id, route, who as addressed, round(p_who, 4) as p, case when route <> 'ignore' then intent end as intent from r""")
-def _(spark, sf):
-    d = routed(spark, sf).withColumn("j", P.decision_json(full=True))
-
-    def get(path):
-        return F.get_json_object("j", path)
-    return d.select("vec_id", get("$.route").alias("route"), get("$.addressed.value").alias("addressed"),
-                    get("$.addressed.p").cast("double").alias("p"), get("$.intent.value").alias("intent"))
+with {SCORED} select vec_id, 'utterance-decision/1' as format, 'system_one' as source, route, who as addressed, round(p_who, 4) as p,
+  round(a[1], 4) as p_assistant, round(a[2], 4) as p_human, case when route <> 'ignore' then intent end as intent,
+  case when route <> 'ignore' then round(p_intent, 4) end as p_intent, case when route <> 'ignore' then round(i[13], 4) end as p_last_intent,
+  case when route <> 'ignore' and ki = 11 then slot end as slot, case when route <> 'ignore' and ki = 11 then round(p_slot, 4) end as p_slot,
+  case when route <> 'ignore' and ki = 11 then round(s[23], 4) end as p_other_slot, 'said ' || vec_id as transcript,
+  case when vec_id % 3 <> 0 then 't' || vec_id end as turn, round(vec_id / 7.0::double, 2) as stt_ms, 'm1' as model, true as brief_is_brief from r""")
+def _(spark, sf):
+    more = dict(transcript=F.format_string("said %d", "vec_id"), turn=F.when(F.col("vec_id") % 3 != 0, F.format_string("t%d", "vec_id"))
+                .otherwise(""), latency_ms=F.create_map(F.lit("stt"), F.col("vec_id") / F.lit(7.0)), model=F.lit("m1"))
+    d = routed(spark, sf).withColumns({"j": P.decision_json(full=True, **more), "b": P.decision_json(**more)})
+
+    def get(path, col="j"):
+        return F.get_json_object(col, path)
+
+    def number(path):
+        return get(path).cast("double")
+    shared = ("$.route", "$.addressed.value", "$.addressed.p", "$.intent.value", "$.intent.p", "$.slots.duration.value",
+              "$.slots.duration.p", "$.transcript", "$.reason", "$.turn", "$.latency_ms.stt", "$.model")
+    brief = ~F.contains("b", F.lit('"probs"'))
+    for path in shared:
+        brief = brief & get(path, "b").eqNullSafe(get(path))
+    last = f"$.intent.probs['{CORE.names[12]}']"
+    return d.select(
+        "vec_id", get("$.format").alias("format"), get("$.source").alias("source"), get("$.route").alias("route"),
+        get("$.addressed.value").alias("addressed"), number("$.addressed.p").alias("p"),
+        number(f"$.addressed.probs['{V.ADDRESSEES[0]}']").alias("p_assistant"), number(f"$.addressed.probs['{V.ADDRESSEES[1]}']").alias("p_human"),
+        get("$.intent.value").alias("intent"), number("$.intent.p").alias("p_intent"), number(last).alias("p_last_intent"),
+        get("$.slots.duration.value").alias("slot"), number("$.slots.duration.p").alias("p_slot"),
+        number(f"$.slots.duration.probs['{V.OTHER}']").alias("p_other_slot"), get("$.transcript").alias("transcript"),
+        get("$.turn").alias("turn"), number("$.latency_ms.stt").alias("stt_ms"), get("$.model").alias("model"),
+        brief.alias("brief_is_brief"))
 
 
 @query("fast_decisions")
