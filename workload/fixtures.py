@@ -61,6 +61,14 @@ select e.event_id as utt_id, e.user_id as conv_id, e.ts, p.text, p.g_addressed,
 from events e join @fx_phrases p on p.i = (e.event_id * 7 + e.user_id) % 40
 """
 
+FIXTURES["fx_texts"] = """
+select (conv_id * 1000 + turn) * 2 as utt_id, text, turn % 5 <> 3 as reliable,
+       case when turn % 4 = 1 then (conv_id % 10) / 10.0 end as own_voice, cast(null as double) as llm_score
+from conversations
+union all
+select doc_id * 2 + 1, text, true, cast(null as double), (doc_id % 10) / 9.0 from documents
+"""
+
 FIXTURES["fx_turn_log"] = """
 select concat('t', cast(event_id as string)) as turn, ts, 1 as ord, 'gate_scored' as event,
        value < 60 as would_skip, value / 10 as latency_ms,

@@ -153,6 +153,37 @@ def _(spark, sf):
         .agg(F.count(F.lit(1)).alias("fired"), F.round(F.sum("s.w"), 2).alias("weight"))
 
 
+# Every given text, whole and in every language. The checking engine's word ends know ASCII letters
+# only, so there other letters are replaced by one; the rules look for ASCII words.
+TEXT_CTES = scored_ctes("(select * replace (regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', 'z', 'g'), '\\s+', ' ', 'g') as text) from @fx_texts)",
+                        "utt_id % 2 = 2")
+
+
+def scored_texts(spark, sf):
+    ctx = S.TextContext(reliable=F.col("reliable"), own_voice=F.col("own_voice"),
+                        llm_score=F.col("llm_score"), driving=F.lit(False))
+    d = fixture(spark, sf, "fx_texts").withColumn("own_voice", F.col("own_voice").cast("double")) \
+        .withColumn("llm_score", F.col("llm_score").cast("double"))
+    return S.classify(d, F.col("text"), ctx, ENGINE)
+
+
+@query("text_decisions", f"""
+with {TEXT_CTES}, {DECIDE}
+select utt_id, round(heuristic, 4) as heuristic, band, method, round(confidence, 4) as confidence from u6""")
+def _(spark, sf):
+    return scored_texts(spark, sf).select("utt_id", F.round("heuristic", 4).alias("heuristic"), "band", "method",
+                                          F.round("confidence", 4).alias("confidence"))
+
+
+@query("text_signal_totals", f"""
+with {TEXT_CTES}, s as ({SIGNAL_UNION})
+select signal, count(*) as fired, round(sum(w), 2) as weight from s where w is not null group by signal""")
+def _(spark, sf):
+    return scored_texts(spark, sf).select(F.explode("signals").alias("s")) \
+        .groupBy(F.col("s.signal").alias("signal")) \
+        .agg(F.count(F.lit(1)).alias("fired"), F.round(F.sum("s.w"), 2).alias("weight"))
+
+
 @query("addressee_quality", f"""
 with {UTT_CTES}, {DECIDE}, g as (select u6.*, f.g_addressed from u6 join @fx_utterances f using (utt_id))
 select band, count(*) as n, count(*) filter (g_addressed = 'assistant_directed' and confidence < 0.62) as missed,
