@@ -147,9 +147,28 @@ def _logit(struct: str, names) -> Column:
     return total([F.coalesce(F.col(f"{struct}.{n}"), F.lit(0.0)) for n in names])
 
 
-def _signals(weights: Column, body: Column, names) -> Column:
-    """array<struct<signal, w, detail>> of what fired, with the text that did it."""
+def _signals(weights: Column, body: Column, names, ctx: TextContext, s: SignalSettings) -> Column:
+    """array<struct<signal, w, detail>> of what fired, with what made it fire.
+
+    The detail is the matched text, the name or bystander that was heard, the estimate of the own
+    voice, or up to three shared topic words; signals of shape and momentum have none.
+    """
+    known = {}
+    pattern = T.name_pattern(s.name, s.aliases)
+    if pattern:
+        known["assistant_name"] = known["assistant_name_mentioned"] = F.regexp_extract(body, pattern, 0)
+    if s.bystanders:
+        known["bystander_addressed"] = F.coalesce(*[
+            F.when(T.found(body, rf"\b{re.escape(b.lower())}\b"), b.lower()) for b in s.bystanders])
+    if ctx.own_voice is not None:
+        known["not_own_voice"] = F.format_string("p_own=%.2f", ctx.own_voice.cast("double"))
+    if ctx.last_ai_text is not None:
+        shared = F.array_intersect(T.content_words(body), T.content_words(ctx.last_ai_text))
+        known["topical_continuity"] = F.array_join(F.slice(F.array_sort(shared), 1, 3), ", ")
+
     def detail(n):
+        if n in known:
+            return known[n]
         if n in V.PATTERNS:
             return F.regexp_extract(body, V.PATTERNS[n], 0)
         return F.lit(None).cast("string")
@@ -211,7 +230,8 @@ def heuristic_score(df: DataFrame, text: Column, ctx: TextContext = TextContext(
         "scored_body": F.when(use_tail, F.col("tail_body")).otherwise(F.col("body")),
         "weights": F.struct(*[chosen(n) for n in names])})
     d = settle(d, ["heuristic", "scored_clause", "scored_body", "weights"])
-    return d.withColumn("signals", _signals(F.col("weights"), F.col("scored_body"), names)) \
+    return d.withColumn("signals", _signals(
+        F.col("weights"), F.col("scored_body"), names, ctx, settings)) \
         .drop("whole", "tail", "tail_text", "tail_body", "body", "scored_body",
               "use_tail", "whole_logit", "tail_logit", "whole_p", "tail_p")
 

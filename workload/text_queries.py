@@ -202,10 +202,30 @@ def _(spark, sf):
     return scored(spark, sf).where("scored_clause is not null").select("utt_id", "scored_clause")
 
 
-@query("addressee_explanations")
-def _(spark, sf):
-    return scored(spark, sf).select("utt_id", S.explain().alias("why"),
-                                    S.decision_json().alias("record"))
+FIRED = " union all ".join(
+    f"select utt_id, {i} as o, '{n}' as signal, case when use_tail then "
+    + (f"coalesce(t_{n}, w_{n})" if n in V.AUDIENCE_SIGNALS else
+       ("null" if n == "driving_browser" else f"t_{n}")) + f" else w_{n} end as w from u5"
+    for i, n in enumerate(signals_sql("body", "reliable", "utt_id % 2 = 0")))
+
+
+@query("addressee_explanations", f"""
+with {UTT_CTES}, f as (select *, row_number() over (partition by utt_id order by -abs(w), o) as rk from ({FIRED}) where w is not null),
+y as (select utt_id, string_agg(signal || case when w >= 0 then '+' else '' end || printf('%.2f', w + sign(w) * 1e-9), ', ' order by rk) as why from f where rk <= 6 group by utt_id),
+h as (select utt_id, bool_or(signal like 'assistant_name%') as n, bool_or(signal = 'bystander_addressed') as b, bool_or(signal = 'not_own_voice') as v,
+  bool_or(signal = 'tool_domain') as t, count(*) as signals from f group by utt_id),
+s as (select *, case when use_tail then tail_body else body end as said from u5)
+select utt_id, why, case when n then regexp_extract(said, '{q(NAME)}') end as heard_name, case when b then case when {has('said', chr(92) + 'bsam' + chr(92) + 'b')} then 'sam' else 'robin' end end as heard_bystander,
+  case when v then printf('p_own=%.2f', own_voice) end as voice, case when t then regexp_extract(said, '{q(V.PATTERNS["tool_domain"])}') end as domain, signals from s join y using (utt_id) join h using (utt_id)""")
+def _(spark, sf):
+    d = scored(spark, sf).withColumn("r", S.decision_json())
+    logged = F.from_json("r", "signals array<struct<signal string, w double, match string>>")["signals"]
+
+    def match(like):
+        return F.get(F.filter(logged, lambda s: s["signal"].like(like)), F.lit(0))["match"]
+    return d.select("utt_id", S.explain().alias("why"), match("assistant_name%").alias("heard_name"),
+                    match("bystander_addressed").alias("heard_bystander"), match("not_own_voice").alias("voice"),
+                    match("tool_domain").alias("domain"), F.size(logged).cast("long").alias("signals"))
 
 
 STEM = """case when w like '%ing' and length(w) > 5 then w[:-4] when w like '%ed' and length(w) > 4 then w[:-3]
