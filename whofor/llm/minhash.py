@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from whofor.llm.graph import components, stash
+from whofor.llm.graph import components, light, stash
 from whofor.llm.tokens import SPACES, folding, hashed_words, mix, read_table, slices, small_batches
 
 WIDTH = 5
@@ -187,12 +187,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"))
 
 
-def light(df: DataFrame, limit: int) -> DataFrame:
-    """A table for a join with texts: broadcast if it has at most ``limit`` rows."""
-    df = stash(df)
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def candidates(members: DataFrame, found: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
     """Candidate pairs between components that meet in a bucket."""
     spark = members.sparkSession
