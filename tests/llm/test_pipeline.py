@@ -69,6 +69,18 @@ def test_planted_cases_go_and_clean_documents_stay(spark, planted):
     assert {r["doc_id"] for r in got} == want
 
 
+def test_near_copies_between_80_and_85_percent_go(spark):
+    base = [f"w{i}" for i in range(200)]
+    near = list(base)
+    for at in (30, 70, 110, 150):
+        near[at] = "changed"
+    far = [w if at % 20 else "other" for at, w in enumerate(base)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((base, near, far))],
+                                 "doc_id long, text string")
+    # 176 of 216 shingles are shared, 0.815.
+    assert sorted(r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == [0, 2]
+
+
 def test_stages_take_an_empty_table(spark, planted):
     folder = planted[0]
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)

@@ -254,4 +254,4 @@ def kept_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
