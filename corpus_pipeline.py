@@ -22,8 +22,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go; so do documents with no line of words left by that."""
-    return lines.kept_documents(docs)
+    """Lines that repeat an earlier line go; so do documents with no word left by that."""
+    return lines.kept_documents(docs, left_words=1)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
