@@ -65,6 +65,16 @@ def test_terms_that_disclose_are_marked_everywhere(spark):
     assert texts[200].startswith("Here ") and "ZORBLATT" not in texts[200]
 
 
+def test_two_different_texts_are_enough_and_copies_are_one(spark):
+    rows = [(0, "Quibblefax wrote to bob@y.org on monday"), (1, "Yesterday Quibblefax met bob@y.org again"),
+            (2, "Quibblefax alone"), (3, "Dupword alone")]
+    rows += [(10 + i, "Dupword sits beside eve@z.org here") for i in range(9)]
+    rows += [(100 + i, "common word about the plan of nothing. " * 30) for i in range(20)]
+    found = pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string"), bits=4.0)
+    marked = {r["doc_id"]: [s["match"] for s in r["personal_spans"]] for r in found.collect()}
+    assert marked[2] == ["Quibblefax"] and marked[0] == ["Quibblefax", "bob@y.org"] and marked[3] == []
+
+
 def test_empty_table_and_no_python(spark):
     none = pii.find_personal(corpus(spark).limit(0))
     assert none.count() == 0 and none.columns == ["doc_id", "text", "personal_spans"]

@@ -3,7 +3,7 @@
 Information-theoretic sanitisation in DataFrame functions only. Base patterns find protected
 values (e-mail and IP addresses, card and phone numbers). Over the whole corpus, words standing
 within a few words of a protected value are counted beside all their occurrences: a word that is
-seen ``least`` times near one value tells ``log2(p(value | word) / p(value))`` bits about it, and
+seen in ``least`` different texts near one value tells ``log2(p(value | word) / p(value))`` bits about it, and
 discloses it when the posterior ``p(value | word)`` reaches a threshold as well. Such words are
 marked wherever they stand: to be generalised, or at a higher posterior removed.
 
@@ -135,11 +135,13 @@ def disclosing_terms(docs: DataFrame, near: int, width: int, least: int, posteri
     """
     hits = docs.where(F.size("spans") > 0).select("text", F.explode("spans").alias("s"))
     seen = hits.select(
+        F.xxhash64("text").alias("in_text"),
         F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.match")).alias("value"),
         around(F.col("text"), F.col("s"), near, width).alias("terms"))
-    pairs = seen.select("value", F.explode("terms").alias("term")) \
-        .groupBy("term", "value").agg(F.count(F.lit(1)).alias("both"))
-    pairs = cut_lineage(pairs.where(F.col("both") >= least))
+    pairs = seen.select("value", "in_text", F.explode("terms").alias("term")) \
+        .groupBy("term", "value").agg(F.count(F.lit(1)).alias("both"),
+                                      F.count_distinct("in_text").alias("texts"))
+    pairs = cut_lineage(pairs.where(F.col("texts") >= least).drop("texts"))
     term = pairs.select("term").distinct()
     every = docs.select(F.explode(words(F.col("text"))).alias("term"))
     marked = term.withColumn("wanted", F.lit(1))
@@ -162,7 +164,7 @@ def disclosing_terms(docs: DataFrame, near: int, width: int, least: int, posteri
 
 
 def find_personal(docs: DataFrame, text: str = "text", near: int = 4, width: int = 160,
-                  least: int = 8, posterior: float = 0.5, remove_at: float = 0.9,
+                  least: int = 2, posterior: float = 0.5, remove_at: float = 0.9,
                   bits: float = 10.0, broadcast_rows: int = 200_000,
                   literal_rows: int = 20_000) -> DataFrame:
     """``docs`` with ``personal_spans``: start, stop, kind and the matched text.
