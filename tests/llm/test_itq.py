@@ -80,3 +80,24 @@ def test_recall_at_the_threshold_and_balance():
     a, b = itq.encode(x, *model, bits), itq.encode(y, *model, bits)
     assert near.sum() > 500 and (a == b).any(axis=1)[near].mean() > 0.98
     assert np.bincount(a[:, 0], minlength=256).max() < 20 * len(x) / 256
+
+
+@pytest.mark.parametrize("common", [0.0, 0.7, 0.9])
+def test_recall_with_a_common_component(common):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x = (1 - common ** 2) ** 0.5 * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] += common
+    y = x + 0.37 / 8 * rng.normal(size=x.shape)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    near = (x * y).sum(1) >= 0.93
+    bits, tables = itq.fitting(12, 0.93, 1e-3, itq.least_norm(x))
+    model = itq.learn(x, bits * tables, rounds=5)
+    a, b = itq.encode(x, *model, bits), itq.encode(y, *model, bits)
+    assert near.sum() > 1000 and (a == b).any(axis=1)[near].mean() >= 0.998
+
+
+def test_no_bits_make_one_table():
+    assert itq.fitting(9, 0.93, 1e-3, 0.01) == (0, 1)
+    x = np.eye(4)
+    assert itq.encode(x, *itq.learn(x, 0), 0).tolist() == [[0]] * 4

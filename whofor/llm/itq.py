@@ -15,8 +15,10 @@ vectors of one label) share a representative, weighted by their number. Other co
 carried; an empty table gives an empty result.
 
 Table count follows from ``miss``: the chance that a pair exactly at the threshold shares no
-entry, with each bit differing as angle/pi. Bits follow the largest label, so that buckets keep
-their size as the table grows.
+entry, with each bit differing as angle/pi. The angle is that about the sample's mean, where the
+code cuts: vectors at the threshold whose distances from the mean are those of the nearest hundredth
+of the sample. Bits follow the largest label, so that buckets keep their size as the table grows;
+where a large common component would ask for more than ``TABLES`` tables, bits go down instead.
 """
 
 import math
@@ -32,6 +34,7 @@ from whofor.llm.tokens import read_table, small_batches
 
 SAMPLE = 20_000
 BUCKET = 128
+TABLES = 256
 BLOCK = 2_048
 PART = "id bigint, links bigint, root bigint"
 
@@ -50,16 +53,34 @@ def learn(sample: np.ndarray, bits: int, rounds: int = 40, seed: int = 9) -> tup
             u, _, vt = np.linalg.svd(y.T @ signs)
             turn = u @ vt
         out.append(axes.T @ turn)
-    return mean, np.hstack(out)[:, :bits]
+    return mean, np.hstack([np.zeros((d, 0)), *out])[:, :bits]
 
 
-def tables_for(bits: int, threshold: float, miss: float) -> int:
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    return max(1, math.ceil(math.log(miss) / math.log1p(-same)))
+def tables_for(bits: int, threshold: float, miss: float, norm: float = 1.0) -> float:
+    """Tables wanted where unit vectors have at least a distance of ``norm`` from the cut."""
+    half = math.sqrt(max(0.0, 1 - threshold) / 2)
+    same = (1 - 2 * math.asin(min(1.0, half / max(norm, half, 1e-12))) / math.pi) ** bits
+    if same >= 1:
+        return 1
+    return max(1, math.ceil(math.log(miss) / math.log1p(-same))) if same > 1e-12 else math.inf
+
+
+def least_norm(sample: np.ndarray) -> float:
+    """Distance from the mean that all but a hundredth of the sample have."""
+    return float(np.quantile(np.linalg.norm(sample - sample.mean(axis=0), axis=1), 0.01))
+
+
+def fitting(bits: int, threshold: float, miss: float, norm: float) -> tuple[int, int]:
+    """At most ``bits`` bits, and their tables."""
+    while tables_for(bits, threshold, miss, norm) > TABLES:
+        bits -= 1
+    return bits, tables_for(bits, threshold, miss, norm)
 
 
 def encode(vectors: np.ndarray, mean, projection, bits: int) -> np.ndarray:
     """Table entries: one integer of ``bits`` bits per table."""
+    if not bits:
+        return np.zeros((len(vectors), 1), dtype=np.int64)
     signs = (vectors - mean) @ projection >= 0
     weights = 1 << np.arange(bits, dtype=np.int64)
     return signs.reshape(len(vectors), -1, bits) @ weights
@@ -156,10 +177,10 @@ def part_links(reps: DataFrame, facts, threshold: float, miss: float, bits: int
     """``id, links, root`` partial link counts and spanning links from all units of work."""
     spark, (largest, total, width) = reps.sparkSession, facts
     bits = bits or min(30, max(4, math.ceil(math.log2(max(2, largest / BUCKET)))))
-    tables = tables_for(bits, threshold, miss)
     step = -(-total // SAMPLE)
     sample = reps.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("v").limit(2 * SAMPLE)
     fitted = padded([r["v"] for r in sample.collect()] or [[1.0] * width], width)
+    bits, tables = fitting(bits, threshold, miss, least_norm(fitted))
     model = spark.sparkContext.broadcast(learn(fitted, bits * tables))
 
     @F.arrow_udf(returnType="array<bigint>")
