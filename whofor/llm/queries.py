@@ -9,6 +9,7 @@ from whofor.llm.maxent import op5_maxent
 from whofor.llm.minhash import op3_minhash
 from whofor.llm.pii import op10_personal_data
 from whofor.llm.secrets import op6_secrets
+from whofor.llm.spelling import op11_spelling
 from whofor.llm.toxicity import op2_toxicity
 
 QUERIES = {
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language": op9_language,
     "op10_personal_data": op10_personal_data,
+    "op11_spelling": op11_spelling,
 }
 ORACLES: dict[str, str] = {}
