@@ -1,11 +1,13 @@
 """Base patterns against the plain patterns; disclosure on a corpus with known counts."""
 
+import hashlib
 import random
 import re
 
 from pyspark.sql import functions as F
 
 from whofor.llm import pii
+from whofor.llm.queries import QUERIES
 
 PLAIN = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
          r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
@@ -75,6 +77,30 @@ def test_two_different_texts_are_enough_and_copies_are_one(spark):
     assert marked[2] == ["Quibblefax"] and marked[0] == ["Quibblefax", "bob@y.org"] and marked[3] == []
 
 
+def test_registered_query_equals_the_plain_patterns(spark, tmp_path):
+    """Also where kinds share a start, and on a very long text."""
+    r = random.Random(11)
+    bits = ["4111111111111111", "@x.org", "1.2.3.4", "@host.com", " ", "+1 555 123 4567", "+14155550123", "a", ".", "é", "300",
+            "\n", "5500005555555559"]
+    texts = ["mail 4111111111111111@x.org now", "1.2.3.4@host.com", "+14155550123@h.org 4111 1111 1111 1111", None, "", ""]
+    texts += ["".join(r.choices(bits, k=r.randint(1, 12))) for _ in range(300)]
+    texts += ["no data here, " * 60_000 + "1.2.3.4@host.com"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit("clash")) \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in QUERIES["op10_personal_data"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        base = plain(text or "")
+        shown = ",".join(f"{pii.BASE[kind]}:{start}:{stop}" for start, kind, stop in base)
+        x = got[k]
+        assert x["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest(), text
+        assert [x[f"n_{kind}"] for kind in pii.BASE] == [sum(b[1] == i for b in base) for i in range(4)]
+        spans = [s for s in x["spans"].split(",") if s]
+        assert [s for s in spans if s.split(":")[0] in pii.BASE] == [s for s in shown.split(",") if s]
+        order = [(int(s.split(":")[1]), pii.KINDS.index(s.split(":")[0])) for s in spans]
+        assert order == sorted(order)
+
+
 def test_empty_table_and_no_python(spark):
     none = pii.find_personal(corpus(spark).limit(0))
     assert none.count() == 0 and none.columns == ["doc_id", "text", "personal_spans"]

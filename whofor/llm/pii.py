@@ -99,7 +99,12 @@ def base_spans(text: Column) -> Column:
     for k, (kind, pattern) in enumerate(zip(BASE, (EMAIL, IP, CARD, PHONE))):
         spans = F.filter(pattern_spans(text, pattern, k), lambda s: holds(kind, s["match"]))
         parts.append(F.when(text.rlike(HINTS[pattern]), spans).otherwise(none()))
-    return F.array_sort(F.concat(*parts), lambda a, b: F.when(a["start"] != b["start"], F.when(
+    return in_order(F.concat(*parts))
+
+
+def in_order(spans: Column) -> Column:
+    """Spans by start and then kind."""
+    return F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], F.when(
         a["start"] < b["start"], -1).otherwise(1)).otherwise(a["kind"] - b["kind"]))
 
 
@@ -204,7 +209,7 @@ def find_personal(docs: DataFrame, text: str = "text", near: int = 4, width: int
                 marked(n + 1, lambda w: F.array_contains("t1", w)))).otherwise(none()))
     inside = F.filter("extra", lambda e: ~F.exists("spans", lambda s: (
         s["start"] < e["stop"]) & (e["start"] < s["stop"])))
-    return found.select("__row.*", F.array_sort(F.concat("spans", inside)).alias("personal_spans"))
+    return found.select("__row.*", in_order(F.concat("spans", inside)).alias("personal_spans"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
