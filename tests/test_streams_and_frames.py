@@ -105,6 +105,30 @@ def test_episodes_do_not_change_a_verdict(spark):
     assert any(r["retry"] for r in got) and any(r["human_exchange"] for r in got)
 
 
+@pytest.mark.parametrize("piece", [1, 7, 256])
+def test_an_episode_without_quiet_is_read_in_pieces(spark, piece, monkeypatch):
+    """Every field of every verdict equals one chain over the whole conversation."""
+    monkeypatch.setattr(CV.chain, "PIECE", piece)
+    rng, rows = random.Random(5), []
+    for c in range(3):
+        for k in range(300 if c == 0 else 9):
+            rows.append((c, k * rng.choice([1.0, 2.0]) / 2 + k, k, "user", rng.choice(LINES), rng.random() > 0.1,
+                         rng.choice([None, 0.2, 0.9]), rng.choice([None, 0.1, 0.9]), False))
+    d = spark.createDataFrame(rows, TALK).withColumn("acted", F.col("turn") % 17 == 3)
+    facts = CV.prepare(d).collect()
+    assert len({(f["conv_id"], f["episode"]) for f in facts}) == 3
+    want, chains = {}, {}
+    for f in sorted(facts, key=lambda r: (r["conv_id"], r["upos"])):
+        want[(f["conv_id"], f["upos"])] = chains.setdefault(f["conv_id"], CV.VerdictChain(SignalSettings())).next(f.asDict())
+    got = CV.score_conversations(d).collect()
+    assert len(got) == len(want)
+    names = [c.split()[0] for c in CV.VERDICT_TYPE.split(", ")]
+    for r in got:
+        for name, value in zip(names, want[(r["conv_id"], r["upos"])]):
+            assert r[name] == (pytest.approx(value) if isinstance(value, float) else value), name
+    assert any(r["retry"] for r in got) and any(r["human_exchange"] for r in got) and any(r["method"] == "acted" for r in got)
+
+
 def test_retry_and_exchange_rules(spark):
     rows = [(1, 0.0, 0, "user", "turn on the lamp over there", True, None, None, False),
             (1, 5.0, 1, "user", "turn on the lamp over there", True, None, None, False),

@@ -4,8 +4,8 @@ Everything that does not depend on earlier verdicts is scored natively first.
 What is left per row is a few numbers and flags: two logits, which of the last
 four utterances sound the same, and how old they are. A verdict reaches no
 further than 25 seconds, so 25 seconds of silence ends an episode and episodes
-are independent: they are the unit that is spread over the cluster, not
-conversations.
+are independent. An episode is cut into pieces that are read side by side
+(``chain``), so one without any silence is read by many tasks.
 """
 
 from __future__ import annotations
@@ -15,15 +15,17 @@ from collections import deque
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from whofor import fixed as V
 from whofor.functions import text as T
-from whofor.functions.scalars import is_true
+from whofor.functions.scalars import is_true, sigmoid, total
+from whofor.operators import chain
 from whofor.operators.context import KEYS, _lookback, since_ai, users
-from whofor.operators.signals import SignalSettings, TextContext, has_audience, weigh
+from whofor.operators.signals import SignalSettings, TextContext, decide, has_audience, weigh
+from whofor.session import cut_lineage
 
 EXCHANGE_SECONDS = 25.0
 RETRY_SECONDS = 20.0
@@ -142,28 +144,64 @@ class VerdictChain:
         return p, band, method, confidence, accepted, directed, exchange, again
 
 
+def settle_verdict(exchange: Column, again_whole: Column, again_tail: Column,
+                   s: SignalSettings = SignalSettings()) -> dict[str, Column]:
+    """``VERDICT_TYPE`` of a row of facts, given what its episode looked like just before it."""
+    weights = dict(s.weights)
+    base = F.when(exchange, weights["human_exchange_in_progress"]).otherwise(0.0)
+
+    def p(logit, again):
+        return sigmoid(F.col(logit) + base + F.when(again, weights["retry_of_ignored"]).otherwise(0.0), 30.0)
+    whole = p("whole_logit", again_whole)
+    tail = F.when(F.col("tail_logit").isNotNull() & ~F.isnan("tail_logit"), p("tail_logit", again_tail))
+    use_tail = is_true(tail > whole)
+
+    def chosen(a, b):
+        return F.when(use_tail, b).otherwise(a)
+    again = chosen(again_whole, again_tail)
+    done = decide(F.greatest(whole, tail), chosen(F.col("named_whole"), F.col("named_tail")), again,
+                  F.col("reliable"), F.nanvl(F.col("own_voice"), F.lit(None).cast("double")),
+                  F.nanvl(F.col("llm_score"), F.lit(None).cast("double")), s)
+    directed = F.when(done["ai_intent"], True).when(chosen(F.col("audience_whole"), F.col("audience_tail")), False)
+    acted = F.col("acted")
+
+    def unless_acted(value, other):
+        return F.when(acted, other).otherwise(value)
+    return {"heuristic": F.when(~acted, F.greatest(whole, tail)),
+            "band": unless_acted(done["band"], F.lit("accept")), "method": unless_acted(done["method"], F.lit("acted")),
+            "confidence": unless_acted(done["confidence"], F.lit(1.0)),
+            "ai_intent": unless_acted(done["ai_intent"], F.lit(True)),
+            "ai_directed": unless_acted(directed, F.lit(True)),
+            "human_exchange": ~acted & exchange, "retry": ~acted & again}
+
+
 def score_conversations(df: DataFrame, settings: SignalSettings = SignalSettings()) -> DataFrame:
-    """User rows with the verdict each would have got, in order, inside its conversation."""
+    """User rows with the verdict each would have got, in order, inside its conversation.
+
+    Each row's verdict is worked out for all eight cases of what may have come before (an exchange
+    with somebody going on, the whole or the tail not answered before); ``chain`` finds the case.
+    """
     d = prepare(df, settings)
-    keep = [c for c in d.columns if c not in FACTS]
-    out = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keep)
-    # Whole episodes land in one partition in order; one pass over the batches then
-    # needs no per-group call, however short the episodes are.
-    ordered = d.repartition(*KEYS, "episode").sortWithinPartitions(*KEYS, "episode", "upos")
-
-    def run(batches):
-        current, chain = None, None
-        for pdf in batches:
-            verdicts = []
-            facts = pdf[FACTS].to_dict("records")
-            for key, f in zip(zip(pdf["conv_id"], pdf["episode"]), facts):
-                if key != current:
-                    current, chain = key, VerdictChain(settings)
-                verdicts.append(chain.next(f))
-            cols = [c.split()[0] for c in VERDICT_TYPE.split(", ")]
-            yield pd.concat([pdf[keep].reset_index(drop=True),
-                             pd.DataFrame(verdicts, columns=cols)], axis=1)
-    return ordered.mapInPandas(run, f"{out}, {VERDICT_TYPE}")
+    keep = d.columns
+    cases = [settle_verdict(F.lit(bool(k & 4)), F.lit(bool(k & 2)), F.lit(bool(k & 1)), settings)["ai_directed"]
+             for k in range(8)]
+    code = total([F.when(c, chain.YES).when(~c, chain.NO).otherwise(chain.OPEN) * 3 ** k for k, c in enumerate(cases)])
+
+    def mask(backs):
+        bit = F.array(*[F.lit(1 << k) for k in range(RETRY_DEPTH)])
+        return F.aggregate(backs, F.lit(0), lambda acc, b: acc.bitwiseOR(F.get(bit, b - 1)))
+    d = d.withColumns({
+        "near": is_true(F.col("gap_s") <= EXCHANGE_SECONDS), "whole": mask("sounds_whole"), "tail": mask("sounds_tail"),
+        "outcomes": code.cast("int"), "place": F.col("upos").cast("long"),
+        "piece": F.floor(F.col("upos") / chain.PIECE).cast("long")})
+    # Scored once: the scan reads a few numbers of each row, the verdicts read the rest.
+    d = cut_lineage(d)
+    episode = [*KEYS, "episode"]
+    starts = chain.piece_starts(chain.piece_maps(d, episode), episode)
+    found = chain.settled_flags(d, starts, episode)
+    verdicts = settle_verdict(*[F.col(f"__{n}") for n in chain.FLAGS], settings)
+    found = found.withColumnsRenamed({n: f"__{n}" for n in chain.FLAGS})
+    return found.select(*[c for c in keep if c not in FACTS], *[v.alias(n) for n, v in verdicts.items()])
 
 
 # -- the second opinion, prepared and read back -------------------------------------------
