@@ -41,9 +41,31 @@ def test_segments_equal_one_pass_over_each_stream(spark):
     assert len(want) > 20 and any(w[-1] for w in want)
     assert [g[:4] for g in got] == [pytest.approx(w[:4]) for w in sorted(want)]
     assert [g[-1] for g in got] == [w[-1] for w in sorted(want)]
+    assert [tuple(g[4:6]) for g in got] == [pytest.approx(w[4:6]) for w in sorted(want)]
     assert E.islands(d, CFG).select("stream_id", "island").distinct().count() > 10
 
 
+@pytest.mark.parametrize("cfg", [
+    E.SegmentSettings(min_speech_ms=96, min_silence_ms=160, min_segment_ms=64, max_segment_ms=640, preroll_s=0.4),
+    E.SegmentSettings(min_speech_ms=32, min_silence_ms=64, min_segment_ms=0, max_segment_ms=200, preroll_s=0.0),
+    E.SegmentSettings(min_speech_ms=64, min_silence_ms=96, min_segment_ms=32, max_segment_ms=160, preroll_s=0.3)])
+def test_a_stretch_without_silence_is_split(spark, cfg):
+    """Fifty full segments in a row and more, with pauses too short to close one."""
+    rng = random.Random(6)
+    rows = [(1, i, i * 0.032, 0.2 if rng.random() < 0.04 else 0.9) for i in range(1500)]
+    rows += [(2, i, i * 0.032, 0.9 if rng.random() < 0.8 else 0.1) for i in range(700)]
+    rows += [(3, i, i * 0.032, rng.choice([0.1, 0.9])) for i in range(600)]
+    d = spark.createDataFrame(rows, "stream_id long, frame_idx long, at_s double, prob double").repartition(4)
+    want, states = [], {}
+    for sid, _, at, p in rows:
+        done = E.advance(states.setdefault(sid, E.SegmentState()), cfg, at, p)
+        if done is not None:
+            want.append((sid, *done))
+    got = sorted(tuple(r) for r in E.detect_segments(d, cfg).collect())
+    assert len(want) > 50 and [g[-1] for g in got] == [w[-1] for w in sorted(want)]
+    assert [g[:-1] for g in got] == [pytest.approx(w[:-1]) for w in sorted(want)]
+
+
 def test_energy_activity_equals_numpy(spark):
     rng = np.random.default_rng(2)
     levels = np.abs(rng.normal(0.01, 0.01, 450))

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from whofor.operators.ordering import carry_last, overlap, own_rows, run_window
+from whofor.session import cut_lineage
 
 KEYS = ["stream_id"]
 FLOOR_FRAMES = 100
@@ -65,6 +65,11 @@ class SegmentSettings:
     max_segment_ms: float = 20000.0
     preroll_s: float = 0.4
 
+    @property
+    def opening_frames(self) -> int:
+        """Voiced frames in a row that open a segment."""
+        return max(1, -int(-self.min_speech_ms // self.frame_ms))
+
     @property
     def closing_frames(self) -> int:
         """Unvoiced frames in a row after which nothing is open any more."""
@@ -146,24 +151,95 @@ def islands(df: DataFrame, cfg: SegmentSettings = SegmentSettings()) -> DataFram
     return d.drop("__v", "__fresh", "__cut")
 
 
+def carry_next(df: DataFrame, value: Column, out: str) -> DataFrame:
+    """The first non-null ``value`` after each row."""
+    d = df.withColumn("__back", -F.col("pos"))
+    return carry_last(d, KEYS, value, out, pos="__back").drop("__back")
+
+
+def closings(df: DataFrame, cfg: SegmentSettings = SegmentSettings()) -> DataFrame:
+    """``stream_id, island, was, opened, length, shut``: where a segment would open and close next.
+
+    ``was`` is the frame before the stretch begins or one at which a segment may have closed: then
+    the next segment opens at ``opened``, holding ``length`` frames, and closes at ``shut``. It opens
+    at the first frame that ends enough voiced frames in a row since ``was``; it closes at the first
+    run of enough unvoiced frames after that, or when it is full. All of this is the same whatever
+    went before ``was``, so it is found for every frame that may matter, by windows. In stretches
+    too short to fill a segment these are the ends of the unvoiced runs; elsewhere every frame.
+    """
+    k, q, most, lead = cfg.opening_frames, cfg.closing_frames, cfg.max_frames, cfg.preroll_frames
+    d = islands(df, cfg).select(*KEYS, "pos", "island", (F.col("prob") >= cfg.threshold).alias("v"))
+    d = carry_last(d, KEYS, F.when(~F.col("v"), F.col("pos")), "__dumb", inclusive=True)
+    d = carry_last(d, KEYS, F.when(F.col("v"), F.col("pos")), "__loud", inclusive=True)
+    voiced = F.col("pos") - F.coalesce("__dumb", F.lit(-1))
+    d = d.withColumn("ends", (F.col("pos") - F.coalesce("__loud", F.lit(-1)) == q) if q else F.lit(True))
+    d = carry_next(d, F.when(F.col("ends"), F.col("pos")), "quiet")
+    opens = F.struct(F.col("pos").alias("at"), "quiet", F.col("island").alias("island"))
+    d = d.withColumn("__here", F.when(voiced >= k, opens))
+    d = carry_next(d, F.when(voiced == k, opens), "__later")
+    d = d.withColumn("open", F.coalesce("__here", "__later")).where(F.col("open.island") == F.col("island"))
+    # The row k frames after ``was`` knows the opening; whether ``was`` matters is looked up k rows back.
+    size = Window.partitionBy(*KEYS, "run").orderBy("pos")
+    marks = overlap(d.select(*KEYS, "pos", "island", "ends", "open"), KEYS, back=k)
+    marks = own_rows(marks.withColumn("__ended", F.coalesce(F.lag("ends", k).over(size), F.lit(False))))
+    was = F.col("pos") - k
+    stretch = d.groupBy(*KEYS, "island").agg(F.max("pos").alias("__last"))
+    long = F.col("__last") - F.col("island") + 1 >= most - max(1, lead)
+    first = was == F.col("island") - 1
+    d = marks.join(stretch, [*KEYS, "island"]).where(first | (was >= F.col("island")) & (F.col("__ended") | long))
+    length = F.greatest(F.lit(1), F.least(F.lit(lead), F.col("open.at") - was))
+    full = F.greatest(F.col("open.at") + 1, F.col("open.at") + most - length)
+    return d.select(*KEYS, "island", was.alias("was"), F.col("open.at").alias("opened"), length.alias("length"),
+                    F.least("open.quiet", full).alias("shut"), first.alias("first"))
+
+
+def reached(steps: DataFrame) -> DataFrame:
+    """The rows of ``closings`` that each stretch really comes to, by pointer jumping.
+
+    Every round takes what is reached ahead by twice the steps of the round before, so rounds are
+    about the logarithm of the segments in the longest stretch.
+    """
+    key = [*KEYS, "island"]
+    steps = cut_lineage(steps)
+    jump = steps.select(*key, "was", F.col("shut").alias("to"))
+    found = steps.where("first").select(*key, "was")
+    n = 0
+    while True:
+        # What is reached is met with the jumps of this round; a stretch that ends has none.
+        ahead = found.join(jump, [*key, "was"]).select(*key, F.col("to").alias("was"))
+        found = cut_lineage(found.union(ahead.join(steps.select(*key, "was"), [*key, "was"], "left_semi")).distinct())
+        now = found.count()
+        if now == n:
+            return steps.join(found, [*key, "was"])
+        n = now
+        further = jump.select(*key, F.col("was").alias("to"), F.col("to").alias("__to"))
+        jump = cut_lineage(jump.join(further, [*key, "to"]).select(*key, "was", F.col("__to").alias("to")))
+
+
 def detect_segments(df: DataFrame, cfg: SegmentSettings = SegmentSettings()) -> DataFrame:
-    """One row per closed speech segment. Frames need ``at_s`` and ``prob``."""
-    d = islands(df, cfg)
-    ordered = d.select("stream_id", "island", "pos", "at_s", "prob") \
-        .repartition("stream_id", "island").sortWithinPartitions("stream_id", "island", "pos")
-
-    def run(batches):
-        current, state = None, SegmentState()
-        for pdf in batches:
-            rows = []
-            for sid, isl, at, p in zip(pdf["stream_id"], pdf["island"], pdf["at_s"], pdf["prob"]):
-                if (sid, isl) != current:
-                    current, state = (sid, isl), SegmentState()
-                done = advance(state, cfg, at, p)
-                if done is not None:
-                    rows.append((sid, *done))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENT_TYPE.split(", ")])
-    return ordered.mapInPandas(run, SEGMENT_TYPE)
+    """One row per closed speech segment. Frames need ``at_s`` and ``prob``.
+
+    Frames are never stepped through: possible openings and closings are found by windows over
+    bounded runs, those that happen by pointer jumping, and their frames by carrying each segment's
+    beginning on to its end.
+    """
+    found = reached(closings(df, cfg))
+    last = placed(df).groupBy(*KEYS).agg(F.max("pos").alias("__end"))
+    begin = F.least(F.col("opened") - F.col("length"), F.col("opened") - cfg.opening_frames) + 1
+    found = found.join(last, KEYS).where(F.col("shut") <= F.col("__end")).select(
+        *KEYS, begin.alias("pos"), F.struct("opened", "length", "shut").alias("seg"))
+    d = placed(df).select(*KEYS, "pos", "at_s", "prob").join(found, [*KEYS, "pos"], "left")
+    d = carry_last(d, KEYS, F.col("seg"), "of", inclusive=True).where(F.col("pos") <= F.col("of.shut"))
+    counted = (F.col("prob") >= cfg.threshold) & (F.col("pos") > F.col("of.opened") - cfg.opening_frames)
+    seconds = (F.col("of.length") + F.col("of.shut") - F.col("of.opened")) * F.lit(cfg.frame_ms) / 1000.0
+    done = d.groupBy(*KEYS, "of").agg(
+        F.max(F.when(F.col("pos") == F.col("of.opened") - F.col("of.length") + 1, F.col("at_s"))).alias("start_s"),
+        (F.max(F.when(F.col("pos") == F.col("of.shut"), F.col("at_s"))) + cfg.frame_ms / 1000.0).alias("end_s"),
+        F.coalesce(F.avg(F.when(counted, F.col("prob"))), F.lit(0.0)).alias("confidence"))
+    speech = seconds - cfg.min_silence_ms / 1000.0
+    return done.where(speech >= cfg.min_segment_ms / 1000.0).select(
+        "stream_id", "start_s", "end_s", seconds.alias("seconds"), F.round(speech, 3).alias("speech_seconds"),
+        "confidence", (F.col("of.length") + F.col("of.shut") - F.col("of.opened") >= cfg.max_frames).alias("truncated"))
 
 
 def vad_confidence(df: DataFrame, by: list[str], p: Column, threshold: float = 0.5) -> DataFrame:
