@@ -151,6 +151,20 @@ def test_an_episode_without_quiet_is_read_in_pieces(spark, piece, monkeypatch):
     assert any(r["retry"] for r in got) and any(r["human_exchange"] for r in got) and any(r["method"] == "acted" for r in got)
 
 
+def test_an_assistant_that_never_spoke_is_not_recent(spark):
+    """Nothing said is no follow-up: the pronoun rule and the follow-up bonus stay silent."""
+    from whofor.operators import context as X
+    rows = [(1, 5.0, 0, "user", "she told me it was closed", True, None, None, False),
+            (2, 4.0, 0, "assistant", "done", True, None, None, False),
+            (2, 5.0, 1, "user", "she told me it was closed", True, None, None, False)]
+    d = spark.createDataFrame(rows, TALK)
+    since = {r["conv_id"]: r["s"] for r in X.users(d).select(
+        "conv_id", X.since_ai(F.col("at_s"), F.col("last_ai_at")).alias("s")).collect()}
+    assert since == {1: 1e9, 2: 1.0}
+    got = {r["conv_id"]: r["heuristic"] for r in CV.score_conversations(d).collect()}
+    assert got[1] < got[2]
+
+
 def test_retry_and_exchange_rules(spark):
     rows = [(1, 0.0, 0, "user", "turn on the lamp over there", True, None, None, False),
             (1, 5.0, 1, "user", "turn on the lamp over there", True, None, None, False),

@@ -142,7 +142,9 @@ def last_words(df: DataFrame) -> DataFrame:
 
 def since_ai(at: Column, last_ai_at: Column) -> Column:
     """Seconds from the assistant's last words to the start of speech; 1e9 when never."""
-    return F.coalesce(F.greatest(F.lit(0.0), at - last_ai_at), F.lit(V.NEVER_SPOKEN))
+    # ``greatest`` skips nulls, so "never" has to be told apart first.
+    return F.when((at - last_ai_at).isNotNull(), F.greatest(F.lit(0.0), at - last_ai_at)) \
+        .otherwise(F.lit(V.NEVER_SPOKEN))
 
 
 def awaiting_answer(last_ai_text: Column) -> Column:

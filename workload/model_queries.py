@@ -604,10 +604,28 @@ def _(spark, sf):
     return E.level_meter(frames(spark, sf), "10 minutes")
 
 
-@query("speech_segments")
-def _(spark, sf):
-    return E.detect_segments(frames(spark, sf), E.SegmentSettings(
+@query("speech_segments", """
+with recursive f as (select stream_id, frame_idx as i, frame_idx * 0.032::double as at_s, prob::double as p, prob >= 0.5 as v from @fx_frames),
+s as (select distinct stream_id, -1::bigint as i, 0 as heard, 0 as quiet, 0 as len, 0.0::double as start_s, 0.0::double as ps, 0 as pn, []::double[] as pre,
+  null::double as d_start, null::double as d_end, 0 as d_len, null::double as d_conf from f
+union all
+select stream_id, i, case when done or len1 > 0 then 0 else heard1 end, case when done then 0 else quiet1 end, case when done then 0 else len1 end, start1,
+  case when done then 0.0 else ps1 end, case when done then 0 else pn1 end, case when done then [] else pre1 end,
+  case when done then start1 end, case when done then at_s + 0.032 end, len1, case when done then ps1 / greatest(pn1, 1) end
+from (select *, was and (quiet1 >= 3 or len1 >= 625) as done from (
+  select *, case when was then len0 + 1 when heard1 >= 2 then len(pre1) else 0 end as len1, case when was then start_s when heard1 >= 2 then pre1[1] else start_s end as start1
+  from (select f.stream_id, f.i, f.at_s, s.len as len0, s.len > 0 as was, s.start_s, case when s.len > 0 then 0 when f.v then s.heard + 1 else 0 end as heard1,
+      case when s.len = 0 or f.v then 0 else s.quiet + 1 end as quiet1,
+      case when f.v then s.ps + f.p when s.len = 0 then 0.0 else s.ps end as ps1, case when f.v then s.pn + 1 when s.len = 0 then 0 else s.pn end as pn1,
+      case when s.len = 0 then list_append(s.pre, f.at_s)[-2:] else s.pre end as pre1
+    from s join f on f.stream_id = s.stream_id and f.i = s.i + 1))))
+select stream_id, round(d_start, 6) as start_s, round(d_end, 6) as end_s, round(d_len * 0.032, 6) as seconds, round(d_len * 0.032 - 0.096, 3) as speech_seconds,
+  round(d_conf, 6) as confidence, d_len >= 625 as truncated from s where d_start is not null and d_len * 0.032 - 0.096 >= 0.032""")
+def _(spark, sf):
+    d = E.detect_segments(frames(spark, sf), E.SegmentSettings(
         min_speech_ms=64, min_silence_ms=96, min_segment_ms=32, preroll_s=0.064))
+    return d.select("stream_id", *[F.round(c, 6).alias(c) for c in ("start_s", "end_s", "seconds")], "speech_seconds",
+                    F.round("confidence", 6).alias("confidence"), "truncated")
 
 
 @query("vad_confidence", """

