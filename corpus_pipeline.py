@@ -38,7 +38,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (little-endian unsigned 32-bit), and whether they decode back."""
-    ids = bpe.encode_decode(docs, bpe.tokenizer_path(), bpe.default_pattern())
+    ids = bpe.encode_decode(docs, bpe.tokenizer_path(), bpe.default_pattern(), keep=100_000)
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return ids.select("doc_id", "lang", "source", "n_tokens", "token_ids", whole.alias("round_trip"),
                       F.sha2("token_ids", 256).alias("ids_sha256"))
