@@ -165,33 +165,26 @@ def intent_rows(spark: SparkSession, catalogue: Catalogue) -> DataFrame:
 
 def check_catalogue(intents: DataFrame, slots: DataFrame) -> DataFrame:
     """One row ``(catalogue, item, problem)`` per violation; none when it is sound."""
-    def flag(df, item, cond, problem):
-        return df.where(cond).select("catalogue", item.alias("item"),
-                                     F.lit(problem).alias("problem"))
-
-    def repeated(df, keys, item, problem):
-        return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                .select("catalogue", item.alias("item"), F.lit(problem).alias("problem")))
-    i, s = F.col("intent"), F.concat_ws(":", "intent", "slot")
-    out = [
-        flag(intents, i, ~i.rlike(NAME_PATTERN), "bad intent name"),
-        flag(intents, i, F.col("min_confidence").isNotNull()
-             & ((F.col("min_confidence") <= 0) | (F.col("min_confidence") > 1)),
-             "min_confidence must be in (0, 1]"),
-        flag(intents, i, F.size(F.array_except("contexts", F.array(*map(F.lit, V.CONTEXTS)))) > 0,
-             "unknown context"),
-        repeated(intents, ["catalogue", "intent"], i, "duplicate intent name"),
-        flag(slots, s, ~F.col("slot").rlike(SLOT_NAME_PATTERN), "bad slot name"),
-        flag(slots, s, ~F.col("type").isin(*V.SLOT_TYPES), "unknown slot type"),
-        flag(slots, s, F.coalesce(F.size("values"), F.lit(0)) <= 0, "slot declares no values"),
-        flag(slots, s, F.size(F.array_distinct("values")) < F.size("values"),
-             "duplicate slot values"),
-        repeated(slots, ["catalogue", "intent", "slot"], s, "duplicate slot name"),
-    ]
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    return result
+    def problems(df, item, keys, rules, twice):
+        """One read: row rules as an array, duplicates by a count of the same exchange."""
+        found = F.array_compact(F.array(*[F.when(cond, F.lit(problem)) for problem, cond in rules.items()]))
+        per = df.select(*keys, item.alias("item"), found.alias("found")).groupBy(*keys, "item").agg(
+            F.flatten(F.collect_list("found")).alias("found"), F.count(F.lit(1)).alias("n"))
+        every = F.concat("found", F.when(F.col("n") > 1, F.array(F.lit(twice)))
+                         .otherwise(F.array().cast("array<string>")))
+        return per.select("catalogue", "item", F.explode(every).alias("problem"))
+    return problems(intents, F.col("intent"), ["catalogue", "intent"], {
+        "bad intent name": ~F.col("intent").rlike(NAME_PATTERN),
+        "min_confidence must be in (0, 1]": F.col("min_confidence").isNotNull()
+        & ((F.col("min_confidence") <= 0) | (F.col("min_confidence") > 1)),
+        "unknown context": F.size(F.array_except("contexts", F.array(*map(F.lit, V.CONTEXTS)))) > 0,
+    }, "duplicate intent name").unionByName(
+        problems(slots, F.concat_ws(":", "intent", "slot"), ["catalogue", "intent", "slot"], {
+            "bad slot name": ~F.col("slot").rlike(SLOT_NAME_PATTERN),
+            "unknown slot type": ~F.col("type").isin(*V.SLOT_TYPES),
+            "slot declares no values": F.coalesce(F.size("values"), F.lit(0)) <= 0,
+            "duplicate slot values": F.size(F.array_distinct("values")) < F.size("values"),
+        }, "duplicate slot name"))
 
 
 def extend_catalogue(base: DataFrame, other: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from whofor import fixed as V
 from whofor.functions.scalars import count_if, is_true, rate, safe_div
-from whofor.operators.ordering import first_ranked, number_rows, overlap, own_rows, run_window
+from whofor.operators.ordering import first_ranked
 from whofor.operators.quantiles import quantiles
 from whofor.session import cut_lineage
 
@@ -241,17 +241,13 @@ def session_summary(rows: DataFrame, by: str = "session") -> DataFrame:
 
 def turn_timeline(events: DataFrame, order: list[str]) -> DataFrame:
     """Every event with the milliseconds since the one before it in the same turn."""
-    keys = ["turn"]
     d = events.where(F.coalesce(F.col("turn").cast("string"), F.lit("")) != "")
-    d = number_rows(d.select("turn", "event", "t", *[c for c in order if c not in ("turn", "event", "t")]),
-                    keys, order, F.floor(F.col("t") / 60).cast("long"))
-    starts = d.where("pos = 0").select("turn", F.col("t").alias("__t0"))
-    d = overlap(d, keys, back=1)
-    d = own_rows(d.withColumn("__before", F.lag("t").over(run_window(keys))))
-    return d.join(starts, keys).select(
-        "turn", "event", "t", (F.col("pos") + 1).alias("step"),
-        F.round((F.col("t") - F.col("__before")) * 1000.0, 3).alias("since_previous_ms"),
-        F.round((F.col("t") - F.col("__t0")) * 1000.0, 3).alias("since_start_ms"))
+    # A turn is one utterance: a handful of events, ordered where they meet.
+    turn = Window.partitionBy("turn").orderBy(*order)
+    return d.select(
+        "turn", "event", "t", F.row_number().over(turn).cast("long").alias("step"),
+        F.round((F.col("t") - F.lag("t").over(turn)) * 1000.0, 3).alias("since_previous_ms"),
+        F.round((F.col("t") - F.first("t").over(turn)) * 1000.0, 3).alias("since_start_ms"))
 
 
 def stage_funnel(events: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +35,13 @@ def unit(v: Column) -> Column:
 def enrol(df: DataFrame, by: list[str], vector: str, dim: int) -> DataFrame:
     """One profile per speaker: the renormalised mean of unit vectors.
 
-    Per-dimension averages are plain aggregates combined map-side, so a
-    speaker with a third of the clips costs one partial row per task. No
-    profile (null) from fewer than two usable vectors.
+    One buffer per speaker and task sums all dimensions before the exchange, so
+    a speaker with a third of the clips costs one partial row per task. No
+    profile (null) from fewer than two usable vectors of ``dim`` numbers.
     """
-    u = df.withColumn("__u", unit(F.col(vector))).where(F.col("__u").isNotNull())
-    agg = u.groupBy(*by).agg(F.count(F.lit(1)).alias("clips"), F.array(*[
-        F.avg(F.get("__u", F.lit(i))) for i in range(dim)]).alias("mean"))
+    u = df.withColumn("__u", unit(F.col(vector))).where(F.size("__u") == dim)
+    agg = u.groupBy(*by).agg(F.count(F.lit(1)).alias("clips"), vector_to_array(
+        Summarizer.mean(array_to_vector(F.col("__u").cast("array<double>")))).alias("mean"))
     return agg.select(*by, "clips", F.when(F.col("clips") >= 2, unit(F.col("mean")))
                       .alias("profile"))
 

@@ -59,12 +59,14 @@ def read_feature_rows(spark: SparkSession, paths) -> DataFrame:
     raw = spark.read.schema(", ".join(f"{c} string" for c in columns)) \
         .option("enforceSchema", "false").csv(paths, header=True)
 
-    def number(n):
-        text = F.trim(F.coalesce(F.col(n), F.lit("")))
-        return F.when(text == "", F.raise_error(F.lit(f"row without {n}"))) \
-            .otherwise(text.cast("double")).alias(n)
-    return raw.select(*[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in V.META_NAMES],
-                      *[number(n) for n in V.FEATURE_NAMES])
+    def text(n):
+        return F.trim(F.coalesce(F.col(n), F.lit("")))
+    # The check is a filter over every feature, so it holds whichever columns are read later.
+    blank = F.coalesce(*[F.when(text(n) == "", F.lit(n)) for n in V.FEATURE_NAMES])
+    whole = F.when(blank.isNull(), True).otherwise(
+        F.raise_error(F.concat(F.lit("row without "), blank)).cast("boolean"))
+    return raw.where(whole).select(*[text(c).alias(c) for c in V.META_NAMES],
+                                   *[text(n).cast("double").alias(n) for n in V.FEATURE_NAMES])
 
 
 def write_feature_rows(df: DataFrame, path: str, mode: str = "error") -> None:

@@ -99,14 +99,13 @@ def _(spark, sf):
 
 
 @query("joined_vectors", """
-select c.vec_id, round(e.embedding[1]::double, 5) as first, c.vec_id % 3 = 0 as replaced from @fx_clips c join embeddings e on e.vec_id = case when c.vec_id % 3 = 0 then c.vec_id + 1 else c.vec_id end
-where c.vec_id % 5 <> 0""")
+select c.vec_id, round(coalesce(n.embedding[1], e.embedding[1])::double, 5) as first, n.vec_id is not null as replaced from @fx_clips c join embeddings e on e.vec_id = c.vec_id
+left join embeddings n on c.vec_id % 3 = 0 and n.vec_id = c.vec_id + 1""")
 def _(spark, sf):
     rows = fixture(spark, sf, "fx_clips").select("vec_id", "id")
-    v = run_sql(spark, sf, """select concat('c', cast(vec_id as string)) as id, embedding as vector, 1.0D as encode_ms, 1 as seq from embeddings where vec_id % 5 <> 0
-      union all select concat('c', cast(vec_id - 1 as string)), embedding, 2.0D, 2 from embeddings where (vec_id - 1) % 3 = 0 and (vec_id - 1) % 5 <> 0""")
-    last = run_sql(spark, sf, "select max(vec_id) as m from embeddings")
-    d = H.join_vectors(rows, v).where(~((F.col("vec_id") % 3 == 0) & (F.col("vec_id") == F.lit(last.scalar()))))
+    v = run_sql(spark, sf, """select concat('c', cast(vec_id as string)) as id, embedding as vector, 1.0D as encode_ms, 1 as seq from embeddings
+      union all select concat('c', cast(vec_id - 1 as string)), embedding, 2.0D, 2 from embeddings where (vec_id - 1) % 3 = 0""")
+    d = H.join_vectors(rows, v)
     return d.select("vec_id", F.round(F.get("vector", F.lit(0)).cast("double"), 5).alias("first"),
                     (F.col("encode_ms") == 2.0).alias("replaced"))
 
@@ -279,11 +278,14 @@ def _(spark, sf):
         brief.alias("brief_is_brief"))
 
 
-@query("fast_decisions")
+@query("fast_decisions", f"""
+with {SCORED} select vec_id, case when vec_id % 9 = 0 then 'escalate' else route end as route, vec_id % 9 = 0 as unscored,
+  case when vec_id % 9 = 0 then 'assistant_directed' else who end as who, case when vec_id % 9 <> 0 and route <> 'ignore' then intent end as intent from r""")
 def _(spark, sf):
     d = clips(spark, sf).withColumn("vector", F.when(F.col("vec_id") % 9 == 0, F.slice("vector", 1, 10))
                                     .otherwise(F.col("vector")))
-    return ST.fast_decision(d, slice_model(), "slice:64").select("vec_id", "route", "reason", "who", "intent")
+    return ST.fast_decision(d, slice_model(), "slice:64").select(
+        "vec_id", "route", (F.col("reason") == "the vector could not be scored").alias("unscored"), "who", "intent")
 
 
 @query("top_intents", f"""

@@ -247,10 +247,10 @@ def content_sql(text):
 
 
 @query("topic_words", f"""
-with w as (select unnest({content_sql('text')}) as word from (select text from documents where lang = 'en' union all select text from @fx_utterances))
+with w as (select unnest({content_sql('text')}) as word from (select text from documents union all select text from @fx_utterances))
 select word, count(*) as n from w group by word""")
 def _(spark, sf):
-    d = run_sql(spark, sf, "select text from documents where lang = 'en' union all select text from @fx_utterances")
+    d = run_sql(spark, sf, "select text from documents union all select text from @fx_utterances")
     return d.select(F.explode(T.content_words(F.col("text"))).alias("word")) \
         .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -639,13 +639,23 @@ def _(spark, sf):
         "intent", "catalogue", "needs_transcript", F.col("position").cast("long").alias("position"))
 
 
-@query("catalogue_round_trip")
+@query("catalogue_round_trip", """
+with p as (select p_brand as catalogue, list(p_partkey order by p_partkey) as keys, list(p_name order by p_partkey) as names from part group by p_brand)
+select catalogue, len(keys) + 1 as intents, md5(list_aggregate(list_append(list_transform(keys, lambda k: 'i' || k::varchar), 'open_request'), 'string_agg', ',')) as names,
+  md5(list_aggregate(names, 'string_agg', ',')) as examples, len(keys) as levels, 1 as need_transcript from p""")
 def _(spark, sf):
-    d = run_sql(spark, sf, """select p_brand as k, to_json(named_struct('name', p_brand, 'version', '2', 'intents',
-      collect_list(named_struct('name', concat('i', cast(p_partkey as string)), 'examples', array(p_name), 'slots',
-        array(named_struct('name', 'level', 'type', 'enum', 'values', array('a', 'b'))))))) as json from part group by p_brand""")
+    d = run_sql(spark, sf, """select p_brand as k, to_json(named_struct('name', p_brand, 'version', '2', 'intents', transform(
+      array_sort(collect_list(named_struct('at', p_partkey, 'name', p_name))), x -> named_struct('name', concat('i', cast(x.at as string)),
+        'examples', array(x.name), 'slots', array(named_struct('name', 'level', 'type', 'enum', 'values', array('a', 'b'))))))) as json
+      from part group by p_brand""")
     rows = C.read_catalogue(d, "json")
-    return C.write_catalogue(rows.drop("k"))
+    back = C.write_catalogue(rows.drop("k")).withColumn("c", F.from_json("json", C.CATALOGUE_TYPE))
+    i = F.col("c.intents")
+    return back.select(
+        "catalogue", F.size(i).cast("long").alias("intents"), F.md5(F.array_join(F.transform(i, lambda x: x["name"]), ",")).alias("names"),
+        F.md5(F.array_join(F.flatten(F.transform(i, lambda x: F.coalesce(x["examples"], F.array().cast("array<string>")))), ",")).alias("examples"),
+        F.size(F.filter(i, lambda x: F.get(x["slots"], F.lit(0))["name"] == "level")).cast("long").alias("levels"),
+        F.size(F.filter(i, lambda x: F.coalesce(x["needs_transcript"], F.lit(False)))).cast("long").alias("need_transcript"))
 
 
 # -- labelling -----------------------------------------------------------------------------------------
