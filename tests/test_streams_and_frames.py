@@ -290,3 +290,58 @@ def test_shuffled_turn_events_equal_batch(spark, tmp_path):
     assert len(got) >= 24 and all(want[t] == v for t, v in got.items())
     late = run_stream(spark, tmp_path / "late", d, twins.stream_late_verdicts, "lates", ["arrival"])
     assert [tuple(r) for r in late] == [("alone", "accepted")]
+
+
+def shuffled_within(rows, at, reach, seed):
+    """Rows moved forward or back in their order of arrival by less than ``reach`` seconds."""
+    r = random.Random(seed)
+    return sorted(rows, key=lambda x: at(x) + r.random() * reach)
+
+
+def test_shuffled_verdicts_equal_batch(spark, tmp_path):
+    d = spark.createDataFrame(talk(7, 3), TALK)
+    facts = CV.prepare(d).select("conv_id", "upos", "at_s", *CV.FACTS)
+    want = {(r["conv_id"], r["upos"]): r["method"] for r in CV.score_conversations(d).collect()}
+    rows = shuffled_within(facts.collect(), lambda r: r["at_s"], 40.0, 3)
+    ends = [r.asDict() | {"at_s": 1e6 + 1000 * k, "conv_id": 99, "upos": k} for k, r in enumerate(rows[:3])]
+    full = spark.createDataFrame([*rows, *[tuple(e[c] for c in facts.columns) for e in ends]], facts.schema) \
+        .withColumn("arrival", F.monotonically_increasing_id()).withColumn("ts", F.timestamp_seconds("at_s"))
+    got = run_stream(spark, tmp_path, full, lambda s: twins.stream_verdicts(s, late="60 seconds"), "shuffled_verdicts",
+                     ["arrival"], files=6)
+    got = {(r["conv_id"], r["upos"]): r["method"] for r in got if r["conv_id"] != 99}
+    assert got == want
+    left = spark.read.format("statestore").option("stateVarName", "recent").load(str(tmp_path / "ck")).collect()
+    assert {r["key"]["conv_id"] for r in left} <= {99}, "idle conversations leave the state"
+
+
+def test_shuffled_frames_equal_batch(spark, tmp_path):
+    rng = random.Random(4)
+    rows, i = [], 0
+    for _ in range(40):
+        loud = rng.random() < 0.5
+        for _ in range(rng.choice([5, 20, 40])):
+            rows.append((1, i, i * 0.032, 0.2 if loud else 0.002 + rng.random() / 1000))
+            i += 1
+    d = spark.createDataFrame(rows, "stream_id long, frame_idx long, at_s double, rms double")
+    want = sorted(tuple(r) for r in E.detect_segments(E.energy_vad(d), CFG).collect())
+    rows = shuffled_within(rows, lambda r: r[2], 1.0, 5) + [(2, k, 1e5 + 1e5 * k, 0.1) for k in range(2)]
+    d = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)],
+                              "stream_id long, frame_idx long, at_s double, rms double, arrival long") \
+        .withColumn("ts", F.timestamp_seconds(F.col("at_s") + 1000))
+    got = sorted(tuple(r) for r in run_stream(spark, tmp_path, d, lambda s: twins.stream_segments(s, CFG, "2 seconds"),
+                                              "shuffled_segs", ["arrival"], files=5))
+    assert len(want) > 3 and [g[:4] for g in got] == [pytest.approx(w[:4]) for w in want]
+
+
+def test_streamed_recent_latency_equals_batch(spark, tmp_path):
+    from whofor.operators.shadow import recent_latency
+    r = random.Random(9)
+    rows = [(k, k, r.random() * 90) for k in range(900)]
+    rows += rows[100:110]
+    r.shuffle(rows)
+    d = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "at long, row_id long, ms double, arrival long")
+    got = run_stream(spark, tmp_path, d, lambda s: twins.stream_recent_latency(s, 200, 4), "latency", ["arrival"], files=4)
+    want = recent_latency(d.dropDuplicates(["row_id"]), [F.desc("at")], "row_id").first()["p50_ms"]
+    last = max(got, key=lambda x: (x["newest_at"], x["n"]))
+    finals = [x["p50_ms"] for x in got if (x["n"], x["newest_at"]) == (200, 899)]
+    assert (last["n"], last["newest_at"]) == (200, 899) and want in finals
