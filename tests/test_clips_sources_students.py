@@ -306,3 +306,77 @@ def test_vectors_keep_table_order_past_many_partitions(spark):
     assert got == {"a": 2.0, "b": 2.0}
     names = SS.table_order(1, F.lit("f"), F.lit(0), F.col("row"))
     assert d.select(names.alias("s")).schema["s"].dataType.names == ["table", "file", "block", "row"]
+
+
+def test_wide_vectors_are_summed_in_one_buffer(spark):
+    """2048 dimensions: pooled frames and enrolled profiles equal NumPy."""
+    rng = np.random.default_rng(3)
+    frames = rng.normal(size=(7, 2048))
+    d = spark.createDataFrame([("a", t, f.tolist()) for t, f in enumerate(frames)], "id string, t int, frame array<double>")
+    got = D.pool_frames(d, 2048, "stats_thirds").first()["vector"]
+    np.testing.assert_allclose(got, A.pool(frames, "stats_thirds"), atol=1e-9)
+    from whofor.operators import speakers as SP
+    clips = spark.createDataFrame([("s", f.tolist()) for f in frames] + [("t", frames[0].tolist()), ("u", None)],
+                                  "who string, v array<double>")
+    rows = {r["who"]: r["profile"] for r in SP.enrol(clips, ["who"], "v", 2048).collect()}
+    mean = (frames / np.linalg.norm(frames, axis=1, keepdims=True)).mean(axis=0)
+    np.testing.assert_allclose(rows["s"], mean / np.linalg.norm(mean), atol=1e-9)
+    assert rows["t"] is None and "u" not in rows
+
+
+def test_a_blank_feature_fails_whatever_is_selected(spark, tmp_path):
+    d = spark.createDataFrame([("x", *[float(i) for i in range(20)])],
+                              "label string, " + ", ".join(f"{n} double" for n in V.FEATURE_NAMES))
+    M.write_feature_rows(d.drop(V.FEATURE_NAMES[19]), str(tmp_path / "g"))
+    three = M.read_feature_rows(spark, str(tmp_path / "g")).select(*V.FEATURE_NAMES[:3])
+    with pytest.raises(Exception, match=V.FEATURE_NAMES[19]):
+        three.collect()
+    with pytest.raises(Exception, match=V.FEATURE_NAMES[19]):
+        M.read_feature_rows(spark, str(tmp_path / "g")).count()
+
+
+def head_loss(model, X, y, head, l2, floor):
+    """The objective of one head, by its definition."""
+    W, b = model.heads[head]
+    z = ((X - model.mean) / model.scale) @ W + b
+    logp = z - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True)) - z.max(1, keepdims=True)
+    zero = b - np.log(np.exp(b - b.max()).sum()) - b.max()
+    k = len(b)
+    return (-(y * logp).sum() - floor * zero.sum()) / (len(y) + floor * k) + 0.5 * l2 * (W ** 2).sum()
+
+
+@pytest.mark.parametrize("dim,l2", [(6, 1e-2), (2048, 1.0)])
+def test_heads_are_at_the_minimum(spark, dim, l2):
+    """No direction lowers the loss, and the multinomial regression of the library does not reach a lower one."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    from whofor.operators import heads as H
+    rng = np.random.default_rng(1)
+    n = 90
+    X = rng.normal(size=(n, dim)) * 3 + 1
+    soft = rng.dirichlet([1, 1, 1], size=n)
+    names = H.head_names()
+    rows = [(X[i].tolist(), soft[i].tolist(), *[None if (i % 2 and h != "intent") else rng.dirichlet(np.ones(len(c))).tolist()
+                                                for h, c in list(names.items())[1:]]) for i in range(n)]
+    ddl = "vector array<double>, " + ", ".join(f"{H.target_column(h)} array<double>" for h in names)
+    d = spark.createDataFrame(rows + [(None, *[[1.0 / len(c)] * len(c) for c in names.values()])], ddl).repartition(3)
+    m = H.fit_heads(d, l2=l2, max_iter=200)
+    got = head_loss(m, X, soft, "addressed", l2, H.WEIGHT_FLOOR)
+    for scale in (1e-3, 1e-2):
+        for _ in range(5):
+            W, b = m.heads["addressed"]
+            other = H.HeadsModel(m.mean, m.scale, {"addressed": (W + scale * rng.normal(size=W.shape),
+                                                                 b + scale * rng.normal(size=b.shape))}, {})
+            assert head_loss(other, X, soft, "addressed", l2, H.WEIGHT_FLOOR) > got
+    if dim < 100:
+        z = (X - m.mean) / m.scale
+        flat = [(Vectors.dense(z[i]), float(k), float(soft[i, k])) for i in range(n) for k in range(3)]
+        lr = LogisticRegression(family="multinomial", weightCol="w", regParam=l2, standardization=False, maxIter=200)
+        fit = lr.fit(spark.createDataFrame(flat, ["features", "label", "w"]))
+        ref = H.HeadsModel(m.mean, m.scale, {"addressed": (fit.coefficientMatrix.toArray().T, fit.interceptVector.toArray())}, {})
+        assert got <= head_loss(ref, X, soft, "addressed", l2, H.WEIGHT_FLOOR) + 1e-6
+        t = H.calibrated(d.where("vector is not null"), m).temperatures
+        one = H.calibrate_temperature(d.where("vector is not null").select(
+            F.array(*[F.lit(0.0)] * 3).alias("z"), H.target_column("addressed")), "z", H.target_column("addressed"))
+        assert set(t) == set(names) and one.first()["temperature"] > 0

@@ -183,6 +183,10 @@ def test_second_opinion_requests(spark):
     rows = CV.adjudication_requests(CV.score_conversations(d)).collect()
     assert rows and {r["setting"] for r in rows} <= {"others", "solo", "unknown"}
     assert all(r["user_prompt"].endswith("Digit:") for r in rows)
+    for r in rows:
+        asked = r["system_prompt"]
+        assert asked.count("\n- ") == len(CV.FOR_ASSISTANT) + len(CV.FOR_PERSON) and "{name}" not in asked
+        assert CV.SETTING_TEXT[r["setting"]] in asked and CV.TIEBREAK_TEXT[r["tiebreak"]] in asked
 
 
 def run_stream(spark, tmp_path, df, build, name, order=None, files=3):

@@ -217,6 +217,32 @@ TIEBREAK_TEXT = {"cautious": "When you cannot tell, answer 4 or lower.",
                  "balanced": "When you cannot tell, answer 4 or 5."}
 
 
+#: What speaks for either side, and how sure to be: the judge's criteria.
+FOR_ASSISTANT = (
+    "it wants a fact that no one in the room would be likely to know",
+    "only a machine could do what it asks, such as timing, reckoning or starting a program",
+    "it picks up what {name} said a moment ago")
+FOR_PERSON = (
+    "the speaker was already talking with someone and this goes on from there",
+    "it is about something they mean to do together",
+    "someone would have to use their hands for it",
+    "it tells of, or asks about, a person's own life or views",
+    "its subject is someone spoken of as he, she or they")
+CAUTIONS = (
+    "A question may be for anyone; that it is one decides nothing.",
+    "The word {name} can be a name or a plain word; inside a sentence it need not be a call.",
+    "Where you waver, say so with a digit from the middle rather than choose a side.")
+
+
+def criteria_text(name: str) -> str:
+    """The criteria as two lists and the cautions."""
+    def listed(head, items):
+        return "\n".join([head, *[f"- {i}" for i in items]])
+    return "\n\n".join([
+        listed(f"Signs that it was for {name}:", FOR_ASSISTANT), listed("Signs that it was for a person:", FOR_PERSON),
+        "\n".join(CAUTIONS)]).replace("{name}", name)
+
+
 def adjudication_requests(scored: DataFrame, name: str = V.DEFAULT_NAME) -> DataFrame:
     """Ambiguous rows only, with the prompt a second opinion would be asked.
 
@@ -250,7 +276,7 @@ def adjudication_requests(scored: DataFrame, name: str = V.DEFAULT_NAME) -> Data
         "setting": setting, "tiebreak": tiebreak, "context_lines": F.concat(lines, spoke)}) \
         .withColumn("system_prompt", F.concat_ws(
             "\n\n", F.lit(f"Judge whether a spoken sentence was for the assistant {name}."),
-            look[F.col("setting")], tie[F.col("tiebreak")],
+            look[F.col("setting")], F.lit(criteria_text(name)), tie[F.col("tiebreak")],
             F.lit("Answer with one digit: 0 is certainly a person, 9 is certainly the "
                   "assistant."))) \
         .withColumn("user_prompt", F.concat(

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -129,43 +129,137 @@ def _softmax(z: np.ndarray, t: float = 1.0) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _gradient_sums(data: DataFrame, targets: list[str], sizes: list[int], dim: int, lanes: int):
+    """A function of the weights: losses, row weights and gradients of all heads over all rows.
+
+    One pass over the rows: a task adds up its batches in matrices and passes on one row, and
+    ``lanes`` tasks add those up again, so the driver gets ``lanes`` rows however many there are.
+    """
+    spark = data.sparkSession
+    bounds = np.cumsum([0, *[(dim + 1) * k for k in sizes]])
+    width = int(bounds[-1]) + 2 * len(sizes)
+    empty = pa.schema([("sums", pa.binary())])
+
+    def evaluate(theta: np.ndarray):
+        shared = spark.sparkContext.broadcast(theta)
+
+        def partial(batches):
+            total, theta = np.zeros(width), shared.value
+            for batch in batches:
+                n = batch.num_rows
+                X = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
+                X = np.concatenate((X, np.ones((n, 1))), axis=1)
+                w = batch.column("w").to_numpy(zero_copy_only=False)
+                for h, (y, k) in enumerate(zip(targets, sizes)):
+                    taught = batch.column(y).is_valid().to_numpy(zero_copy_only=False)
+                    if not taught.any():
+                        continue
+                    Y = batch.column(y).drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                    Xh, wh = X[taught], w[taught][:, None] * Y.sum(axis=1, keepdims=True)
+                    P = _softmax(Xh @ theta[bounds[h]:bounds[h + 1]].reshape(dim + 1, k))
+                    total[bounds[h]:bounds[h + 1]] += (Xh.T @ (wh * P - w[taught][:, None] * Y)).ravel()
+                    total[bounds[-1] + 2 * h] -= float((w[taught][:, None] * Y * np.log(P + 1e-300)).sum())
+                    total[bounds[-1] + 2 * h + 1] += float(wh.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], schema=empty)
+
+        def added(batches):
+            total = np.zeros(width)
+            for batch in batches:
+                for row in batch.column("sums").to_pylist():
+                    total += np.frombuffer(row)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], schema=empty)
+        rows = data.mapInArrow(partial, "sums binary").repartition(lanes).mapInArrow(added, "sums binary").collect()
+        shared.destroy()
+        total = np.sum([np.frombuffer(r["sums"]) for r in rows], axis=0)
+        return total[bounds[-1]::2], total[bounds[-1] + 1::2], [
+            total[lo:hi].reshape(dim + 1, k) for lo, hi, k in zip(bounds, bounds[1:], sizes)]
+    return evaluate
+
+
+def quasi_newton(f, x: np.ndarray, max_iter: int, tol: float = 1e-6, memory: int = 10) -> np.ndarray:
+    """The minimum of a smooth convex ``f`` (value and gradient), by limited-memory updates."""
+    value, grad = f(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(max_iter):
+        if np.abs(grad).max() < tol:
+            break
+        q, a = grad.copy(), []
+        for s, y in reversed(past):
+            a.append((s @ q) / (y @ s))
+            q -= a[-1] * y
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1.0 / max(np.linalg.norm(grad), 1.0)
+        for (s, y), c in zip(past, reversed(a)):
+            q += (c - (y @ q) / (y @ s)) * s
+        step, slope = 1.0, float(grad @ q)
+        while True:
+            new, new_grad = f(x - step * q)
+            if new <= value - 1e-4 * step * slope or step < 1e-8:
+                break
+            step /= 2
+        s, y = -step * q, new_grad - grad
+        if new > value:
+            break
+        x, value, grad = x + s, new, new_grad
+        if y @ s > 1e-14:
+            past = [*past, (s, y)][-memory:]
+    return x
+
+
 def fit_heads(df: DataFrame, catalogue: Catalogue = CORE, vector: str = "vector",
               encoder: str = "", l2: float = 1e-4, weight: str | None = None,
-              max_iter: int = 100) -> HeadsModel:
-    """One multinomial fit per head on soft targets, as weighted rows.
+              max_iter: int = 100, lanes: int = 8) -> HeadsModel:
+    """Softmax heads on soft targets: cross-entropy with a ridge, all heads in one gradient.
 
-    A row contributes one training row per class it gives any probability to,
-    which is cross-entropy against the soft label. A floor row per class keeps
-    classes nobody has from vanishing.
+    Every step is one pass over the rows as they are: a soft label stays one row, a vector one
+    array, whatever their sizes. A floor of weight per class keeps classes nobody has from
+    vanishing. Rows without a vector of the common length teach nothing.
     """
-    d = df.withColumn("x", array_to_vector(F.col(vector)))
-    s = d.agg(Summarizer.mean(F.col("x")).alias("m"), Summarizer.variance(F.col("x")).alias("v"),
-              F.count(F.lit(1)).alias("n")).first()
+    s = df.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector)).alias("x")).agg(
+        Summarizer.mean(F.col("x")).alias("m"), Summarizer.variance(F.col("x")).alias("v"),
+        F.count(F.lit(1)).alias("n")).first()
     n = s["n"]
     mean = np.asarray(s["m"].toArray())
     scale = np.sqrt(np.asarray(s["v"].toArray()) * max(n - 1, 1) / max(n, 1))
     scale[scale < 1e-6] = 1.0
-    dim = len(mean)
-    z = F.array(*[(F.get(F.col(vector), F.lit(i)).cast("double") - float(mean[i]))
-                  / float(scale[i]) for i in range(dim)])
-    base = df.withColumn("__z", z)
-    heads, names = {}, head_names(catalogue)
-    for head, classes in names.items():
-        y = target_column(head)
-        w = F.lit(1.0) if weight is None else F.col(weight)
-        rows = base.where(F.col(y).isNotNull()) \
-            .select("__z", w.alias("__w"), F.posexplode(F.col(y)).alias("k", "p")) \
-            .where("p > 0").select(F.col("__z"), F.col("k").cast("double").alias("label"),
-                                   (F.col("__w") * F.col("p")).alias("weight"))
-        floor = df.sparkSession.range(0, len(classes), 1, 1).select(
-            F.array_repeat(F.lit(0.0), dim).alias("__z"), F.col("id").cast("double").alias("label"),
-            F.lit(WEIGHT_FLOOR).alias("weight"))
-        data = rows.unionByName(floor).select(
-            array_to_vector(F.col("__z")).alias("features"), "label", "weight")
-        fit = LogisticRegression(family="multinomial", weightCol="weight", regParam=l2,
-                                 standardization=False, maxIter=max_iter).fit(data)
-        heads[head] = (fit.coefficientMatrix.toArray().T, fit.interceptVector.toArray())
-    return HeadsModel(mean, scale, heads, names, encoder=encoder)
+    dim, names = len(mean), head_names(catalogue)
+    targets, sizes = [target_column(h) for h in names], [len(c) for c in names.values()]
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    data = df.where((F.size(vector) == dim) & F.coalesce(*targets).isNotNull()).select(
+        F.col(vector).cast("array<double>").alias("x"), w.alias("w"),
+        *[F.col(y).cast("array<double>").alias(y) for y in targets]).persist()
+    sums = _gradient_sums(data, targets, sizes, dim, lanes)
+    bounds = np.cumsum([0, *[(dim + 1) * k for k in sizes]])
+
+    def raw(theta):
+        """Weights on the vectors as they are, from weights on the scaled ones."""
+        out = []
+        for lo, hi, k in zip(bounds, bounds[1:], sizes):
+            t = theta[lo:hi].reshape(dim + 1, k)
+            W = t[:-1] / scale[:, None]
+            out.append(np.concatenate((W, t[-1:] - mean @ W)).ravel())
+        return np.concatenate(out)
+
+    def objective(theta):
+        losses, weights, grads = sums(raw(theta))
+        value, out = 0.0, []
+        for h, (lo, hi, k) in enumerate(zip(bounds, bounds[1:], sizes)):
+            t = theta[lo:hi].reshape(dim + 1, k)
+            floor = _softmax(t[-1])
+            total = weights[h] + WEIGHT_FLOOR * k
+            value += (losses[h] - WEIGHT_FLOOR * np.log(floor).sum()) / total + 0.5 * l2 * (t[:-1] ** 2).sum()
+            # The chain rule of the scaling: only sums of x and of the residual are needed.
+            residual = grads[h][-1]
+            g = np.concatenate(((grads[h][:-1] - np.outer(mean, residual)) / scale[:, None],
+                                (residual + WEIGHT_FLOOR * (k * floor - 1.0))[None])) / total
+            g[:-1] += l2 * t[:-1]
+            out.append(g.ravel())
+        return value, np.concatenate(out)
+    try:
+        theta = quasi_newton(objective, np.zeros(int(bounds[-1])), max_iter)
+    finally:
+        data.unpersist()
+    fitted = {h: theta[lo:hi].reshape(dim + 1, k) for h, lo, hi, k in zip(names, bounds, bounds[1:], sizes)}
+    return HeadsModel(mean, scale, {h: (t[:-1], t[-1]) for h, t in fitted.items()}, names, encoder=encoder)
 
 
 def score_heads(df: DataFrame, model: HeadsModel, vector: str = "vector") -> DataFrame:
@@ -233,18 +327,34 @@ def calibrate_temperature(df: DataFrame, logits: str, target: str) -> DataFrame:
 
 
 def calibrated(df: DataFrame, model: HeadsModel, vector: str = "vector") -> HeadsModel:
-    """The model with a temperature per head, fitted on ``df`` (targets already built)."""
-    order = list(model.heads)
+    """The model with a temperature per head, fitted on ``df`` (targets already built).
 
-    @F.pandas_udf(ArrayType(ArrayType(DoubleType())))
-    def logits(v: pd.Series) -> pd.Series:
-        z = model.logits(np.stack(v.to_list()).astype(np.float64))
-        return pd.Series([[z[h][i] for h in order] for i in range(len(v))])
-    d = df.withColumn("__logits", logits(F.col(vector)))
-    temps = {}
-    for k, h in enumerate(order):
-        one = d.withColumn("__z", F.get("__logits", F.lit(k)))
-        temps[h] = calibrate_temperature(one, "__z", target_column(h)).first()["temperature"]
+    One pass for all heads: a batch adds up every head's loss at every temperature of the grid.
+    """
+    order, grid = list(model.heads), np.asarray(TEMPERATURES)
+    targets, dim = [target_column(h) for h in order], len(model.mean)
+
+    def partial(batches):
+        loss, seen = np.zeros((len(order), len(grid))), np.zeros(len(order), dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = model.logits(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+            for h, y in enumerate(targets):
+                taught = batch.column(y).is_valid().to_numpy(zero_copy_only=False)
+                if taught.any():
+                    Y = batch.column(y).drop_null().flatten().to_numpy(zero_copy_only=False).reshape(int(taught.sum()), -1)
+                    loss[h] -= [(Y * np.log(_softmax(z[order[h]][taught], t) + 1e-9)).sum() for t in grid]
+                    seen[h] += len(Y)
+        head, k = np.divmod(np.arange(loss.size), len(grid))
+        yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(k), pa.array(loss.ravel()), pa.array(seen[head])],
+                                         ["head", "k", "loss", "n"])
+    rows = df.where(F.size(vector) == dim).select(
+        F.col(vector).cast("array<double>").alias("x"), *[F.col(y).cast("array<double>").alias(y) for y in targets])
+    best = rows.mapInArrow(partial, "head long, k long, loss double, n long").groupBy("head", "k").agg(
+        F.sum("loss").alias("loss"), F.sum("n").alias("n")).groupBy("head").agg(
+        F.min_by("k", F.struct("loss", "k")).alias("k"), F.max("n").alias("n")).collect()
+    temps = {h: 1.0 for h in order} | {order[r["head"]]: round(float(grid[r["k"]]), 4) for r in best if r["n"] >= 5}
     return HeadsModel(model.mean, model.scale, model.heads, model.classes, temps, model.hidden,
                       model.encoder, model.thresholds, model.card)
 

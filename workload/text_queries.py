@@ -453,7 +453,19 @@ def _(spark, sf):
         "human_exchange", "retry")
 
 
-@query("second_opinion_requests")
+SECOND_OPINION = conversation_sql().rsplit("select conv_id, turn, round(heuristic", 1)[0].rstrip() + """,
+w as (select *, case past[1] when 1 then 'to the assistant' when 0 then 'to someone else' else 'unclear who to' end as whom from v where n > 0),
+x as (select w.conv_id, w.n, w.turn, w.band, u.text, u.since, count(*) filter (past[1] = 0) over six as others, count(*) filter (past[1] = 1) over six as mine,
+  list({'t': u.text, 'w': whom}) over (partition by w.conv_id order by w.n rows between 3 preceding and 1 preceding) as three
+  from w join u1 u on u.conv_id = w.conv_id and u.n = w.n window six as (partition by w.conv_id order by w.n rows between 6 preceding and 1 preceding)),
+y as (select *, list_concat(list_transform(list_filter(coalesce(three, []), lambda r: trim(r.t) <> trim(text)), lambda r: '- earlier, ' || r.w || ': "' || trim(r.t) || '"'),
+  case when since < 60 then ['- the assistant said ' || printf('%.0f', since) || 's ago: "shall I set it for ten minutes?"'] else [] end) as lines from x where band = 'ambiguous')
+select conv_id, turn, case when others > 0 then 'others' when mine >= 2 then 'solo' else 'unknown' end as setting,
+  case when others = 0 and mine >= 2 then 'balanced' else 'cautious' end as tiebreak, 'Context:' || chr(10) || case when len(lines) = 0 then '- (no recent context)'
+  else list_aggregate(lines, 'string_agg', chr(10)) end || chr(10) || chr(10) || 'Sentence just spoken: "' || trim(text) || '"' || chr(10) || chr(10) || 'Digit:' as user_prompt from y"""
+
+
+@query("second_opinion_requests", SECOND_OPINION)
 def _(spark, sf):
     d = CV.adjudication_requests(CV.score_conversations(spoken(spark, sf)))
     return d.select("conv_id", "turn", "setting", "tiebreak", "user_prompt")
