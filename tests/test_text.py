@@ -142,6 +142,28 @@ def test_rules_keep_exact_parses(spark):
     assert r["could you time my eggs"]["t_intent"] == "open_request"
 
 
+def test_a_second_run_asks_nothing(spark, tmp_path):
+    """Answers are kept by normalised text: only what is new is asked, and asked once."""
+    import numpy as np
+    asked = spark.sparkContext.accumulator(0)
+
+    def who(ts):
+        asked.add(len(ts))
+        return np.tile([0.8, 0.1, 0.1], (len(ts), 1))
+
+    def what(ts):
+        return np.full((len(ts), len(C.CORE.names)), 1.0 / len(C.CORE.names))
+
+    def run(*texts):
+        d = spark.createDataFrame([(t,) for t in texts], "said string")
+        return {r["judge_key"]: r["judge_addressed"][V.ASSISTANT]
+                for r in K.judge_with_store(d, "said", who, what, str(tmp_path / "answers")).collect()}
+    first = run("turn it up", "Turn  it up", "stop", "", None)
+    assert set(first) == {"turn it up", "stop", ""} and first["stop"] == pytest.approx(0.8) and asked.value == 2
+    assert run("STOP", "turn it up", "") == first and asked.value == 2
+    assert set(run("stop", "go on")) == {"stop", "go on"} and asked.value == 3
+
+
 def test_repeats_are_asked_once_and_unlikely_texts_skip_the_second_question(spark):
     r, j = judged(spark, ["did you feed the cat", "Did you feed  the cat", ""], 1)
     rows = {x["judge_key"]: x for x in j.collect()}

@@ -14,6 +14,7 @@ from whofor.functions.scalars import argmax, count_if, is_true, rate_columns, sa
 from whofor.operators.catalogue import CORE, Catalogue
 from whofor.operators.parsing import missing_required, no_slots, parse_intent
 from whofor.operators.signals import SignalSettings, TextContext, classify
+from whofor.session import cut_lineage
 
 PRIOR = {V.ASSISTANT: 0.02, V.HUMAN: 0.18, V.MEDIA: 0.80}
 DIST = "map<string,double>"
@@ -183,8 +184,9 @@ def judge_batch(df: DataFrame, text: str, who: Callable, what: Callable,
                     yield pdf.assign(dist=[dict(zip(names, map(float, row))) for row in p])
         return run
     spoken = distinct.where("judge_key <> ''")
-    first = spoken.mapInPandas(ask(who, list(V.ADDRESSEES)),
-                               f"judge_key string, text string, dist {DIST}")
+    # Kept, as both what follows and the result read it: no text is asked twice.
+    first = cut_lineage(spoken.mapInPandas(ask(who, list(V.ADDRESSEES)),
+                                           f"judge_key string, text string, dist {DIST}"))
     likely = first.where(F.col("dist")[V.ASSISTANT] >= intent_threshold)
     second = likely.select("judge_key", "text").mapInPandas(
         ask(what, catalogue.names), f"judge_key string, text string, dist {DIST}") \
@@ -195,6 +197,29 @@ def judge_batch(df: DataFrame, text: str, who: Callable, what: Callable,
     return both.unionByName(silent)
 
 
+ANSWER_TYPE = f"judge_key string, judge_addressed {DIST}, judge_intent {DIST}"
+
+
+def judge_with_store(df: DataFrame, text: str, who: Callable, what: Callable, store: str,
+                     catalogue: Catalogue = CORE, intent_threshold: float = 0.2) -> DataFrame:
+    """``judge_batch`` that asks only for texts without an answer in ``store``.
+
+    ``store`` is a Parquet folder of answers by normalised text (one for each pair of scorers and
+    catalogue). What is not in it is asked and appended, so repeats are free across runs too. Two
+    runs at once may both ask; any one of equal keys is taken. The result reads from the store.
+    """
+    spark = df.sparkSession
+
+    def known() -> DataFrame:
+        return spark.read.schema(ANSWER_TYPE).parquet(store)
+    spark.createDataFrame([], ANSWER_TYPE).write.mode("append").parquet(store)
+    wanted = df.select(F.col(text).alias("text"), judge_key(F.col(text)).alias("judge_key"))
+    fresh = wanted.join(known().select("judge_key"), "judge_key", "left_anti")
+    asked = judge_batch(fresh, "text", who, what, catalogue, intent_threshold)
+    asked.write.mode("append").parquet(store)
+    return known().join(wanted.select("judge_key").distinct(), "judge_key", "left_semi").dropDuplicates(["judge_key"])
+
+
 def option_probs(reply: Column, n: int) -> Column:
     """A lettered reply as probabilities: .9 on the letter, uniform when there is none."""
     up = F.upper(T.strip(F.coalesce(reply, F.lit(""))))
