@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from whofor.operators.ordering import carry_last, overlap, own_rows, run_window
+from whofor.operators.ordering import carry_all, carry_last, overlap, own_rows, run_window
 from whofor.session import cut_lineage
 
 KEYS = ["stream_id"]
@@ -169,8 +169,8 @@ def closings(df: DataFrame, cfg: SegmentSettings = SegmentSettings()) -> DataFra
     """
     k, q, most, lead = cfg.opening_frames, cfg.closing_frames, cfg.max_frames, cfg.preroll_frames
     d = islands(df, cfg).select(*KEYS, "pos", "island", (F.col("prob") >= cfg.threshold).alias("v"))
-    d = carry_last(d, KEYS, F.when(~F.col("v"), F.col("pos")), "__dumb", inclusive=True)
-    d = carry_last(d, KEYS, F.when(F.col("v"), F.col("pos")), "__loud", inclusive=True)
+    d = carry_all(d, KEYS, {"__dumb": F.when(~F.col("v"), F.col("pos")), "__loud": F.when(F.col("v"), F.col("pos"))},
+                  inclusive=True)
     voiced = F.col("pos") - F.coalesce("__dumb", F.lit(-1))
     d = d.withColumn("ends", (F.col("pos") - F.coalesce("__loud", F.lit(-1)) == q) if q else F.lit(True))
     d = carry_next(d, F.when(F.col("ends"), F.col("pos")), "quiet")

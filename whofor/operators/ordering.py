@@ -63,20 +63,26 @@ def run_window(keys: list[str], pos: str = "pos"):
 def carry_last(df: DataFrame, keys: list[str], value: Column, out: str, pos: str = "pos",
                inclusive: bool = False, size: int = CHUNK_ROWS) -> DataFrame:
     """The last non-null ``value`` before each row (or up to it), however far back."""
-    d = (df.withColumn("__v", value)
-         .withColumn("__run", F.floor(F.col(pos) / F.lit(size)).cast("long")))
-    ends = d.groupBy(*keys, "__run").agg(
-        F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(pos))).alias("__end"))
+    return carry_all(df, keys, {out: value}, pos, inclusive, size)
+
+
+def carry_all(df: DataFrame, keys: list[str], values: dict[str, Column], pos: str = "pos",
+              inclusive: bool = False, size: int = CHUNK_ROWS) -> DataFrame:
+    """``carry_last`` of several values in one pass."""
+    held = {f"__v{i}": v for i, v in enumerate(values.values())}
+    d = df.withColumns({**held, "__run": F.floor(F.col(pos) / F.lit(size)).cast("long")})
+    ends = d.groupBy(*keys, "__run").agg(*[
+        F.max_by(v, F.when(F.col(v).isNotNull(), F.col(pos))).alias(f"{v}_end") for v in held])
     earlier = (Window.partitionBy(*keys).orderBy("__run")
                .rowsBetween(Window.unboundedPreceding, -1))
-    carried = ends.select(*keys, "__run",
-                          F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
+    carried = ends.select(*keys, "__run", *[
+        F.last(f"{v}_end", ignorenulls=True).over(earlier).alias(f"{v}_carried") for v in held])
     inside = (Window.partitionBy(*keys, "__run").orderBy(pos)
               .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    return (d.join(carried, [*keys, "__run"])
-            .withColumn(out, F.coalesce(F.last("__v", ignorenulls=True).over(inside),
-                                        F.col("__carried")))
-            .drop("__v", "__run", "__carried"))
+    found = {out: F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"{v}_carried"))
+             for out, v in zip(values, held)}
+    return d.join(carried, [*keys, "__run"]).withColumns(found).drop(
+        "__run", *held, *[f"{v}_carried" for v in held])
 
 
 def first_ranked(df: DataFrame, keys: list[str], order: list, n: int,
