@@ -4,6 +4,7 @@ import json
 import wave
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,37 @@ def test_recipes_are_rebuilt_from_their_seed(spark):
     assert rows["y-a1"]["augment"]["babble"] == ["p"] and rows["y"]["augment"] is None
 
 
+def test_clips_leave_a_worker_in_pieces(spark):
+    """A batch of small rows becomes many clips or frames; they are not held together."""
+    class Runs:
+        """Stands for a table; keeps the function that its tasks would run."""
+        def __init__(self, d):
+            self.sparkSession, self.columns, self.schema = d.sparkSession, d.columns, d.schema
+
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):
+            self.run = run
+            return spark.createDataFrame([], schema)
+
+    d = spark.createDataFrame([("x", None)], "id string, pcm array<float>")
+    clip = np.sin(np.arange(4000) * 0.03).astype(np.float32)
+    noise = pd.DataFrame({"id": [f"n{i}" for i in range(400)], "augment": None, "pcm": None,
+                          "generate": [{"kind": "noise", "seed": i} for i in range(400)]})
+    tones = pd.DataFrame({"id": [f"t{i}" for i in range(1200)], "pcm": [clip] * 1200})
+    for job, batch, made in ((D.augment_clips, noise, "pcm"), (D.fbank_frames, tones, "frames")):
+        held = Runs(d)
+        job(held)
+        size, ids = [], []
+        for piece in held.run(iter([batch])):
+            size.append(sum(sum(x.nbytes for x in v) if isinstance(v, list) else v.nbytes for v in piece[made]))
+            ids += list(piece["id"])
+        assert ids == list(batch["id"]) and len(size) > 2 and max(size) < D.PIECE_BYTES + (1 << 20)
+    rows = D.fbank_frames(spark.createDataFrame([("t", clip.tolist())], d.schema)).orderBy("t").collect()
+    np.testing.assert_allclose([r["frame"] for r in rows], A.fbank_frames(clip))
+
+
 def test_specs(spark):
     specs = ["parakeet:org/m-110m@L8:stats_thirds", "logmel:64:stats", "gate:20"]
     d = spark.createDataFrame([(s,) for s in specs], "s string").withColumn("p", D.parse_spec(F.col("s")))

@@ -8,7 +8,7 @@ where a manifest is joined to its files.
 from __future__ import annotations
 
 import json
-from typing import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -23,8 +23,32 @@ from whofor.functions.scalars import is_true
 from whofor.operators.gate import GateInputs, context_from_manifest, gate_features
 from whofor.operators.ordering import number_rows
 from whofor.operators.policy import resolve_provenance
+from whofor.session import small_batches
 
 PROSODY_TYPE = ", ".join(f"{n} double" for n in V.PROSODY_NAMES)
+PIECE_BYTES = 8 << 20
+
+
+def _pieces(pdf: pd.DataFrame, keep: list[str], names: list[str], rows: Iterable[tuple]):
+    """Frames of about ``PIECE_BYTES``: what ``rows`` makes of a batch, beside its columns ``keep``.
+
+    A row of a few bytes can become a whole clip, so a bound on the batches that come in does not
+    bound what they become.
+    """
+    done, held, size = 0, [], 0
+
+    def piece():
+        return pd.concat([pdf[keep].iloc[done:done + len(held)].reset_index(drop=True),
+                          pd.DataFrame(held, columns=names)], axis=1)
+    for row in rows:
+        held.append(row)
+        size += sum(x.nbytes for v in row for x in (v if isinstance(v, list) else [v])
+                    if isinstance(x, np.ndarray))
+        if size >= PIECE_BYTES:
+            yield piece()
+            done, held, size = done + len(held), [], 0
+    if held:
+        yield piece()
 
 
 def _map_clips(df: DataFrame, work: Callable, extra: str) -> DataFrame:
@@ -33,23 +57,24 @@ def _map_clips(df: DataFrame, work: Callable, extra: str) -> DataFrame:
     names = [c.split()[0] for c in extra.split(", ")]
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
                        + [extra, "error string"])
+    small_batches(df.sparkSession)
+
+    def made(pdf):
+        errors = pdf["error"] if "error" in pdf.columns else [None] * len(pdf)
+        for pcm, err in zip(pdf["pcm"], errors):
+            out = dict.fromkeys(names)
+            if err is None and pcm is None:
+                err = "no audio"
+            if err is None:
+                try:
+                    out.update(work(np.asarray(pcm, dtype=np.float32)))
+                except Exception as exc:
+                    err = f"{type(exc).__name__}: {exc}"
+            yield (*out.values(), err)
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            errors = pdf["error"] if "error" in pdf.columns else [None] * len(pdf)
-            for pcm, err in zip(pdf["pcm"], errors):
-                out = dict.fromkeys(names)
-                if err is None and pcm is None:
-                    err = "no audio"
-                if err is None:
-                    try:
-                        out.update(work(np.asarray(pcm, dtype=np.float32)))
-                    except Exception as exc:
-                        err = f"{type(exc).__name__}: {exc}"
-                rows.append({**out, "error": err})
-            yield pd.concat([pdf[keep].reset_index(drop=True),
-                             pd.DataFrame(rows, columns=[*names, "error"])], axis=1)
+            yield from _pieces(pdf, keep, [*names, "error"], made(pdf))
     return df.mapInPandas(run, schema)
 
 
@@ -66,28 +91,29 @@ def scan_clips(manifest: DataFrame, files: DataFrame, rate: int = A.RATE) -> Dat
                        + ["pcm array<float>", "seconds double", "error string"])
     has = {"start": "start" in keep, "end": "end" in keep}
 
+    small_batches(d.sparkSession)
+
+    def made(pdf):
+        for i, content in enumerate(pdf["content"]):
+            pcm = err = None
+            try:
+                if content is None:
+                    raise FileNotFoundError("file not found")
+                cut = {k: pdf[k].iat[i] if has[k] else None for k in has}
+                cut = {k: None if v is None or v != v or v == "" else float(v)
+                       for k, v in cut.items()}
+                pcm, got = A.decode_wav(content, cut["start"], cut["end"])
+                if got != rate:
+                    raise ValueError(f"{got} Hz; clips must be {rate} Hz")
+                if not pcm.size:
+                    raise ValueError("empty clip")
+            except Exception as exc:
+                pcm, err = None, str(exc) or type(exc).__name__
+            yield pcm, None if pcm is None else pcm.size / rate, err
+
     def run(batches):
         for pdf in batches:
-            pcms, secs, errs = [], [], []
-            for i, content in enumerate(pdf["content"]):
-                pcm = err = None
-                try:
-                    if content is None:
-                        raise FileNotFoundError("file not found")
-                    cut = {k: pdf[k].iat[i] if has[k] else None for k in has}
-                    cut = {k: None if v is None or v != v or v == "" else float(v)
-                           for k, v in cut.items()}
-                    pcm, got = A.decode_wav(content, cut["start"], cut["end"])
-                    if got != rate:
-                        raise ValueError(f"{got} Hz; clips must be {rate} Hz")
-                    if not pcm.size:
-                        raise ValueError("empty clip")
-                except Exception as exc:
-                    pcm, err = None, str(exc) or type(exc).__name__
-                pcms.append(pcm)
-                secs.append(None if pcm is None else pcm.size / rate)
-                errs.append(err)
-            yield pdf[keep].assign(pcm=pcms, seconds=secs, error=errs)
+            yield from _pieces(pdf, keep, ["pcm", "seconds", "error"], made(pdf))
     return d.mapInPandas(run, schema)
 
 
@@ -151,7 +177,7 @@ def logmel_vector(pcm: np.ndarray, mode: str = "stats") -> np.ndarray:
 
 def _frame_rows(clips: DataFrame, kernel) -> DataFrame:
     def work(pcm):
-        return {"frames": [list(map(float, f)) for f in kernel(pcm)]}
+        return {"frames": list(np.asarray(kernel(pcm), dtype=np.float64))}
     d = _map_clips(clips.select("id", "pcm"), work, "frames array<array<double>>")
     return d.where("error is null").select("id", F.posexplode("frames").alias("t", "frame"))
 
@@ -302,20 +328,23 @@ def augment_clips(clips: DataFrame) -> DataFrame:
     The seed comes from the row, so the result does not depend on order or
     partitioning. ``babble_pcm`` (optional) is other people talking.
     """
+    small_batches(clips.sparkSession)
+
+    def made(pdf):
+        for i in range(len(pdf)):
+            gen, aug, pcm = (pdf[c].iat[i] for c in ("generate", "augment", "pcm"))
+            babble = pdf["babble_pcm"].iat[i] if "babble_pcm" in pdf.columns else None
+            info: dict = {}
+            if gen is not None:
+                pcm, info = A.noise_clip(int(gen["seed"]))
+            elif aug is not None and pcm is not None:
+                pcm, info = A.retake(np.asarray(pcm), int(aug["seed"]),
+                                      None if babble is None else np.asarray(babble))
+            yield pcm, json.dumps(info)
+
     def run(batches):
         for pdf in batches:
-            rows = []
-            for i in range(len(pdf)):
-                gen, aug, pcm = (pdf[c].iat[i] for c in ("generate", "augment", "pcm"))
-                babble = pdf["babble_pcm"].iat[i] if "babble_pcm" in pdf.columns else None
-                info: dict = {}
-                if gen is not None:
-                    pcm, info = A.noise_clip(int(gen["seed"]))
-                elif aug is not None and pcm is not None:
-                    pcm, info = A.retake(np.asarray(pcm), int(aug["seed"]),
-                                          None if babble is None else np.asarray(babble))
-                rows.append((pdf["id"].iat[i], pcm, json.dumps(info)))
-            yield pd.DataFrame(rows, columns=["id", "pcm", "info"])
+            yield from _pieces(pdf, ["id"], ["pcm", "info"], made(pdf))
     return clips.mapInPandas(run, "id string, pcm array<float>, info string")
 
 
