@@ -187,3 +187,67 @@ def test_corpus_is_deterministic_and_labelled(spark):
     bad = timers.where(F.col("d").cast("string") != F.col("g_slots")["duration"])
     assert timers.count() > 5 and bad.count() == 0
     assert a.where(F.col("text").contains("{")).count() == 0
+
+
+def _readings(pattern: str) -> list[str]:
+    """Some texts that match: each alternative written out, optional parts left out and put in."""
+    from re import _parser as P
+
+    def of(items):
+        texts = [""]
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "SUBPATTERN":
+                more = of(arg[3])
+            elif name == "BRANCH":
+                more = [t for branch in arg[1] for t in of(branch)]
+            elif name == "MAX_REPEAT":
+                more = ([""] if arg[0] == 0 else []) + of(arg[2])
+            elif name == "IN":
+                more = [next((chr(v) for o, v in arg if str(o) == "LITERAL"), " ")]
+            else:
+                more = [""]
+            texts = [t + m for t in texts for m in more]
+        return texts
+    return of(P.parse(pattern))
+
+
+def test_leads_lose_no_match(spark):
+    """A pattern that is tried only at its first letters finds what it finds anywhere."""
+    texts = [f"{before}{t}{after}" for name in V.LEADS for t in _readings(V.PATTERNS[name])
+             for before in ("", "so, ", "x", "to ", "é") for after in ("", "!", " now", "s")]
+    assert len(texts) > 3000
+    d = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    c = F.col("t")
+    row = d.agg(*[F.sum(F.when(T.found_named(c, n) != T.found(c, V.PATTERNS[n]), 1).otherwise(0)).alias(n) for n in V.LEADS],
+                *[F.count_if(T.found(c, V.PATTERNS[n])).alias(f"{n}_hits") for n in V.LEADS]).first().asDict()
+    assert all(row[n] == 0 and row[f"{n}_hits"] > 10 for n in V.LEADS), row
+
+
+def test_last_sentence_and_blanks_as_by_parts(spark):
+    texts = ["", " ", "one", "One. two three", "One.  two", "a. b c.  \n ", "a? b c", "x!  y z", "a.b c d", " . x y", "Mr. X said so! Did he\tsay?　",
+             "a.\nb c\n.\nd e ", "...  a b", "a. . .", "a b. c d. ", " a.  b  c  d ", "long. " * 40 + "the end", "a \t b\n\nc   d", "\u0085a.\u0085 b c. d e\u0085"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    c = F.col("t")
+    parts = F.filter(F.transform(F.split(c, r"(?<=[.!?])(?=\s)"), T.strip), lambda s: s != "")
+    whole = lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    tail = F.element_at(parts, -1)
+    by_parts = F.when((F.size(parts) >= 2) & (T.word_count(whole(tail)) >= 2), tail)
+    rows = d.select("t", by_parts.alias("want"), T.last_sentence(c).alias("got"), whole(c).alias("w"), T.collapse(c).alias("g")).collect()
+    assert [(r["t"], r["want"], r["w"]) for r in rows] == [(r["t"], r["got"], r["g"]) for r in rows]
+    assert sum(r["got"] is not None for r in rows) > 8
+
+
+def test_cpu_bound_scans_are_spread(spark, tmp_path):
+    """A table beyond a few megabytes a core in one row group was one task."""
+    from whofor.session import SPLIT_BYTES, spread_small
+    path = str(tmp_path / "wide.parquet")
+    spark.range(0, 800_000, numPartitions=1).select("id", *[F.xxhash64("id", F.lit(k)).alias(f"c{k}") for k in range(5)]) \
+        .write.option("compression", "none").parquet(path)
+    d = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(f.stat().st_size for f in (tmp_path / "wide.parquet").iterdir()) > 2 * cores * SPLIT_BYTES
+    sizes = [r["count"] for r in spread_small(d).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 800_000 and len(sizes) > 2 * cores and max(sizes) < 800_000 / cores

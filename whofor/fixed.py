@@ -182,7 +182,7 @@ PATTERNS = {
         r"i'?ll|i'?m|i\s+need|i\s+want|somebody|someone)\b",
     "vocative_lead":
         r"^\s*(?:(?:hey|hi|hello|ok|okay|yo|um|uh|so|excuse me|sorry)[\s,]+)*$",
-    "sentence_boundary": r"(?<=[.!?])(?=\s)",
+    "last_sentence": r"(?sU)^.*[.!?](?=[ \t\n\x0B\f\r])\s*(\S(?:.*\S)?)",
     "wants_repeat":
         r"\b(?:what|sorry)[,\s]*(?:did|was)\s+(?:you|that)\b"
         r"|\bsay\s+(?:that|it)\s+again\b"
@@ -201,6 +201,14 @@ PATTERNS = {
         r"|\bthe\s+long\s+version\b"
         r"|\bkeep\s+going\b",
 }
+
+#: Letters that a match of an unanchored pattern can begin with: other places need not be tried.
+LEADS = {
+    "tool_domain": "tacswfrhpmdk", "knowledge_seeking": "cpwhdm", "polite_request": "pcw",
+    "human_vocative": "dbmgyfhs", "social_register": "hdaywstcgn", "joint_planning": "lswdyao",
+    "reported_speech": "hstiar", "third_person_about_ai": "tmi", "physical_request": "phgcftso",
+    "anaphoric_reference": "it",
+}
 FOLLOWUP_FILLER = ("ok", "okay", "right", "so", "well", "hmm", "um", "uh", "please", "then",
                    "now", "yeah", "and", "a", "the", "bit", "little", "just", "can", "you",
                    "sorry")

@@ -21,7 +21,8 @@ def strip(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Whitespace runs become one space; no space at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    # A single blank is left as it is.
+    return F.trim(F.regexp_replace(c, r"(?U) \s+|[^\S ]\s*", " "))
 
 
 def clean(c: Column) -> Column:
@@ -37,6 +38,12 @@ def found(c: Column, pattern: str) -> Column:
     return c.rlike(pattern)
 
 
+def found_named(c: Column, name: str) -> Column:
+    """Is the pattern of that name found? One that may begin anywhere is tried only at its first letters."""
+    pattern = V.PATTERNS[name]
+    return found(c, f"(?=[{V.LEADS[name]}])(?:{pattern})" if name in V.LEADS else pattern)
+
+
 def _ends_with_any(w: Column, endings) -> Column:
     out = F.lit(False)
     for e in endings:
@@ -86,10 +93,8 @@ def is_vocative(body: Column, pattern: str) -> Column:
 
 def last_sentence(text: Column) -> Column:
     """The trailing clause when there are at least two sentences and it has two words."""
-    parts = F.filter(F.transform(F.split(text, V.PATTERNS["sentence_boundary"]), strip),
-                     lambda s: s != "")
-    tail = F.element_at(parts, -1)
-    return F.when((F.size(parts) >= 2) & (word_count(collapse(tail)) >= 2), tail)
+    tail = F.regexp_extract(text, V.PATTERNS["last_sentence"], 1)
+    return F.when(word_count(collapse(tail)) >= 2, tail)
 
 
 def is_only(text: Column, pattern: str, name: str = V.DEFAULT_NAME) -> Column:

@@ -87,7 +87,7 @@ def _weights(body: Column, ctx: TextContext, s: SignalSettings, reliable: Column
         anyone = r"\b(?:" + "|".join(re.escape(b.lower()) for b in s.bystanders) + r")\b"
         out["bystander_addressed"] = fire(T.found(body, anyone), w["bystander_addressed"])
     for name in PATTERN_SIGNALS:
-        out[name] = fire(T.found(body, V.PATTERNS[name]), w[name])
+        out[name] = fire(T.found_named(body, name), w[name])
     out["question_mark"] = fire(F.endswith(body, F.lit("?")), w["question_mark"])
 
     presence: Column = F.lit(1.0)
@@ -111,7 +111,7 @@ def _weights(body: Column, ctx: TextContext, s: SignalSettings, reliable: Column
         bonus = F.lit(s.followup_bonus) * (1.0 - share * share) * 2.0 * presence
         out["followup_window"] = F.when(near & (bonus > 0), bonus)
         out["anaphoric_reference"] = fire(
-            near & T.found(body, V.PATTERNS["anaphoric_reference"]), w["anaphoric_reference"])
+            near & T.found_named(body, "anaphoric_reference"), w["anaphoric_reference"])
         if ctx.last_ai_text is not None:
             asked = F.endswith(T.strip(F.coalesce(ctx.last_ai_text, F.lit(""))), F.lit("?"))
             answer = F.lit(s.answering_bonus) * presence

@@ -166,7 +166,7 @@ TEXT_CTES = scored_ctes("(select * replace (regexp_replace(regexp_replace(text,
 def scored_texts(spark, sf):
     ctx = S.TextContext(reliable=F.col("reliable"), own_voice=F.col("own_voice"),
                         llm_score=F.col("llm_score"), driving=F.lit(False))
-    d = fixture(spark, sf, "fx_texts").withColumn("own_voice", F.col("own_voice").cast("double")) \
+    d = fixture(spark, sf, "fx_texts", spread=True).withColumn("own_voice", F.col("own_voice").cast("double")) \
         .withColumn("llm_score", F.col("llm_score").cast("double"))
     return S.classify(d, F.col("text"), ctx, ENGINE)
 
