@@ -251,3 +251,18 @@ def test_cpu_bound_scans_are_spread(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "wide.parquet").iterdir()) > 2 * cores * SPLIT_BYTES
     sizes = [r["count"] for r in spread_small(d).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 800_000 and len(sizes) > 2 * cores and max(sizes) < 800_000 / cores
+
+
+def test_a_reply_is_read_once(spark):
+    """Shares are looked up or bound once; the reply's patterns are not run again for every option."""
+    d = spark.createDataFrame([(r,) for r in ("A", "answer: b)", " c ", "42?", None, "z", "Bob", "d")], "r string")
+    p = K.option_probs(F.col("r"), 4)
+    got = {r["r"]: r["p"] for r in d.select("r", p.alias("p")).collect()}
+    first = [0.9, 0.1 / 3, 0.1 / 3, 0.1 / 3]
+    for reply, at in (("A", 0), ("answer: b)", 1), (" c ", 2), ("Bob", 1), ("d", 3)):
+        assert got[reply] == pytest.approx(first[-at:] + first[:-at] if at else first, abs=1e-12)
+    assert got["42?"] == got[None] == got["z"] == [0.25] * 4
+    assert str(p).count("regexp_extract") <= 6 and "lambdafunction" not in str(p)
+    q = K.normalised_probs(F.split("r", "x").cast("array<double>"))
+    e = spark.createDataFrame([("1x3",), ("2",)], "r string").select(q.alias("q")).collect()
+    assert [r["q"] for r in e] == [[0.25, 0.75], [1.0]] and str(q).count("split") == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -226,16 +228,24 @@ def option_probs(reply: Column, n: int) -> Column:
     alone = F.regexp_extract(up, r"\b([A-Z])\b", 1)
     letter = F.when(alone != "", alone).otherwise(F.regexp_extract(up, r"^([A-Z])", 1))
     at = F.when(letter != "", F.ascii(letter) - 65)
-    good = is_true(at < n)
+    # What each letter answers, worked out beforehand; letters beyond the options answer nothing.
     spread = 0.1 / max(n - 1, 1)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(
-        good, F.when(i == at, 0.9).otherwise(spread)).otherwise(1.0 / n))
-    return normalised_probs(raw)
+    answers = [_shares([0.9 if i == k else spread for i in range(n)]) for k in range(min(n, 26))]
+    return F.coalesce(F.get(F.array(*[F.array(*map(F.lit, a)) for a in answers]), at),
+                      F.array(*map(F.lit, _shares([1.0 / n] * n))))
+
+
+def _shares(p: list[float]) -> list[float]:
+    s = reduce(add, p, 0.0)
+    return [x / s for x in p]
 
 
 def normalised_probs(p: Column) -> Column:
-    s = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(p, lambda x: x / s)
+    def shares(v):
+        return F.get(F.transform(F.array(F.aggregate(v, F.lit(0.0), lambda a, x: a + x)),
+                                 lambda s: F.transform(v, lambda x: x / s)), 0)
+    # One-element arrays hold the values and their sum: neither is worked out again for each element.
+    return F.get(F.transform(F.array(p), shares), 0)
 
 
 def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
