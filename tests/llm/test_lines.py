@@ -264,3 +264,16 @@ def test_simhash_distance_follows_edits():
     assert got["again"].tolist() == [False, False, False, True]
     bits = sum(bin(int(got[s][0] ^ got[s][2]) & (2 ** 64 - 1)).count("1") for s in ("s1", "s2", "s3"))
     assert 0 < bits < 30 and got["h1"][0] == got["h1"][3] != got["h1"][2]
+
+
+def test_words_of_all_texts_are_counted(spark):
+    """Also beyond 20,000 texts: no draw, so the weights follow from the whole input."""
+    d = spark.range(0, 24_000, numPartitions=3).select(
+        F.when(F.col("id") % 7 != 0, F.concat_ws(" ", F.lit("alpha"), F.concat(F.lit("w"), F.col("id") % 50))).alias("text"),
+        F.xxhash64("id").alias("k"))
+    texts = [r["text"] for r in d.collect()]
+    want = np.zeros(ld.SLOTS)
+    words, _ = ld.hashed_words([(t or "").encode() for t in texts], ld.WORDS_ONLY)
+    np.add.at(want, (words & np.uint64(ld.SLOTS - 1)).astype(np.int64), 1)
+    np.testing.assert_array_equal(ld.word_counts(d), want)
+    assert want.sum() == 2 * sum(t is not None for t in texts)

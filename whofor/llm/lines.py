@@ -8,7 +8,7 @@ words of the longer one) at ``share`` or more. Lines meet in pigeonhole blocks o
 ``blocks`` blocks is the majority vote of a few words that the block's own draw takes from the line,
 as many as make it rare; an edit that misses the draw leaves the block whole. A pair at 0.8 shares
 one of ten blocks with a probability of about 0.97 or more (measured in the tests), a closer one
-almost surely. Counts of words in a sample of texts give the draws their weights.
+almost surely. Counts of the words of all texts give the draws their weights.
 Two other ways to meet remain as options. ``blocks=0, radius=None`` meets every similar pair: an
 edit takes at most two pairs of neighbouring words from a line, so two similar lines share one
 among the first few of each in any common order, and rare pairs come first (about 0.4 keys a word).
@@ -47,7 +47,7 @@ UNSPACED = re.compile(rb"[\xE3-\xE9][\x80-\xBF]{2}|\xE0[\xB8-\xBB][\x80-\xBF]|"
                       rb"\xE1[\x80-\x82\x9E\x9F][\x80-\xBF]|\xF0[\xA0-\xBF][\x80-\xBF]{2}")
 UNSPACED_POINTS = r"[\x{3000}-\x{9FFF}\x{0E00}-\x{0EFF}\x{1000}-\x{10BF}\x{1780}-\x{17FF}\x{20000}-\x{3FFFF}]"
 BITS, PARITY, BLOCKS = 160, 192, 10
-SAMPLE, SLOTS, BLOCK, SMALL, RUN = 20_000, 1 << 17, 1024, 24, 1 << 20
+SLOTS, BLOCK, SMALL, RUN = 1 << 17, 1024, 24, 1 << 20
 LINE = pa.struct([("pos", pa.int32()), ("again", pa.bool_()), ("n", pa.int32()), ("h1", pa.int64()),
                   ("h2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64()),
                   ("keys", pa.list_(pa.int64()))])
@@ -313,12 +313,8 @@ def verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(close("wa", "wb")).select("a", "b")
 
 
-def word_counts(source: DataFrame) -> tuple[np.ndarray, int]:
-    """Words of a hash draw of about ``SAMPLE`` texts, counted in slots of their hashes.
-
-    Also which fraction of the texts was drawn: one in so many.
-    """
-    step = max(1, -(-source.count() // SAMPLE))
+def word_counts(source: DataFrame) -> np.ndarray:
+    """Words of all texts, counted in ``SLOTS`` slots of their hashes."""
 
     def count(batches):
         total = np.zeros(SLOTS, dtype=np.int64)
@@ -328,11 +324,11 @@ def word_counts(source: DataFrame) -> tuple[np.ndarray, int]:
                 total += np.bincount((words & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
-    found = source.where(F.pmod("k", F.lit(step)) == 0).select("text") \
-        .mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = source.select("text").mapInArrow(lambda batches: given_back(count(batches)), "slot bigint, n bigint") \
+        .groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS)
     out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return out, step
+    return out
 
 
 def bucket_rows(distinct: DataFrame) -> DataFrame:
@@ -492,8 +488,8 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     def lists(batches):
         for batch in batches:
-            counts, one_in = (None, 1) if common is None else common.value
-            bits = 0.0 if counts is None else float(np.log2(counts.sum() * one_in + 2))
+            counts = None if common is None else common.value
+            bits = 0.0 if counts is None else float(np.log2(counts.sum() + 2))
             yield as_lists(((len(run), line_hashes(run, min_words, counts, share, blocks, bits))
                             for run in slices(batch.cast(pa.binary()), RUN)), len(batch))
 
