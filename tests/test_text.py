@@ -266,3 +266,21 @@ def test_a_reply_is_read_once(spark):
     q = K.normalised_probs(F.split("r", "x").cast("array<double>"))
     e = spark.createDataFrame([("1x3",), ("2",)], "r string").select(q.alias("q")).collect()
     assert [r["q"] for r in e] == [[0.25, 0.75], [1.0]] and str(q).count("split") == 1
+
+
+def test_repeated_texts_are_read_once(spark):
+    texts = ["Nova, set a timer for 7 minutes", "we should eat soon. what is the capital of Peru?", None, "",
+             "sam, can you pass me that", "It said no. Nova, stop", "yeah", "is Nova any good, do you think"]
+    d = spark.createDataFrame([(i, texts[i % len(texts)], i % 3 > 0, (i % 5) / 4.0) for i in range(80)],
+                              "i int, t string, reliable boolean, own double")
+    ctx = S.TextContext(reliable=F.col("reliable"), own_voice=F.col("own"), driving=F.col("i") % 2 == 0,
+                        since_ai=F.lit(5.0), last_ai_text=F.lit("The capital of Peru?"))
+    once = S.SignalSettings(bystanders=("sam",))
+    each = S.SignalSettings(bystanders=("sam",), read_once=False)
+    found = [P.parse_intent(S.classify(d, F.col("t"), ctx, s), F.col("t"), read_once=s.read_once).orderBy("i").collect()
+             for s in (once, each)]
+    assert len(found[0]) == 80
+    assert [r.asDict(True) for r in found[0]] == [{k: r.asDict(True)[k] for k in found[0][0].asDict()} for r in found[1]]
+    plan = S.classify(d, F.col("t"), ctx, once).select("band")._jdf.queryExecution().optimizedPlan().toString()
+    # No pattern is tried above the join that brings each text's facts.
+    assert "RLIKE" in plan and "RLIKE" not in plan.split("Join LeftOuter")[0]

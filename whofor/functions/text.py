@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from whofor import fixed as V
 from whofor.functions.scalars import literal_map, total
+from whofor.session import spread_small
 
 
 def strip(c: Column) -> Column:
@@ -34,6 +35,18 @@ def word_count(c: Column) -> Column:
     return F.when(c == "", 0).otherwise(F.size(F.split(c, " ")))
 
 
+def once_a_text(df: DataFrame, text: Column, read) -> DataFrame:
+    """``df`` with the columns that ``read`` adds to a table of its distinct texts (``__said``).
+
+    Only the texts are read, however often each was said; rows get the outcome by a join on the
+    text, null taken as empty. Needs a table, not a stream, that holds the same texts whenever it is read.
+    """
+    d = df.withColumn("__said", F.coalesce(text, F.lit("")))
+    texts = read(spread_small(d.select("__said").distinct()))
+    # Every text is found; an outer join so that never the rows are what is broadcast.
+    return d.drop(*[c for c in texts.columns if c != "__said"]).join(texts, "__said", "left").drop("__said")
+
+
 def found(c: Column, pattern: str) -> Column:
     return c.rlike(pattern)
 

@@ -49,18 +49,23 @@ def first_rule(norm: Column, catalogue: Catalogue) -> Column:
 
 def parse_intent(df: DataFrame, text: Column, catalogue: Catalogue = CORE,
                  name: str = V.DEFAULT_NAME, aliases: tuple = (),
-                 model_parse: Column | None = None) -> DataFrame:
+                 model_parse: Column | None = None, read_once: bool = True) -> DataFrame:
     """Adds ``normalised, parse_intent, parse_p, parse_slots, parse_method``.
 
     ``model_parse`` is an already validated struct<intent, slots> (see
-    ``validate_model_parses``) used only where the words settle nothing.
+    ``validate_model_parses``) used only where the words settle nothing. With
+    ``read_once`` each distinct text of a table is parsed once and joined back.
     """
-    d = df.withColumn("normalised", T.normalise(F.coalesce(text, F.lit("")), name, aliases))
+    def read(d, said):
+        d = d.withColumn("normalised", T.normalise(F.coalesce(said, F.lit("")), name, aliases))
+        norm = F.col("normalised")
+        d = d.withColumn("__ex", match_examples(norm, catalogue))
+        d = d.withColumn("__rule", F.when(F.col("__ex").isNull() & (norm != ""),
+                                          first_rule(norm, catalogue)))
+        return d.withColumn("__secs", F.when(F.col("__rule") == "timer.set", T.parse_duration(norm)))
+    d = T.once_a_text(df, text, lambda t: read(t, F.col("__said"))) if read_once and not df.isStreaming \
+        else read(df, text)
     norm = F.col("normalised")
-    d = d.withColumn("__ex", match_examples(norm, catalogue))
-    d = d.withColumn("__rule", F.when(F.col("__ex").isNull() & (norm != ""),
-                                      first_rule(norm, catalogue)))
-    d = d.withColumn("__secs", F.when(F.col("__rule") == "timer.set", T.parse_duration(norm)))
     rule, ex, secs = F.col("__rule"), F.col("__ex"), F.col("__secs")
     untimed = (rule == "timer.set") & secs.isNull()
     asked = F.lit(None).cast(f"struct<intent:string,slots:{NO_SLOTS}>") \

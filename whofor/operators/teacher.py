@@ -72,7 +72,8 @@ def label_transcripts(df: DataFrame, judged: DataFrame | None = None, weight: fl
     silent = F.col("transcript") == ""
     ctx = TextContext(reliable=F.col("reliable"), tail_reliable=F.col("tail_reliable"))
     d = classify(d, F.col("transcript"), ctx, settings)
-    d = parse_intent(d, F.col("transcript"), catalogue, settings.name, settings.aliases)
+    d = parse_intent(d, F.col("transcript"), catalogue, settings.name, settings.aliases,
+                     read_once=settings.read_once)
     d = d.withColumn("addressed", addressed_distribution(
         F.col("transcript"), F.when(~silent, F.col("confidence")),
         is_true(F.col("ai_intent")), F.col("reliable")))
@@ -142,9 +143,10 @@ def label(clips: DataFrame, transcribe: Callable[[Iterator[pd.DataFrame]], Itera
 
     ``transcribe`` yields ``id, transcript, reliable, tail_reliable, stt_ms``.
     """
-    heard = clips.mapInPandas(
+    # Kept, as rows and their distinct texts both read it: no clip is transcribed twice.
+    heard = cut_lineage(clips.mapInPandas(
         transcribe, "id string, transcript string, reliable boolean, tail_reliable boolean, "
-                    "stt_ms double")
+                    "stt_ms double"))
     rest = clips.drop("pcm", "content", "transcript", "reliable", "tail_reliable", "stt_ms")
     return label_transcripts(rest.join(heard, "id"), **kw)
 

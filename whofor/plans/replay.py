@@ -89,7 +89,8 @@ def replay(segments: DataFrame, settings: ReplaySettings = ReplaySettings(),
         "acted": F.lit(False), "own_voice": F.lit(None).cast("double")})
     scored = score_conversations(said.select(*columns).unionByName(lines.select(*columns)),
                                  signals).where("method <> 'acted'")
-    p = parse_intent(scored, F.col("text"), catalogue, signals.name, signals.aliases)
+    p = parse_intent(scored, F.col("text"), catalogue, signals.name, signals.aliases,
+                     read_once=signals.read_once)
     p = p.withColumn("addressed", addressed_distribution(
         F.col("text"), F.col("confidence"), is_true(F.col("ai_intent")), F.lit(True)))
     p = slow_path_decision(p, catalogue)

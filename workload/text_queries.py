@@ -1,5 +1,7 @@
 """Addressee signals, conversation context, parsing and labelling queries."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from whofor import fixed as V
@@ -168,7 +170,8 @@ def scored_texts(spark, sf):
                         llm_score=F.col("llm_score"), driving=F.lit(False))
     d = fixture(spark, sf, "fx_texts", spread=True).withColumn("own_voice", F.col("own_voice").cast("double")) \
         .withColumn("llm_score", F.col("llm_score").cast("double"))
-    return S.classify(d, F.col("text"), ctx, ENGINE)
+    # Whole documents seldom repeat.
+    return S.classify(d, F.col("text"), ctx, replace(ENGINE, read_once=False))
 
 
 @query("text_decisions", f"""
