@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from dataclasses import replace
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -66,7 +67,8 @@ def prepare(df: DataFrame, settings: SignalSettings = SignalSettings()) -> DataF
         reliable=F.col("reliable"), own_voice=F.col("own_voice"), driving=F.col("driving"),
         since_ai=since_ai(F.col("at_s"), F.col("last_ai_at")),
         last_ai_text=F.col("last_ai_text"))
-    d = weigh(d, F.col("text"), ctx, settings)
+    # Read where they stand: with the join, scoring took longer (README).
+    d = weigh(d, F.col("text"), ctx, replace(settings, read_once=False))
 
     def candidates(body):
         la = F.length(body)
