@@ -266,6 +266,48 @@ def test_simhash_distance_follows_edits():
     assert 0 < bits < 30 and got["h1"][0] == got["h1"][3] != got["h1"][2]
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_links_stay_fewer_than_lines_in_a_large_group(spark, block, monkeypatch):
+    """Fifteen groups of forty near copies: what is handed on follows the lines, not their pairs."""
+    monkeypatch.setattr(ld, "BLOCK", block)
+    made, by_unit = [], ld.by_unit
+
+    def counted(rows, work, schema, *rest):
+        out = by_unit(rows, work, schema, *rest)
+        made.append(out)
+        return out
+    monkeypatch.setattr(ld, "by_unit", counted)
+    r = random.Random(11)
+    rows = []
+    for g in range(15):
+        line = [f"word{g}x{i}" for i in range(30)]
+        for k in range(40):
+            other = list(line)
+            for at in r.sample(range(30), 5):
+                other[at] = f"new{r.randrange(10 ** 9)}"
+            rows.append((40 * g + k, " ".join(other)))
+    want, pairs = all_similar(rows)
+    got = ld.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), blocks=ld.BLOCKS)
+    assert sorted((x["doc_id"], x["text"], x["n_removed"]) for x in got.collect()) == want
+    met, links = made[0].count(), made[1].select(F.sort_array(F.array("a", "b")).alias("p"))
+    assert links.count() < met <= 10 * len(rows) * -(-600 // block)
+    if block == 1024:
+        # Units here are buckets: each returns a forest of its own lines.
+        assert links.count() <= 10 * (len(rows) - 15) and met <= 10 * len(rows)
+
+
+def test_similar_equals_edit_distance():
+    r = random.Random(3)
+    for _ in range(600):
+        a = [r.choice("abcdefgh") for _ in range(r.randint(1, 14))]
+        b = list(a) if r.random() < .8 else [r.choice("abcdefgh") for _ in range(r.randint(1, 14))]
+        for _ in range(r.randint(0, 3)):
+            b[r.randrange(len(b))] = r.choice(["a", "i", "b c"])
+        b = " ".join(b).split()
+        assert ld.edit_distance(a, b) == distance(a, b)
+        assert ld.similar(" ".join(a), " ".join(b), .8) == (distance(a, b) <= max(len(a), len(b)) * .2 + 1e-9)
+
+
 def test_words_of_all_texts_are_counted(spark):
     """Also beyond 20,000 texts: no draw, so the weights follow from the whole input."""
     d = spark.range(0, 24_000, numPartitions=3).select(

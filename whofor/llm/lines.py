@@ -13,10 +13,9 @@ Two other ways to meet remain as options. ``blocks=0, radius=None`` meets every
 edit takes at most two pairs of neighbouring words from a line, so two similar lines share one
 among the first few of each in any common order, and rare pairs come first (about 0.4 keys a word).
 A ``radius`` cuts the SimHash of the whole line into five blocks of 32 bits and compares lines that
-share one and differ in at most so many bits. Every distinct line is first compared with the smallest
-line of each of its buckets; lines of different components that are left in a bucket are compared
-with each other, in units of a bounded size. What the hashes leave is verified by the edit
-similarity. Of every connected group the first occurrence stays (by id, then place in the text),
+share one and differ in at most so many bits. Lines of a bucket are compared by their hashes, folded
+ones first; what these leave is verified by the edit similarity in units of a bounded size, which
+return the links that connect their lines and no pairs. Of every connected group the first occurrence stays (by id, then place in the text),
 all others go.
 
 A null text stays null, an empty one empty; texts keep their remaining lines in order. Rows of one
@@ -30,6 +29,7 @@ import ctypes
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ UNSPACED = re.compile(rb"[\xE3-\xE9][\x80-\xBF]{2}|\xE0[\xB8-\xBB][\x80-\xBF]|"
                       rb"\xE1[\x80-\x82\x9E\x9F][\x80-\xBF]|\xF0[\xA0-\xBF][\x80-\xBF]{2}")
 UNSPACED_POINTS = r"[\x{3000}-\x{9FFF}\x{0E00}-\x{0EFF}\x{1000}-\x{10BF}\x{1780}-\x{17FF}\x{20000}-\x{3FFFF}]"
 BITS, PARITY, BLOCKS = 160, 192, 10
-SLOTS, BLOCK, SMALL, RUN = 1 << 17, 1024, 24, 1 << 20
+SLOTS, BLOCK, RUN = 1 << 17, 1024, 1 << 20
 LINE = pa.struct([("pos", pa.int32()), ("again", pa.bool_()), ("n", pa.int32()), ("h1", pa.int64()),
                   ("h2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64()),
                   ("keys", pa.list_(pa.int64()))])
@@ -68,6 +68,8 @@ def given_back(results: Iterator) -> Iterator:
 
 def spaced(text: bytes) -> bytes:
     """Blanks around each character of a script without spaces."""
+    if text.isascii() or np.frombuffer(text, dtype=np.uint8).max() < 0xE0:
+        return text
     return UNSPACED.sub(rb" \g<0> ", text)
 
 
@@ -199,7 +201,7 @@ def line_hashes(texts, min_words: int, counts: np.ndarray | None = None, share:
     hold the parities of the words, and ``keys`` (``n_keys`` per line) the rarest word pairs, or the
     ``blocks`` drawn blocks of a SimHash.
     """
-    buf = np.frombuffer(spaced(b"\n".join(t or b"" for t in texts).translate(FOLD)) + b"\n", dtype=np.uint8)
+    buf = np.frombuffer(b"\n".join(spaced(t or b"") for t in texts).translate(FOLD) + b"\n", dtype=np.uint8)
     ends = np.flatnonzero(buf == 0x0A)
     blank = np.where(buf == 0x0A, np.uint8(0x20), buf)
     starts, stops = word_spans(blank)
@@ -262,10 +264,10 @@ def as_lists(runs, rows: int) -> pa.Array:
 
 def edit_distance(a: list, b: list) -> int:
     """Levenshtein distance of two sequences, bit-parallel over the first one."""
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
     skip = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     a, b = a[skip:], b[skip:]
+    skip = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[:len(a) - skip], b[:len(b) - skip]
     if not a or not b:
         return len(a) + len(b)
     where: dict = {}
@@ -291,6 +293,8 @@ def similar(a: str, b: str, share: float) -> bool:
     allowed = longer - share * longer + 1e-9
     if abs(len(x) - len(y)) > allowed:
         return False
+    if len(x) == len(y) and sum(map(ne, x, y)) <= allowed:
+        return True
     # Words that only one line has are edits in any case.
     more = Counter(x)
     more.subtract(y)
@@ -300,19 +304,6 @@ def similar(a: str, b: str, share: float) -> bool:
     return edit_distance(x, y) <= allowed
 
 
-def verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
-
-    @F.arrow_udf(returnType="boolean")
-    def close(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            yield pa.array([similar(a, b, share) for a, b in zip(left.to_pylist(), right.to_pylist())],
-                           type=pa.bool_())
-    small_batches(pairs.sparkSession)
-    left = texts.select(F.col("h1").alias("a"), F.col("words").alias("wa"))
-    right = texts.select(F.col("h1").alias("b"), F.col("words").alias("wb"))
-    return pairs.join(left, "a").join(right, "b").where(close("wa", "wb")).select("a", "b")
-
-
 def word_counts(source: DataFrame) -> np.ndarray:
     """Words of all texts, counted in ``SLOTS`` slots of their hashes."""
 
@@ -332,141 +323,203 @@ def word_counts(source: DataFrame) -> np.ndarray:
 
 
 def bucket_rows(distinct: DataFrame) -> DataFrame:
-    """One row per line and block: the block's 32 bits and its number make the bucket."""
+    """One row per line and block of its SimHash: the block's 32 bits and its number make the bucket."""
     low = F.lit((1 << 32) - 1)
     blocks = [F.col("s1").bitwiseAND(low), F.shiftrightunsigned("s1", 32),
               F.col("s2").bitwiseAND(low), F.shiftrightunsigned("s2", 32), F.col("s3")]
     keys = F.array(*[F.xxhash64(F.lit(k), b) for k, b in enumerate(blocks)])
-    return distinct.select("h1", F.explode(keys).alias("bucket"))
-
-
-def within(pairs: DataFrame, distinct: DataFrame, radius: int | None, share: float) -> DataFrame:
-    """Pairs ``a, b`` whose SimHashes differ in at most ``radius`` bits, or whose parities in two an edit."""
-    left = distinct.select(F.col("h1").alias("a"), F.struct("s1", "s2", "s3", "n").alias("x"))
-    right = distinct.select(F.col("h1").alias("b"), F.struct("s1", "s2", "s3", "n").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    longer = F.greatest("x.n", "y.n")
-    edits = F.floor(longer - share * longer + 1e-9)
-    near = distance("x", "y") <= radius if radius is not None else (
-        F.abs(F.col("x.n") - F.col("y.n")) <= edits) & (
-        distance("x", "y") + F.abs(F.col("x.n") - F.col("y.n")) <= 2 * edits)
-    return both.where(near).select("a", "b")
-
-
-def distance(x: str, y: str) -> Column:
-    return sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in (1, 2, 3)), F.lit(0))
-
-
-def unit_pairs(u: dict, radius: int | None, share: float):
-    """Pairs of a unit, of other components, that the hashes leave."""
-    one = bool((u["side"] == u["side"][0]).all())
-    sims = np.stack([u[f"s{k}"] for k in (1, 2, 3)], axis=1).view(np.uint64)
-    for i in range(len(sims) - 1):
-        rest = slice(i + 1, None)
-        ok = (u["component"][rest] != u["component"][i]) & (one | (u["side"][rest] != u["side"][i]))
-        apart = np.bitwise_count(sims[rest] ^ sims[i]).sum(axis=1, dtype=np.int64)
-        if radius is None:
-            edits = edits_allowed(np.maximum(u["n"][rest], u["n"][i]), share)
-            longer = np.abs(u["n"][rest] - u["n"][i])
-            ok &= (longer <= edits) & (apart + longer <= 2 * edits)
-        else:
-            ok &= apart <= radius
-        for j in (np.flatnonzero(ok) + i + 1).tolist():
-            yield u["h1"][i], u["h1"][j]
-
-
-def small_units(part: dict, starts: np.ndarray, sizes: np.ndarray, radius: int | None, share: float):
-    """What ``unit_pairs`` finds, for many units of one small size at once."""
-    sims = np.stack([part[f"s{k}"] for k in (1, 2, 3)], axis=1).view(np.uint64)
-    for m in np.unique(sizes[sizes > 1]).tolist():
-        i, j = np.triu_indices(m, 1)
-        begin = starts[sizes == m]
-        for lo in range(0, len(begin), max(1, (1 << 18) // len(i))):
-            at = begin[lo:lo + max(1, (1 << 18) // len(i)), None]
-            x, y = (at + i).ravel(), (at + j).ravel()
-            one = (part["side"][at + np.arange(m)] == part["side"][at]).all(axis=1).repeat(len(i))
-            ok = (part["component"][x] != part["component"][y]) & (one | (part["side"][x] != part["side"][y]))
-            x, y = x[ok], y[ok]
-            apart = np.bitwise_count(sims[x] ^ sims[y]).sum(axis=1, dtype=np.int64)
-            if radius is None:
-                edits = edits_allowed(np.maximum(part["n"][x], part["n"][y]), share)
-                longer = np.abs(part["n"][x] - part["n"][y])
-                near = (longer <= edits) & (apart + longer <= 2 * edits)
-            else:
-                near = apart <= radius
-            yield np.stack((part["h1"][x[near]], part["h1"][y[near]]), axis=1)
-
-
-def cross_pairs(placed: DataFrame, sims: DataFrame, radius: int | None, share: float) -> DataFrame:
-    """Pairs ``a, b`` of different components in a bucket; each pair of its blocks is one unit."""
-    spark = placed.sparkSession
-    nb = F.ceil(F.col("c") / BLOCK).cast("int")
-    units = placed.withColumn("mine", F.pmod(F.xxhash64("h1"), nb)) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1))) \
-        .select("h1", "component", F.xxhash64("bucket", F.least("mine", "other"),
-                                              F.greatest("mine", "other")).alias("unit"),
-                (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return distinct.select("h1", "sketch", F.explode(keys).alias("bucket"))
+
+
+def block_rows(distinct: DataFrame) -> DataFrame:
+    """One row per line and drawn block; the low byte of a bucket is the number of its block."""
+    return distinct.select("h1", "sketch", F.posexplode("keys").alias("block", "bits")).select(
+        "h1", "sketch", F.shiftleft(F.col("bits").cast("long"), 8).bitwiseOR(F.col("block").cast("long")).alias("bucket"))
+
+
+def sketch() -> Column:
+    """The hashes of a line folded to 56 bits, and its number of words (255: as many or more).
+
+    Folded hashes differ in no more bits than whole ones.
+    """
+    folded = F.col("s1").bitwiseXOR(F.col("s2")).bitwiseXOR(F.col("s3"))
+    return F.shiftleft(folded.bitwiseXOR(F.shiftrightunsigned(folded, 56)), 8) \
+        .bitwiseOR(F.least("n", F.lit(255)).cast("long"))
+
+
+def near(apart: np.ndarray, longer: np.ndarray, edits: np.ndarray, radius: int | None) -> np.ndarray:
+    """Whether hashes so many bits ``apart`` allow lines to be similar, one ``longer`` by so many words."""
+    return apart <= radius if radius is not None else (longer <= edits) & (apart + longer <= 2 * edits)
+
+
+def sketches_near(part: dict, x, y, radius: int | None) -> np.ndarray:
+    a, b = part["sketch"][x], part["sketch"][y]
+    apart = np.bitwise_count((a ^ b).view(np.uint64) >> np.uint64(8)).astype(np.int64)
+    n, m = part["n"][x], part["n"][y]
+    ok = near(apart, np.abs(n - m), np.maximum(part["edits"][x], part["edits"][y]), radius)
+    return ok if radius is not None else ok | (n == 255) | (m == 255)
+
+
+def hashes_near(part: dict, x, y, radius: int | None) -> np.ndarray:
+    """Lines of different sides (or all of a unit with one side) that no earlier block has brought together."""
+    apart = sum(np.bitwise_count(part[s][x] ^ part[s][y]).astype(np.int64) for s in ("s1", "s2", "s3"))
+    ok = near(apart, np.abs(part["n"][x] - part["n"][y]), np.maximum(part["edits"][x], part["edits"][y]), radius)
+    at = np.flatnonzero(ok)
+    x, y = x[at], y[at]
+    new = part["one"][x] | (part["side"][x] != part["side"][y])
+    for k in range(part["keys"].shape[1] - 1):
+        new &= (part["keys"][x, k] != part["keys"][y, k]) | (part["block"][x] <= k)
+    ok[at] = new
+    return ok
+
+
+def pairs_of_runs(run: np.ndarray, n: np.ndarray, share: float | None, test):
+    """Places ``x, y`` of the pairs within each run that ``test`` leaves, a bounded number at once.
+
+    With a ``share``, of lines with ``n`` words only those that the shorter one's length allows.
+    """
+    run = np.cumsum(np.concatenate(([0], run[1:] != run[:-1]))) << 32
+    order = np.argsort(run + n, kind="stable")
+    key, most = (run + n)[order], (1 << 32) - 1 if share is None else np.floor(n[order] / share + 1e-6).astype(np.int64)
+    count = np.searchsorted(key, run[order] + most, side="right") - np.arange(1, len(key) + 1)
+    ends, lo = np.cumsum(count), 0
+    while lo < len(key):
+        before = ends[lo] - count[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, before + (1 << 18), side="right")))
+        x = np.repeat(np.arange(lo, hi), count[lo:hi])
+        y = x + 1 + np.arange(len(x)) - np.repeat(ends[lo:hi] - count[lo:hi] - before, count[lo:hi])
+        x, y = order[x], order[y]
+        ok = test(x, y)
+        yield x[ok], y[ok]
+        lo = hi
+
+
+def paired(run: np.ndarray, n: np.ndarray, share: float | None, test) -> np.ndarray:
+    """Which rows stand in a pair that ``test`` leaves."""
+    out = np.zeros(len(run), dtype=bool)
+    for x, y in pairs_of_runs(run, n, share, test) if len(run) else ():
+        out[x] = out[y] = True
+    return out
+
+
+def bucket_members(rows: DataFrame, radius: int | None, share: float) -> DataFrame:
+    """``bucket, h1, c`` of lines whose sketches allow a similar line in the bucket.
+
+    Buckets of more than ``BLOCK`` lines (``c``) pass whole.
+    """
+    most, window = BLOCK, None if radius is not None else share
 
     def work(batches):
         held = None
         for batch in batches:
-            part = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            part = {c: batch.column(c).to_numpy() for c in ("bucket", "h1", "sketch", "c")}
+            few = part["c"] <= most
+            yield out(part, ~few)
+            part = {c: x[few] for c, x in part.items()}
             if held is not None:
                 part = {c: np.concatenate((held[c], part[c])) for c in part}
-            ends = [0, *(np.flatnonzero(np.diff(part["unit"])) + 1).tolist()]
-            yield from results(part, ends)
-            held = {c: x[ends[-1]:] for c, x in part.items()}
-        if held is not None and len(held["h1"]):
-            yield from results(held, [0, len(held["h1"])])
-
-    def results(part, ends):
-        ends = np.asarray(ends, dtype=np.int64)
-        size = np.diff(ends)
-        found = list(small_units(part, ends[:-1][size <= SMALL], size[size <= SMALL], radius, share))
-        pairs = [p for lo, hi in zip(ends[:-1][size > SMALL].tolist(), ends[1:][size > SMALL].tolist())
-                 for p in unit_pairs({c: x[lo:hi] for c, x in part.items()}, radius, share)]
-        found += [np.array(pairs, dtype=np.int64).reshape(-1, 2)]
-        ids = np.sort(np.concatenate(found), axis=1)
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1])], ["a", "b"])
-    return units.join(sims, "h1").repartition(n, "unit").sortWithinPartitions("unit") \
-        .mapInArrow(lambda batches: given_back(work(batches)), "a bigint, b bigint")
-
-
-def bucket_members(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several lines, with the smallest line and a count."""
-    lead = rows.groupBy("bucket").agg(F.min("h1").alias("lead"), F.max("h1").alias("last"),
-                                      F.count(F.lit(1)).alias("c")).where("lead < last").drop("last")
-    return rows.join(lead, "bucket").distinct()
-
-
-def block_members(distinct: DataFrame, blocks: int) -> DataFrame:
-    """As ``bucket_members``, for the blocks of distinct lines, in one exchange."""
-    rows = distinct.select("h1", F.posexplode(F.array(*[f"b{k}" for k in range(blocks)])).alias("block", "bits")) \
-        .select("h1", F.shiftleft(F.col("bits").cast("long"), 8).bitwiseOR(F.col("block").cast("long")).alias("bucket"))
-    bucket = Window.partitionBy("bucket")
-    return rows.select("bucket", "h1", F.min("h1").over(bucket).alias("lead"),
-                       F.count(F.lit(1)).over(bucket).alias("c")).where("c > 1")
-
-
-def line_links(distinct: DataFrame, members: DataFrame, text_of, radius: int | None, share: float) -> DataFrame:
-    """Verified links ``a, b`` between distinct lines, which meet in the buckets of ``members``."""
-    members = stash(members)
-
-    def links_of(pairs):
-        pairs = stash(within(pairs.distinct(), distinct, radius, share))
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-        return stash(verified(pairs, stash(text_of(ends)), share))
-
-    links = links_of(members.where("h1 <> lead").select(F.col("lead").alias("a"), F.col("h1").alias("b")))
-    placed = members.where("c > 2").join(
-        components(links).select(F.col("node").alias("h1"), "component"), "h1", "left") \
-        .withColumn("component", F.coalesce("component", "h1"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")) \
-        .where("c0 < c1").select("bucket")
-    rest = placed.join(split, "bucket", "left_semi").where("h1 <> lead")
-    return links.union(links_of(cross_pairs(rest, distinct, radius, share)))
+            # Rows of a bucket stand together; the last one may go on.
+            last = int(np.argmax(part["bucket"] == part["bucket"][-1])) if len(part["bucket"]) else 0
+            yield found({c: x[:last] for c, x in part.items()})
+            held = {c: x[last:] for c, x in part.items()}
+        if held is not None:
+            yield found(held)
+
+    def out(part, use):
+        return pa.RecordBatch.from_arrays([pa.array(part[c][use]) for c in ("bucket", "h1", "c")], ["bucket", "h1", "c"])
+
+    def found(part):
+        n = part["sketch"] & 255
+        part |= {"n": n, "edits": edits_allowed(n, share)}
+        return out(part, paired(part["bucket"], n, window, lambda x, y: sketches_near(part, x, y, radius)))
+    met = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("c > 1")
+    return met.mapInArrow(lambda batches: given_back(work(batches)), "bucket bigint, h1 bigint, c bigint")
+
+
+def in_units(members: DataFrame) -> DataFrame:
+    """Members with their unit: a bucket, or of a large one each pair of its blocks."""
+    nb = F.when(F.col("c") > BLOCK, F.ceil(F.col("c") / BLOCK)).otherwise(1).cast("int")
+    return members.withColumn("mine", F.pmod(F.xxhash64("h1"), nb)) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1))) \
+        .select("h1", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"),
+                (F.col("mine") > F.col("other")).cast("int").alias("side"),
+                F.col("bucket").bitwiseAND(255).cast("int").alias("block"))
+
+
+def by_unit(rows: DataFrame, work, schema, share: float) -> DataFrame:
+    """``work`` on batches that hold whole units, with the arrays that ``hashes_near`` reads."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def whole(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = batch.column("unit").to_numpy()
+            last = int(np.searchsorted(unit, unit[-1]))
+            if last or held and held[-1].column("unit")[-1].as_py() != unit[-1]:
+                yield pa.concat_batches([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield pa.concat_batches(held)
+
+    def arrays(batch):
+        part = {c: batch.column(c).to_numpy(zero_copy_only=False)
+                for c in ("h1", "unit", "side", "block", "n", "s1", "s2", "s3")}
+        part |= {s: part[s].view(np.uint64) for s in ("s1", "s2", "s3")}
+        starts = np.flatnonzero(np.concatenate(([True], part["unit"][1:] != part["unit"][:-1])))
+        low, high = np.minimum.reduceat(part["side"], starts), np.maximum.reduceat(part["side"], starts)
+        n = part["n"].astype(np.int64)
+        return part | {"n": n, "edits": edits_allowed(n, share), "keys": batch.column("keys").flatten().to_numpy()
+                       .reshape(len(n), -1), "one": np.repeat(low == high, np.diff(np.append(starts, len(n))))}
+
+    def results(batches):
+        for batch in whole(batches):
+            if batch.num_rows:
+                yield work(batch, arrays(batch))
+    return rows.repartition(n, "unit").sortWithinPartitions("unit") \
+        .mapInArrow(lambda batches: given_back(results(batches)), schema)
+
+
+def spanning(pairs, words: list, share: float) -> list:
+    """Verified links among ``pairs`` (arrays ``x, y``), without those between lines connected already."""
+    up: dict = {}
+
+    def root(i):
+        while up.get(i, i) != i:
+            up[i] = up.get(up[i], up[i])
+            i = up[i]
+        return i
+    out = []
+    for x, y in ((i, j) for xs, ys in pairs for i, j in zip(xs.tolist(), ys.tolist())):
+        a, b = root(x), root(y)
+        if a != b and similar(words[x], words[y], share):
+            up[b] = a
+            out.append((x, y))
+    return out
+
+
+def line_links(hashes: DataFrame, rows: DataFrame, text_of, radius: int | None, share: float) -> DataFrame:
+    """Verified links ``a, b`` between distinct lines that meet in the buckets of ``rows``.
+
+    Lines without a near one in their bucket go first, by sketches and then by whole hashes. Units
+    return what connects their lines, fewer links than lines, however many pairs are similar.
+    """
+    members = in_units(stash(bucket_members(rows, radius, share)))
+    joined, window = members.join(hashes, "h1"), None if radius is not None else share
+
+    def kept(batch, part):
+        return batch.filter(pa.array(paired(part["unit"], part["n"], window, lambda x, y: hashes_near(part, x, y, radius))))
+
+    def linked(batch, part):
+        pairs = pairs_of_runs(part["unit"], part["n"], window, lambda x, y: hashes_near(part, x, y, radius))
+        out = spanning(pairs, batch.column("words").to_pylist(), share)
+        ids = part["h1"][np.array(out, dtype=np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1])], ["a", "b"])
+    met = stash(by_unit(joined, kept, joined.schema, share))
+    texts = stash(text_of(met.select("h1").distinct()))
+    return by_unit(met.join(texts, "h1"), linked, "a bigint, b bigint", share)
 
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5,
@@ -524,10 +577,12 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
         return source.join(light(places, broadcast_rows), "k") \
             .select(F.explode(fetched(F.col("text").cast("binary"), F.col("places"))).alias("w")) \
             .select("w.*").dropDuplicates(["h1"])
-    sims = distinct.select("h1", "s1", "s2", "s3", "n")
-    members = block_members(distinct, blocks) if blocks else bucket_members(
-        once.select("h1", F.explode("keys").alias("bucket")) if radius is None else bucket_rows(sims))
-    links = line_links(sims, members, text_of, radius, share)
+    keys = F.array(*[F.col(f"b{k}") for k in range(blocks)]) if blocks else F.array(F.lit(0))
+    hashes = distinct.select("h1", "n", "s1", "s2", "s3", keys.alias("keys"))
+    sketched = hashes.withColumn("sketch", sketch())
+    rows = block_rows(sketched) if blocks else bucket_rows(sketched) if radius is not None else \
+        once.withColumn("sketch", sketch()).select("h1", "sketch", F.explode("keys").alias("bucket")).distinct()
+    links = line_links(hashes, rows, text_of, radius, share)
     group = stash(components(stash(links)).select(F.col("node").alias("h1"), "component"))
     first = once.join(group, "h1").groupBy("component").agg(
         F.min(F.struct(F.col("id").isNull(), "id", "pos")).alias("stay"))
