@@ -311,6 +311,25 @@ def test_hidden_layer_scores(spark):
     assert [r["addressed"] is None for r in got] == [False, True, True, True]
 
 
+def test_sweep_joins_vectors_once_an_encoder(spark, monkeypatch):
+    """Every configuration trains on the same joined rows, and takes its own filter of them."""
+    calls, seen, join = [], [], ST.H.join_vectors
+    monkeypatch.setattr(ST.H, "join_vectors", lambda *a: calls.append(1) or join(*a))
+
+    def trained(d, spec, cfg, catalogue):
+        seen.append((spec, cfg.targets, cfg.seed, sorted((r["id"], r["vector"][0]) for r in d.collect())))
+        return ST.StudentResult(None, spark.range(1), None, None, {})
+    monkeypatch.setattr(ST, "train_joined", trained)
+    monkeypatch.setattr(ST, "sweep_row", lambda report, *a: report)
+    monkeypatch.setattr(ST.P, "row_trainable", lambda internal: F.col("id") != "c")
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    vectors = spark.createDataFrame([("a", [1.0], 0.0, 0, "s"), ("a", [2.0], 0.0, 1, "s"), ("b", [3.0], 0.0, 0, "s"),
+                                     ("c", [4.0], 0.0, 0, "s")], "id string, vector array<double>, encode_ms double, seq int, spec string")
+    out = ST.sweep(rows, {"s": vectors}, ("gold", "mix"), (0, 1))
+    assert out.count() == 4 and len(calls) == 1
+    assert seen == [("s", m, k, [("a", 2.0), ("b", 3.0)]) for m in ("gold", "mix") for k in (0, 1)]
+
+
 def test_voice_sweep_takes_the_middle_of_a_tie(spark):
     d = spark.createDataFrame([(0.8 - i / 50, True) for i in range(8)] + [(-0.05 + i / 200, False) for i in range(8)],
                               "similarity double, is_owner boolean")

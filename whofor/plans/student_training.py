@@ -117,10 +117,22 @@ def full_report(j: DataFrame) -> DataFrame:
 def train_student(rows: DataFrame, vectors: DataFrame, cfg: StudentTraining = StudentTraining(),
                   catalogue: Catalogue = CORE) -> StudentResult:
     """Join -> split by voice -> targets -> fit -> calibrate -> thresholds -> holdout report."""
-    d = rows.where(P.row_trainable(cfg.allow_internal))
+    return train_joined(joined_rows(rows, vectors, cfg), encoder_name(vectors), cfg, catalogue)
+
+
+def joined_rows(rows: DataFrame, vectors: DataFrame, cfg: StudentTraining) -> DataFrame:
+    return H.join_vectors(rows.where(P.row_trainable(cfg.allow_internal)), vectors)
+
+
+def encoder_name(vectors: DataFrame) -> str:
+    return vectors.select("spec").first()["spec"] if "spec" in vectors.columns else ""
+
+
+def train_joined(d: DataFrame, spec: str, cfg: StudentTraining = StudentTraining(),
+                 catalogue: Catalogue = CORE) -> StudentResult:
+    """``train_student`` on rows that have their vectors."""
     if cfg.targets in ("teacher", "mix"):
         d = d.where(F.size("t_addressed") > 0)
-    d = H.join_vectors(d, vectors)
     d = S.group_split(d, cfg.group_by, cfg.fractions, cfg.seed, "id")
     d = H.build_targets(Q.truth(d, cfg.truth), catalogue, cfg.targets, cfg.gold_weight)
     d = cut_lineage(d)
@@ -129,18 +141,15 @@ def train_student(rows: DataFrame, vectors: DataFrame, cfg: StudentTraining = St
         if not sizes.get(k):
             raise ValueError(f"the {name} split is empty; add data or change the grouping")
     train, select, holdout = (d.where(F.col("split") == k) for k in range(3))
-    spec = vectors.select("spec").first()["spec"] if "spec" in vectors.columns else ""
     model = H.fit_heads(train, catalogue, encoder=spec, l2=cfg.l2, max_iter=cfg.max_iter)
     model = H.calibrated(select, model)
-    thresholds, info = choose_thresholds(cut_lineage(H.score_heads(select, model)), cfg,
-                                         catalogue)
+    thresholds, info = choose_thresholds(H.score_heads(select, model), cfg, catalogue)
     model.thresholds = thresholds
     routed = route(H.score_heads(holdout, model), thresholds, catalogue)
-    j = cut_lineage(Q.judged(routed, cfg.truth))
     card = {"targets": cfg.targets, "splits": sizes, "selection": info, "encoder": spec,
             "thresholds": thresholds}
     model.card = card
-    return StudentResult(model, full_report(j), holdout.select("id"),
+    return StudentResult(model, full_report(Q.judged(routed, cfg.truth)), holdout.select("id"),
                          P.provenance_summary(d.where("split < 2"), "clips"), card)
 
 
@@ -148,14 +157,15 @@ def sweep(rows: DataFrame, encoders: dict[str, DataFrame], targets, seeds,
           cfg: StudentTraining = StudentTraining(), catalogue: Catalogue = CORE) -> DataFrame:
     """One row of metrics per (encoder, targets, seed).
 
-    The loop is over configurations, a handful; each run is a set of
-    distributed jobs over the whole table.
+    The loop is over configurations, a handful; each run is a set of distributed jobs over the
+    whole table. Vectors are joined once an encoder.
     """
     out = None
     for spec, vectors in encoders.items():
+        joined, name = cut_lineage(joined_rows(rows, vectors, cfg)), encoder_name(vectors)
         for mode in targets:
             for seed in seeds:
-                r = train_student(rows, vectors, replace(cfg, targets=mode, seed=seed), catalogue)
+                r = train_joined(joined, name, replace(cfg, targets=mode, seed=seed), catalogue)
                 row = cut_lineage(sweep_row(r.report, spec, mode, seed))
                 out = row if out is None else out.unionByName(row)
     return out
