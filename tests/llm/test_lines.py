@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,3 +320,51 @@ def test_words_of_all_texts_are_counted(spark):
     np.add.at(want, (words & np.uint64(ld.SLOTS - 1)).astype(np.int64), 1)
     np.testing.assert_array_equal(ld.word_counts(d), want)
     assert want.sum() == 2 * sum(t is not None for t in texts)
+
+
+@pytest.mark.parametrize("codes", [1 << 18, 10])
+def test_links_that_differ_in_one_place_need_no_edit_distance(codes, monkeypatch):
+    """Most pairs are settled for a whole batch at once; what is settled so is never beyond the share."""
+    calls, plain = [], ld.edit_distance
+    monkeypatch.setattr(ld, "CODES", codes)
+    monkeypatch.setattr(ld, "edit_distance", lambda a, b: calls.append(1) or plain(a, b))
+    r = random.Random(17)
+    lines, cut = [], []
+    for _ in range(80):
+        n, at = r.randint(10, 60), r.randint(1, 8)
+        line = [f"w{i}" for i in r.choices(range(400), k=n)]
+        cut.append((line, line[:at] + line[at + n // 10:]))
+        other = [r.choice([w, w, w, w, "x", f"{w} y", ""]) for w in line]
+        lines += [line, line[:at] + line[at + n // 10:], " ".join(other).split() or ["x"]]
+    x = np.arange(0, len(lines), 3)
+    words = pa.array([" ".join(w) for w in lines])
+    assert ld.spanning([(x, x + 1)], words, .8) == [(i, i + 1) for i in x.tolist()] and not calls
+    near = [(i, i + 2) for i in x.tolist() if distance(lines[i], lines[i + 2]) <= max(len(lines[i]), len(lines[i + 2])) * .2 + 1e-9]
+    assert ld.spanning([(x + 2, x)], words, .8) and sorted((b, a) for a, b in ld.spanning([(x + 2, x)], words, .8)) == near
+
+
+def test_drawn_blocks_equal_a_plain_loop(monkeypatch):
+    """Lines of very different lengths, with words that stand often in one, side by side in small arrays."""
+    monkeypatch.setattr(ld, "CELLS", 200)
+    r = np.random.default_rng(23)
+    sizes = np.array([5, 6, 7, 300, 5, 40, 41, 64, 9, 5, 20, 1])
+    words = r.integers(0, 2 ** 63, 30, dtype=np.uint64)[r.integers(0, 30, sizes.sum())]
+    words[11:311][::2] = words[11]
+    rarity = (words % np.uint64(13)).astype(float) + 1
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    want = np.zeros((len(sizes), 5), dtype=np.uint32)
+    for i, (lo, n) in enumerate(zip(first, sizes)):
+        for b in range(5):
+            draw = ld.mix(words[lo:lo + n] ^ np.uint64((b // 2 * 2 + 1) * 0x9E3779B97F4A7C15 & 2 ** 64 - 1))
+            bit = (draw >> np.uint64(40 - b % 2 * 32)) & np.uint64(0xFFFFFF)
+            order = np.log((bit.astype(np.float32) + np.float32(.5)) / np.float32(1 << 24)) * -(1 / rarity[lo:lo + n]).astype(np.float32)
+            taken, have = [], 0.0
+            for k in np.argsort(order, kind="stable"):
+                if taken and (have >= 20 or len(taken) >= min(max((n + 1) // 3, 2), 7)):
+                    break
+                if not taken or order[k] != order[taken[-1]]:
+                    taken.append(k)
+                    have += rarity[lo + k]
+            vote = sum(1 << j for j in range(64) if 2 * sum(int(draw[k]) >> j & 1 for k in taken) > len(taken))
+            want[i, b] = ld.mix(np.array([vote ^ (b + 1)], dtype=np.uint64))[0] >> np.uint64(32)
+    np.testing.assert_array_equal(ld.drawn_blocks(words, first, rarity, 20.0, 5), want)

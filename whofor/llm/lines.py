@@ -33,8 +33,10 @@ from operator import ne
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from whofor.llm.graph import components, light, stash
 from whofor.llm.tokens import (NOT_ALNUM, folding, hash_words, hashed_words, mix, read_table, slices,
@@ -47,12 +49,12 @@ UNSPACED = re.compile(rb"[\xE3-\xE9][\x80-\xBF]{2}|\xE0[\xB8-\xBB][\x80-\xBF]|"
                       rb"\xE1[\x80-\x82\x9E\x9F][\x80-\xBF]|\xF0[\xA0-\xBF][\x80-\xBF]{2}")
 UNSPACED_POINTS = r"[\x{3000}-\x{9FFF}\x{0E00}-\x{0EFF}\x{1000}-\x{10BF}\x{1780}-\x{17FF}\x{20000}-\x{3FFFF}]"
 BITS, PARITY, BLOCKS = 160, 192, 10
-SLOTS, BLOCK, RUN = 1 << 17, 1024, 1 << 20
-LINE = pa.struct([("pos", pa.int32()), ("again", pa.bool_()), ("n", pa.int32()), ("h1", pa.int64()),
-                  ("h2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64()),
-                  ("keys", pa.list_(pa.int64()))])
-LINE_DDL = ("array<struct<pos: int, again: boolean, n: int, h1: bigint, h2: bigint, "
-            "s1: bigint, s2: bigint, s3: bigint, keys: array<bigint>>>")
+SLOTS, BLOCK, RUN = 1 << 17, 1024, 1 << 21
+#: Cells of an array of drawn words, how much longer its longest line is, and words compared at once.
+CELLS, WIDER, CODES = 1 << 16, 1.5, 1 << 18
+#: Columns of a line beside its id, the hash of its document and its keys.
+LINE = [("pos", pa.int32(), "int"), ("again", pa.bool_(), "boolean"), ("n", pa.int32(), "int"),
+        *((c, pa.int64(), "bigint") for c in ("h1", "h2", "s1", "s2", "s3"))]
 WORDS_DDL = "array<struct<h1: bigint, words: string>>"
 WORDS = pa.list_(pa.struct([("h1", pa.int64()), ("words", pa.string())]))
 
@@ -104,10 +106,11 @@ def long_words(size: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def parities(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     """192 bits per run of word hashes, each the parity of its words: an edit turns two at most."""
-    bit = mix(words) % np.uint64(PARITY)
-    marks = np.zeros((len(words), 3), dtype=np.uint64)
-    marks[np.arange(len(words)), (bit >> np.uint64(6)).astype(np.int64)] = np.uint64(1) << (bit & np.uint64(63))
-    return np.bitwise_xor.reduceat(marks, first, axis=0)
+    bit = mix(words)
+    bit -= bit // np.uint64(PARITY) * np.uint64(PARITY)
+    part, mark = bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63))
+    return np.stack([np.bitwise_xor.reduceat(np.where(part == np.uint64(k), mark, np.uint64(0)), first)
+                     for k in range(PARITY // 64)], axis=1)
 
 
 def edits_allowed(n, share: float):
@@ -153,43 +156,67 @@ def drawn_blocks(words: np.ndarray, first: np.ndarray, rarity: np.ndarray, bits:
     third of the line (two words at least, seven at most). Lines that share those words share the
     block, whatever else differs.
     """
-    out = np.empty((len(first), blocks), dtype=np.uint64)
-    weight = (1.0 / rarity).astype(np.float32)
     sizes = np.diff(np.append(first, len(words)))
+    out = np.empty((len(first), blocks), dtype=np.uint64)
+    by_size = np.argsort(sizes, kind="stable")
+    long, lo = sizes[by_size], 0
+    while lo < len(first):
+        # Lines of about one length are rows of one array, as many as the caches hold.
+        hi = int(np.searchsorted(long, long[lo] * WIDER + 2, side="right"))
+        hi = lo + max(1, int(np.searchsorted(long[lo:hi] * np.arange(1, hi - lo + 1), CELLS, side="right")))
+        line = by_size[lo:hi]
+        index = np.minimum(first[line][:, None] + np.arange(long[hi - 1]), len(words) - 1)
+        out[line] = drawn_side_by_side(words[index], rarity[index], sizes[line], bits, blocks)
+        lo = hi
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def drawn_side_by_side(words: np.ndarray, rarity: np.ndarray, sizes: np.ndarray, bits: float, blocks: int) -> np.ndarray:
+    """The blocks of lines that are rows of ``words``, of ``sizes`` words each."""
+    weight, n = -(1.0 / rarity).astype(np.float32), len(sizes)
+    least = int(sizes.min())
+    beyond = np.arange(least, words.shape[1]) >= sizes[:, None]
+    most = np.clip((sizes + 1) // 3, 2, 7)
+    out = np.empty((n, blocks), dtype=np.uint64)
     for b in range(blocks):
         if b % 2 == 0:
             draw = mix(words ^ np.uint64((b + 1) * 0x9E3779B97F4A7C15 & 2 ** 64 - 1))
-        bit = draw >> np.uint64(40) if b % 2 == 0 else draw >> np.uint64(8) & np.uint64(0xFFFFFF)
-        order = np.log((bit.astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)) * -weight
-        live = np.arange(len(first))
-        at, size, h, r = first, sizes, draw, rarity
-        planes = [np.zeros(len(first), dtype=np.uint64) for _ in range(3)]
-        most = np.clip((sizes + 1) // 3, 2, 7)
-        votes, have = np.zeros(len(first), dtype=np.int64), np.zeros(len(first))
-        while True:
-            low = np.minimum.reduceat(order, at)
-            mine = order == np.repeat(low, size)
-            # A word that stands twice is taken once.
-            where = np.flatnonzero(mine)
-            line = np.searchsorted(at, where, side="right") - 1
-            one = where[np.flatnonzero(np.diff(line, prepend=-1))]
-            carry = planes[0][live] & h[one]
-            planes[0][live] ^= h[one]
-            more = planes[1][live] & carry
-            planes[1][live] ^= carry
-            planes[2][live] ^= more
-            votes[live] += 1
-            have[live] += r[one]
-            order = np.where(mine, np.float32(np.inf), order)
-            left = (have[live] < bits) & (votes[live] < most[live])
-            left &= np.minimum.reduceat(order, at) < np.inf
-            if not left.any():
-                break
-            keep = np.repeat(left, size)
-            order, h, r, live, size = order[keep], h[keep], r[keep], live[left], size[left]
-            at = np.concatenate(([0], np.cumsum(size)[:-1]))
+        bit = (draw >> np.uint64(40)).astype(np.uint32) if b % 2 == 0 else draw.astype(np.uint32) >> np.uint32(8)
+        order = bit.view(np.int32).astype(np.float32)
+        order += np.float32(0.5)
+        order *= np.float32(2.0 ** -24)
+        np.log(order, out=order)
+        order *= weight
+        np.copyto(order[:, least:], np.float32(np.inf), where=beyond)
+        planes = [np.zeros(n, dtype=np.uint64) for _ in range(3)]
+        votes, have, last = np.zeros(n, dtype=np.int64), np.zeros(n), np.full(n, -1, dtype=np.float32)
+        live = row = np.arange(n)
+        while len(live):
+            at = order.argmin(axis=1) if len(row) == len(order) else order[row].argmin(axis=1)
+            low = order[row, at]
+            order[row, at] = np.inf
+            # A word that stands twice is taken once: of equal ones the first, then all go.
+            fresh = low > last[live]
+            if not fresh.all():
+                twice = row[~fresh]
+                order[twice] = np.where(order[twice] == low[~fresh][:, None], np.float32(np.inf), order[twice])
+            new = np.flatnonzero(fresh & (low < np.inf))
+            one, mine = (live[new], at[new]), live[new]
+            last[mine] = low[new]
+            h = draw[one]
+            carry = planes[0][mine] & h
+            planes[0][mine] ^= h
+            more = planes[1][mine] & carry
+            planes[1][mine] ^= carry
+            planes[2][mine] ^= more
+            votes[mine] += 1
+            have[mine] += rarity[one]
+            left = np.flatnonzero((have[live] < bits) & (votes[live] < most[live]) & (low < np.inf))
+            live, row = live[left], row[left]
+            if 2 * len(row) < len(order):
+                order, row = order[row], np.arange(len(row))
         out[:, b] = mix(majority(planes, votes) ^ np.uint64(b + 1))
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return out
 
 
 def line_hashes(texts, min_words: int, counts: np.ndarray | None = None, share: float = 0.8,
@@ -245,21 +272,32 @@ def line_hashes(texts, min_words: int, counts: np.ndarray | None = None, share:
                   **{f"s{k + 1}": sims[:, k].copy() for k in range(3)}}
 
 
-def as_lists(runs, rows: int) -> pa.Array:
-    """One list of lines per text, from the arrays of runs of texts."""
-    parts, sizes = [], np.zeros(rows, dtype=np.int64)
-    done = 0
-    for count, lines in runs:
-        sizes[done:done + count] = np.bincount(lines["text"], minlength=count)
-        parts.append(lines)
-        done += count
-    def of(name, kind):
-        return pa.array(np.concatenate([p[name] for p in parts]) if parts else [], type=kind)
-    fields = [of(f.name, f.type) for f in LINE if f.name != "keys"]
-    ends = np.cumsum(np.concatenate([[0], *(p["n_keys"] for p in parts)])).astype(np.int32)
-    fields.append(pa.ListArray.from_arrays(pa.array(ends), of("keys", pa.int64())))
-    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(LINE)))
+def line_rows(batches: Iterator, hashes, blocks: int, paired_words: bool) -> Iterator:
+    """Batches of ``id, k`` and the lines of ``text``: a row for each, with its drawn blocks two to a number."""
+    for batch in batches:
+        done = 0
+        for run in slices(batch.column("text").cast(pa.binary()), RUN):
+            lines = hashes(run)
+            if len(lines["text"]):
+                mine = pa.array(lines["text"] + done)
+                out = {c: batch.column(c).take(mine) for c in ("id", "k")}
+                out |= {c: pa.array(lines[c], type=kind) for c, kind, _ in LINE}
+                if blocks:
+                    two = np.zeros((len(mine), blocks + blocks % 2), dtype=np.int32)
+                    two[:, :blocks] = lines["keys"].reshape(-1, blocks)
+                    out |= {f"b{k}": pa.array(two[:, 2 * k].astype(np.int64) << 32 | two[:, 2 * k + 1].view(np.uint32).astype(np.int64))
+                            for k in range(two.shape[1] // 2)}
+                elif paired_words:
+                    ends = np.concatenate(([0], np.cumsum(lines["n_keys"]))).astype(np.int32)
+                    out["keys"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(lines["keys"], type=pa.int64()))
+                yield pa.RecordBatch.from_pydict(out)
+            done += len(run)
+
+
+def block_bits(block: int) -> Column:
+    """The 32 bits of a drawn block, of which two stand in a number."""
+    two = F.col(f"b{block // 2}")
+    return F.shiftright(F.shiftleft(two, 32) if block % 2 else two, 32).cast("int")
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -288,14 +326,19 @@ def edit_distance(a: list, b: list) -> int:
 
 
 def similar(a: str, b: str, share: float) -> bool:
-    x, y = a.split(" "), b.split(" ")
+    return similar_words(a.split(" "), b.split(" "), share)
+
+
+def similar_words(x: list, y: list, share: float) -> bool:
     longer = max(len(x), len(y))
     allowed = longer - share * longer + 1e-9
     if abs(len(x) - len(y)) > allowed:
         return False
     if len(x) == len(y) and sum(map(ne, x, y)) <= allowed:
         return True
-    # Words that only one line has are edits in any case.
+    # Words that only one line has are edits in any case; first those that the other has not at all.
+    if max(len(x) - sum(map(set(y).__contains__, x)), len(y) - sum(map(set(x).__contains__, y))) > allowed:
+        return False
     more = Counter(x)
     more.subtract(y)
     spare = [n for n in more.values() if n]
@@ -482,8 +525,38 @@ def by_unit(rows: DataFrame, work, schema, share: float) -> DataFrame:
         .mapInArrow(lambda batches: given_back(results(batches)), schema)
 
 
-def spanning(pairs, words: list, share: float) -> list:
+def one_gap_apart(codes: np.ndarray, starts: np.ndarray, x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
+    """Which pairs of lines are similar when the words that the longer one has more stand in one place.
+
+    The beginnings are compared word by word up to any place, the rest from the ends: an upper bound
+    of the edits, the smallest over all places. Lines are ``codes[starts[i]:starts[i + 1]]``.
+    """
+    n = np.diff(starts)
+    swap = n[x] < n[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    size, gap = n[y], n[x] - n[y]
+    allowed, ends = edits_allowed(n[x], share), np.cumsum(n[y])
+    ok, lo = np.zeros(len(x), dtype=bool), 0
+    while lo < len(x):
+        before = ends[lo] - size[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, before + CODES, side="right")))
+        at = ends[lo:hi] - size[lo:hi] - before
+        step = np.arange(ends[hi - 1] - before)
+        b = codes[step + np.repeat(starts[y[lo:hi]] - at, size[lo:hi])]
+        a = step + np.repeat(starts[x[lo:hi]] - at, size[lo:hi])
+        behind = (codes[a + np.repeat(gap[lo:hi], size[lo:hi])] != b).astype(np.int64)
+        turn = np.cumsum((codes[a] != b) - behind)
+        base = np.concatenate(([0], turn))[at]
+        best = np.minimum(np.minimum.reduceat(turn, at) - base, 0)
+        ok[lo:hi] = gap[lo:hi] + np.add.reduceat(behind, at) + best <= allowed[lo:hi]
+        lo = hi
+    return ok
+
+
+def spanning(pairs, words: pa.Array, share: float) -> list:
     """Verified links among ``pairs`` (arrays ``x, y``), without those between lines connected already."""
+    lists = pc.split_pattern(words, " ")
+    starts, codes = lists.offsets.to_numpy().astype(np.int64), lists.flatten().dictionary_encode().indices.to_numpy()
     up: dict = {}
 
     def root(i):
@@ -491,12 +564,19 @@ def spanning(pairs, words: list, share: float) -> list:
             up[i] = up.get(up[i], up[i])
             i = up[i]
         return i
+
+    def line(i):
+        return codes[starts[i]:starts[i + 1]].tolist()
     out = []
-    for x, y in ((i, j) for xs, ys in pairs for i, j in zip(xs.tolist(), ys.tolist())):
-        a, b = root(x), root(y)
-        if a != b and similar(words[x], words[y], share):
-            up[b] = a
-            out.append((x, y))
+    for x, y in pairs:
+        sure = one_gap_apart(codes, starts, x, y, share)
+        # Pairs that are surely similar connect first, so that fewer of the others are left to verify.
+        for known in (True, False):
+            for i, j in zip(x[sure == known].tolist(), y[sure == known].tolist()):
+                a, b = root(i), root(j)
+                if a != b and (known or similar_words(line(i), line(j), share)):
+                    up[b] = a
+                    out.append((i, j))
     return out
 
 
@@ -514,7 +594,7 @@ def line_links(hashes: DataFrame, rows: DataFrame, text_of, radius: int | None,
 
     def linked(batch, part):
         pairs = pairs_of_runs(part["unit"], part["n"], window, lambda x, y: hashes_near(part, x, y, radius))
-        out = spanning(pairs, batch.column("words").to_pylist(), share)
+        out = spanning(pairs, batch.column("words"), share)
         ids = part["h1"][np.array(out, dtype=np.int64).reshape(-1, 2)]
         return pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1])], ["a", "b"])
     met = stash(by_unit(joined, kept, joined.schema, share))
@@ -535,16 +615,11 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     small_batches(spark)
 
-    @F.arrow_udf(returnType=LINE_DDL)
-    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from given_back(lists(batches))
-
-    def lists(batches):
-        for batch in batches:
-            counts = None if common is None else common.value
-            bits = 0.0 if counts is None else float(np.log2(counts.sum() + 2))
-            yield as_lists(((len(run), line_hashes(run, min_words, counts, share, blocks, bits))
-                            for run in slices(batch.cast(pa.binary()), RUN)), len(batch))
+    def hashed(batches):
+        counts = None if common is None else common.value
+        bits = 0.0 if counts is None else float(np.log2(counts.sum() + 2))
+        yield from given_back(line_rows(batches, lambda run: line_hashes(run, min_words, counts, share, blocks, bits),
+                                        blocks, radius is None))
 
     @F.arrow_udf(returnType=WORDS_DDL)
     def fetched(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -560,14 +635,16 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     source = docs.select(F.col(f"`{key}`").alias("id"), body.alias("text")) \
         .withColumn("k", F.xxhash64("id", "text"))
     common = spark.sparkContext.broadcast(word_counts(source)) if radius is None else None
-    narrow = F.transform("keys", lambda x: x.cast("int")) if blocks else F.col("keys")
-    lines = stash(source.select("id", "k", F.explode(hashed(F.col("text").cast("binary"))).alias("l"))
-                  .select("id", "k", "l.*").withColumn("keys", narrow))
+    packed = [f"b{k}" for k in range((blocks + 1) // 2)]
+    shape = StructType([StructField("id", source.schema["id"].dataType), *StructType.fromDDL(", ".join(
+        ["k bigint", *(f"{c} {kind}" for c, _, kind in LINE), *(f"{c} bigint" for c in packed)]
+        + ["keys array<bigint>"] * (radius is None and not blocks)))])
+    lines = stash(source.mapInArrow(hashed, shape))
     once = lines.where(~F.col("again"))
+    # All columns of one identity are equal; a maximum needs one field of the buffer, the first one two.
     distinct = stash(once.groupBy("h1", "h2").agg(
-        F.min("id").alias("stay_id"), F.min("k").alias("k0"), F.max("k").alias("k1"), F.first("n").alias("n"),
-        *[F.first(f"s{k}").alias(f"s{k}") for k in (1, 2, 3)],
-        *[F.first(F.element_at("keys", k + 1)).alias(f"b{k}") for k in range(blocks)]))
+        F.min("id").alias("stay_id"), F.min("k").alias("k0"), F.max("k").alias("k1"),
+        *[F.max(c).alias(c) for c in ["n", "s1", "s2", "s3", *packed]]))
 
     def text_of(wanted):
         """Words of distinct lines, each fetched from one text that holds it."""
@@ -577,21 +654,21 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
         return source.join(light(places, broadcast_rows), "k") \
             .select(F.explode(fetched(F.col("text").cast("binary"), F.col("places"))).alias("w")) \
             .select("w.*").dropDuplicates(["h1"])
-    keys = F.array(*[F.col(f"b{k}") for k in range(blocks)]) if blocks else F.array(F.lit(0))
+    keys = F.array(*[block_bits(k) for k in range(blocks)]) if blocks else F.array(F.lit(0))
     hashes = distinct.select("h1", "n", "s1", "s2", "s3", keys.alias("keys"))
     sketched = hashes.withColumn("sketch", sketch())
     rows = block_rows(sketched) if blocks else bucket_rows(sketched) if radius is not None else \
         once.withColumn("sketch", sketch()).select("h1", "sketch", F.explode("keys").alias("bucket")).distinct()
     links = line_links(hashes, rows, text_of, radius, share)
     group = stash(components(stash(links)).select(F.col("node").alias("h1"), "component"))
-    first = once.join(group, "h1").groupBy("component").agg(
-        F.min(F.struct(F.col("id").isNull(), "id", "pos")).alias("stay"))
-    stays = distinct.join(group, "h1", "left").join(first, "component", "left").where(
-        F.col("component").isNotNull() | (F.col("k0") != F.col("k1"))).select(
-        "h1", "h2", F.when(F.col("component").isNull(), F.col("stay_id")).otherwise(F.col("stay.id"))
-        .alias("stay_id"), F.col("stay.pos").alias("stay_pos"))
-    kept = F.col("id").eqNullSafe(F.col("stay_id")) & F.coalesce(F.col("pos") == F.col("stay_pos"), F.lit(True))
-    gone = once.join(stays, ["h1", "h2"]).where(~kept).select("k", "pos") \
+    repeated = distinct.join(group, "h1", "left").where(F.col("component").isNotNull() | (F.col("k0") != F.col("k1")))
+    held = stash(once.join(repeated.select("h1", "h2", "component", "stay_id"), ["h1", "h2"])
+                 .select("k", "id", "pos", "component", "stay_id"))
+    alone, grouped = F.col("component").isNull(), held.where("component is not null")
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "pos")).alias("stay"))
+    stays = F.col("id").eqNullSafe(F.col("stay.id")) & (F.col("pos") == F.col("stay.pos"))
+    gone = held.where(alone & ~F.col("id").eqNullSafe(F.col("stay_id"))).select("k", "pos") \
+        .union(grouped.join(first, "component").where(~stays).select("k", "pos")) \
         .union(lines.where("again").select("k", "pos")) \
         .groupBy("k").agg(F.collect_set("pos").alias("__gone"))
     out = docs.withColumn("__k", F.xxhash64(F.col(f"`{key}`"), body)).join(
