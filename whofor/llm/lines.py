@@ -15,8 +15,8 @@ among the first few of each in any common order, and rare pairs come first (abou
 A ``radius`` cuts the SimHash of the whole line into five blocks of 32 bits and compares lines that
 share one and differ in at most so many bits. Lines of a bucket are compared by their hashes, folded
 ones first; what these leave is verified by the edit similarity in units of a bounded size, which
-XX
-all others go.
+return the links that connect their lines and no pairs. Of every connected group the first
+occurrence stays (by id, then place in the text), all others go.
 
 A null text stays null, an empty one empty; texts keep their remaining lines in order. Rows of one
 id are one document: what stays, stays in each of them. Rows without an id come last and count as
